@@ -6,23 +6,34 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from maskwright.llm import packing, simhash
+from maskwright.llm import digest, packing, pieces, simhash
 from maskwright.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pieces.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    hashed = F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256")
+    return rows.select("doc_id", "n_tokens", *hashed, F.sha2("spans", 256).alias("spans_sha256"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_best_fit_packing, op8_simhash_near_dedup)}
+    return {f.__name__: f for f in (op3_sentencepiece, op5_best_fit_packing, op7_document_fingerprints, op8_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
