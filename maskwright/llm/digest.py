@@ -131,9 +131,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     splits = [-math.inf, *sorted(set(cuts)), math.inf]
     splits = splits if len(splits) > 2 else [-math.inf, 0.0, math.inf]
     cutter = Bucketizer(splits=splits, inputCol="at", outputCol="section", handleInvalid="keep")
-    placed = cutter.transform(slim.withColumn("at", F.col("doc_id").cast("double"))).drop("at").withColumn("section", F.col("section").cast("int"))
+    placed = cutter.transform(slim.withColumn("at", F.col("doc_id").cast("double"))).drop("at").withColumn("section", F.coalesce(F.col("section").cast("int"), F.lit(len(splits))))
     # One id for each section: as many as there are sections, whatever the corpus.
-    first = sorted(((r["section"], r["low"]) for r in placed.groupBy("section").agg(F.min("doc_id").alias("low")).collect()), key=lambda x: x[0])
+    first = placed.groupBy("section").agg(F.min("doc_id").alias("low")).collect()
+    first = sorted(((r["section"], r["low"]) for r in first), key=lambda x: x[0])
     if not first:
         return spark.createDataFrame([], RESULT)
     after = [(low, first[k - 1][0], section) for k, (section, low) in enumerate(first)]
