@@ -13,13 +13,13 @@ decisions are rank intervals, which a distributed join applies to every piece.
 from __future__ import annotations
 
 import heapq
-import unicodedata
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,49 +30,67 @@ CAPACITY = 2048
 RANK_SHARDS = 64
 #: Words whose ids a Python worker remembers.
 REMEMBERED = 250_000
-#: Characters below it keep their class and their lower case in every Unicode version.
-PLAIN = "ɐ"
+#: Words, contractions, digits and runs of other signs of texts in Latin-1, whose superscripts and fractions are numbers.
+WORDS = re.compile(r"[^\W\d_²³¹¼½¾]+|'s|'t|'re|'ve|'m|'ll|'d|[\d²³¹¼½¾]|(?:[^\w\s]|_)+")
+#: Special tokens, and separators that only Python takes for white space.
+UNSURE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 
 
 class WordIds(dict):
-    """Ids, as little-endian bytes, of each stretch of text without blanks or newlines.
+    """Ids, as little-endian bytes, of each word of lower-case text.
 
-    The tokenizer drops white space and never joins what it parts, so a text's
-    ids are those of its stretches in order. ``__missing__`` fills the gaps.
+    The tokenizer lower-cases, drops white space and cuts text into words,
+    single digits and runs of other signs, which it encodes each on its own; so
+    a text's ids are those of its words in order. Texts in which its rules and
+    these could differ go to the library whole. ``__missing__`` fills the gaps:
+    what was asked for lately is kept, in two generations of bounded size.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        # Words, single digits and runs of other signs are encoded apart; a contraction's start is not cut by hand.
-        self.parts = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-
-    def encoded(self, stretch: str) -> bytes:
-        return np.array(self.tokenizer.encode(stretch, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, stretch: str) -> bytes:
-        if len(stretch) > 200 or "'" in stretch or "<|" in stretch or "İ" in stretch or (stretch and max(stretch) >= PLAIN) or not unicodedata.is_normalized("NFC", stretch):
-            found = self.encoded(stretch)
-        else:
-            found = b"".join(map(self.word, self.parts.findall(stretch.lower())))
-        if len(stretch) <= 200:
+        self.model = self.tokenizer.model
+        self.older: dict[str, bytes] = {}
+        # How the byte-level step writes each byte of a word.
+        split = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        shown = {byte: split(chr(byte).encode("latin-1").decode()) for byte in range(128)}
+        self.signs = {byte: s[0][0] for byte, s in shown.items()}
+        for byte in range(128, 256):
+            pair = bytes([195, byte]) if byte < 192 else bytes([byte, 128])
+            if 194 <= byte < 224 or byte < 192:
+                self.signs[byte] = split(pair.decode())[0][0][byte < 192]
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            signs = word if word.isalpha() and word.isascii() else word.encode().decode("latin-1").translate(self.signs)
+            found = np.array([t.id for t in self.model.tokenize(signs)], "<u4").tobytes()
+        if len(word) <= 100:
             if len(self) >= REMEMBERED:
+                self.older = dict(self)
                 self.clear()
-            self[stretch] = found
-        return found
-
-    def word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) >= REMEMBERED:
-                self.words.clear()
-            found = self.words[word] = self.encoded(word)
+            self[word] = found
         return found
 
     def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        if any(sign in text for sign in UNSURE):
+            plain = False
+        else:
+            try:
+                plain = text.isascii() or bool(text.encode("latin-1"))
+            except UnicodeEncodeError:
+                plain = False
+        if plain:
+            return b"".join(map(self.__getitem__, WORDS.findall(text.lower())))
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+@lru_cache(maxsize=1)
+def known_words(path: str) -> WordIds:
+    """One for each Python worker, which serves many tasks."""
+    return WordIds(path)
 
 
 PIECE = "piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -85,7 +103,7 @@ def pieces_of(text: Column, tokenizer_path: str, capacity: int = CAPACITY, with_
 
     @F.arrow_udf(made)
     def of(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known, width = WordIds(tokenizer_path), 4 * capacity
+        known, width = known_words(tokenizer_path), 4 * capacity
         for part in batches(column):
             rows = []
             for text_ in part:
