@@ -93,14 +93,11 @@ def _trainer(grades: int):
     """Rows ``(grade, at, x)`` in the order in which they teach; gives the weights, then the thresholds."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, known = Learner(grades), False
+        state = Learner(grades)
         for part in parts:
             for grade, at, x in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
-                known = True
                 state.learn(np.frombuffer(at, "<u2"), np.frombuffer(x, "<f4").astype(np.float64), grade)
-        # Without a row every grade is kept: each threshold is far below.
-        cuts = state.cuts if known else np.full(grades - 1, -30.0)
-        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([state.w, cuts]).astype("<f8").tobytes()])], ["model"])
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([state.w, state.cuts]).astype("<f8").tobytes()])], ["model"])
 
     return run
 
@@ -119,8 +116,11 @@ def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: s
     rows = shared_checkpoint(rows.select("__id", "grade", _vectors(F.col("__text")).alias("v")))
     stream = rows.select(F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("epoch"), "grade", "v", "__id")
     stream = stream.repartition(1).sortWithinPartitions("epoch", F.xxhash64("__id", "epoch"), "__id").select("grade", "v.at", "v.x")
-    made = np.frombuffer(stream.mapInArrow(_trainer(grades), "model binary").first()["model"], "<f8")
-    return Model(made[:SIZE], made[SIZE:])
+    made = stream.mapInArrow(_trainer(grades), "model binary").first()
+    if made is None:  # no rated row: every text has every grade
+        return Model(np.zeros(SIZE), np.full(grades - 1, -30.0))
+    found = np.frombuffer(made["model"], "<f8")
+    return Model(found[:SIZE], found[SIZE:])
 
 
 def tails(text: Column, model: Model) -> Column:
