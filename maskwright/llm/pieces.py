@@ -12,17 +12,18 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.llm.common import texts
 
 BLANK = "▁"
-#: Stretches that a Python worker remembers.
-REMEMBERED = 250_000
+#: Rows in a batch of results, and characters that the segmenter sees at a time.
+ROWS, CUT = 64, 50_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -107,11 +108,12 @@ class PieceModel:
         self.unknown = next((i for i, k in enumerate(kinds) if k == 2), -1)
         self.table = [b"" if k == 3 else bytes([int(n[1:-1], 16)]) if k == 6 else " ⁇ ".encode() if k == 2 else n.replace(BLANK, " ").encode() for n, k in zip(names, kinds, strict=True)]
         self.begin, self.end = self.segmenter.bos_id(), self.segmenter.eos_id()
-        # Stretches between blanks are encoded apart where no piece reaches over a blank or a newline.
-        apart = not any(re.search(f"[^{BLANK}]{BLANK}|\n", n) for n, k in zip(names, kinds, strict=True) if k in (1, 4))
-        self.by_stretch = apart and not self.map.units and self.escape and not self.squeeze
-        self.stretches = re.compile(f"{BLANK}+[^{BLANK}\n]*|\n|[^{BLANK}\n]+")
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.bytes_of = np.array(self.sizes, np.int64)
+        #: Bytes of the source of each piece, if each of its blanks is a space there.
+        self.source_of = self.bytes_of - 2 * np.array([n.count(BLANK) if k != 6 else 0 for n, k in zip(names, kinds, strict=True)], np.int64)
+        # Long texts may be cut before a blank where no piece reaches over one.
+        apart = not any(re.search(f"[^{BLANK}]{BLANK}", n) for n, k in zip(names, kinds, strict=True) if k in (1, 4))
+        self.direct = apart and not self.map.units and self.escape and not self.squeeze
 
     def normalise(self, text: str) -> tuple[bytes, np.ndarray]:
         """Normalised bytes, and for each of them and for their end the source byte."""
@@ -150,52 +152,50 @@ class PieceModel:
         # A byte of a longer character or key starts where that starts; plain characters keep each byte.
         return bytes(out), np.array([*origin, end], np.int64)
 
-    def _sizes(self, text: str, ids: list[int]) -> list[int]:
-        if self.unknown in ids:
-            return [p.end - p.begin for p in self.segmenter.encode(text, return_type="proto").pieces]
-        return [self.sizes[i] for i in ids]
-
-    def _stretch(self, stretch: str) -> tuple[bytes, bytes]:
-        """Ids of a stretch and how many source bytes each takes; a blank is one byte of the source."""
-        found = self.known.get(stretch)
-        if found is None:
-            ids = self.segmenter.encode(stretch)
-            sizes = np.array(self._sizes(stretch, ids), np.int64)
-            lead = 3 * (len(stretch) - len(stretch.lstrip(BLANK)))
-            starts = np.cumsum(sizes) - sizes
-            blanks = np.clip(lead - starts, 0, sizes) // 3
-            found = np.array(ids, "<u4").tobytes(), (sizes - 2 * blanks).astype("<i8").tobytes()
-            if len(stretch) <= 100:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[stretch] = found
-        return found
-
-    def encode(self, text: str) -> tuple[bytes, np.ndarray]:
-        """Ids as little-endian unsigned 32-bit integers, and a row (begin, end) of source bytes for each."""
+    def _segments(self, escaped: str) -> Iterator[str]:
+        """Stretches of some CUT characters that begin with a run of blanks."""
+        at = 0
+        while at < len(escaped):
+            end = escaped.find(BLANK, at + CUT)
+            while end > 0 and escaped[end - 1] == BLANK:
+                end -= 1
+            end = len(escaped) if end <= at else end
+            yield escaped[at:end]
+            at = end
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids with the begin and end ids, and a row (begin, end) of source bytes for each."""
+        size = len(text.encode())
         if not text:
-            ids, spans = b"", np.zeros((0, 2), np.int64)
-        elif self.by_stretch and BLANK not in text:
+            ids, spans = np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
+        elif self.direct and BLANK not in text:
             escaped = BLANK * self.prefix + text.replace(" ", BLANK)
-            found = [*map(self._stretch, self.stretches.findall(escaped))]
-            ids = b"".join([f[0] for f in found])
-            sizes = np.frombuffer(b"".join([f[1] for f in found]), "<i8").copy()
-            sizes[:1] -= self.prefix  # the added blank is no byte of the source
-            ends = np.cumsum(sizes)
-            spans = np.stack([ends - sizes, ends], axis=1)
+            ids = np.concatenate([np.asarray(self.segmenter.encode(s), np.int64) for s in self._segments(escaped)])
+            ends = np.cumsum(self.source_of[ids])
+            if not len(ends) or self.unknown in ids or ends[-1] - self.prefix != size:
+                return self._projected(text)
+            ends -= self.prefix  # the added blank is no byte of the source
+            spans = np.stack([np.append(0, ends[:-1]), ends], axis=1)
         else:
-            normal, origin = self.normalise(text)
-            listed = self.segmenter.encode(normal.decode())
-            ends = np.cumsum(self._sizes(normal.decode(), listed), dtype=np.int64) if listed else np.zeros(0, np.int64)
-            begins = np.r_[np.zeros(1, np.int64), ends[:-1]][: len(ends)]
-            ids, spans = np.array(listed, "<u4").tobytes(), np.stack([origin[begins], origin[ends]], axis=1)
-        size = len(text.encode())
-        edge = struct.Struct("<I").pack
-        return edge(self.begin) + ids + edge(self.end), np.concatenate([[[0, 0]], spans, [[size, size]]])
+            return self._projected(text)
+        return self._edged(ids, spans, size)
+
+    def _projected(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The same by the record that the normaliser makes of each byte."""
+        normal, origin = self.normalise(text)
+        ids = np.asarray(self.segmenter.encode(normal.decode()), np.int64)
+        sizes = self.bytes_of[ids]
+        if self.unknown in ids:
+            sizes = np.array([p.end - p.begin for p in self.segmenter.encode(normal.decode(), return_type="proto").pieces], np.int64)
+        ends = np.cumsum(sizes)
+        return self._edged(ids, np.stack([origin[ends - sizes], origin[ends]], axis=1), len(text.encode()))
 
-    def decode(self, ids: bytes) -> str:
+    def _edged(self, ids: np.ndarray, spans: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([[self.begin], ids, [self.end]]), np.concatenate([[[0, 0]], spans, [[size, size]]])
+
+    def decode(self, ids: np.ndarray) -> str:
         """The text of ids; the blank that encoding adds in front goes, and bytes that are no UTF-8 become U+FFFD each."""
-        data = b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        data = b"".join(map(self.table.__getitem__, ids.tolist()))
         if self.prefix and data[:1] == b" ":
             data = data[1:]
         try:
@@ -204,36 +204,40 @@ class PieceModel:
             return data.decode(errors="surrogateescape").encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
-KIND = pa.struct([("ids", pa.binary()), ("spans", pa.binary()), ("decoded", pa.string())])
-
-
-def encode(text: Column, model_path: str) -> Column:
-    """Struct of a text's encoding: ``ids``, ``spans`` and ``decoded``.
+@lru_cache(maxsize=1)
+def known_model(path: str) -> PieceModel:
+    """One for each Python worker, which serves many tasks."""
+    return PieceModel(path)
 
-    ``ids`` holds little-endian unsigned 32-bit integers with the begin and end
-    ids, ``spans`` a pair of little-endian signed 64-bit integers for each id,
-    its begin and end in bytes of the original text, ``decoded`` the text that
-    the ids give. Null is the empty text.
-    """
 
-    @F.arrow_udf("struct<ids: binary, spans: binary, decoded: string>")
-    def of(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = PieceModel(model_path)
-        for part in column:
-            rows = []
-            for t in texts(part):
-                ids, spans = model.encode(t)
-                rows.append((ids, spans.astype("<i8").tobytes(), model.decode(ids)))
-            yield pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), KIND, strict=True)], fields=list(KIND)) if rows else pa.array([], KIND)
+def _encoder(model_path: str):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = known_model(model_path)
+        for part in parts:
+            for at in range(0, part.num_rows, ROWS):
+                rows, n, ids, spans, decoded = part.slice(at, ROWS), [], [], [], []
+                for text in texts(rows.column(1)):
+                    found, where = model.encode(text)
+                    n.append(len(found))
+                    ids.append(found.astype("<u4").tobytes())
+                    spans.append(where.astype("<u4").tobytes())
+                    decoded.append(model.decode(found))
+                columns = [rows.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(spans, pa.binary()), pa.array(decoded, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "spans", "decoded"])
 
-    return of.asNondeterministic()(text)
+    return run
 
 
 def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, n_tokens, ids, spans, decoded``.
 
-    A null or empty text has the begin and end ids alone. Repeated rows each
-    get a row; an empty table gives an empty table; other columns are not read.
+    ``ids`` holds little-endian unsigned 32-bit integers with the begin and end
+    ids, ``spans`` two such integers for each id, its begin and end in bytes of
+    the original text, and ``decoded`` the text that the ids give. A null or
+    empty text has the begin and end ids alone. Repeated rows each get a row;
+    an empty table gives an empty table; other columns are not read. Results
+    leave a task in batches of ROWS, whatever came in with one.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), encode(F.col(text_col), model_path).alias("e"))
-    return rows.select("doc_id", (F.octet_length("e.ids") / 4).cast("bigint").alias("n_tokens"), "e.ids", "e.spans", "e.decoded")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(_encoder(model_path), f"doc_id {kind}, n_tokens bigint, ids binary, spans binary, decoded string")

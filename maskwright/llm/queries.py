@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import digest, ordinal, packing, pieces, rules, simhash, toxicity
+from maskwright.llm import digest, html_layout, ordinal, packing, pieces, pii, rules, simhash, toxicity
 from maskwright.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -48,7 +52,12 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_layout.extracted(table(spark, sf_dir, "pages"))
+
+
 FUNCTIONS = (
+    op1_personal_data,
     op2_toxicity,
     op3_sentencepiece,
     op4_quality_rules,
@@ -56,6 +65,7 @@ FUNCTIONS = (
     op6_quality_classifier,
     op7_document_fingerprints,
     op8_simhash_near_dedup,
+    op9_html_extraction,
 )
 
 
