@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import digest, html_layout, ordinal, packing, pieces, pii, rules, simhash, toxicity
+from maskwright.llm import digest, html_layout, licences, ordinal, packing, pieces, pii, rules, simhash, toxicity
 from maskwright.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,13 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_layout.extracted(table(spark, sf_dir, "pages"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files ``source/lang/id.txt``; one that is half licence speaks for its directory."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licences.scanned(docs.withColumn("path", path), file_share=0.5)
+
+
 FUNCTIONS = (
     op1_personal_data,
     op2_toxicity,
@@ -66,6 +73,7 @@ FUNCTIONS = (
     op7_document_fingerprints,
     op8_simhash_near_dedup,
     op9_html_extraction,
+    op10_license_scan,
 )
 
 
