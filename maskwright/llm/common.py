@@ -15,17 +15,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, for checkpoints and tables between stages.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only
-    where that is unset (tests, a laptop) is a temporary one made.
+    It is the one that the cluster names in ``spark.checkpoint.dir``; only where
+    that is unset (tests, a laptop) is a temporary one made.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", "")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def shared_checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint, which outlives a lost executor."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from maskwright.llm.common import batches, bounded_sample, held_out, shared_checkpoint
 
-#: Labelled rows that a fit looks at, at most; rows in which a feature must be; passes over the rows.
-SAMPLE, LEAST_ROWS, EPOCHS = 12_000, 3, 8
+#: Labelled rows that a fit looks at, at most; rows in which a feature must be, and how far off; passes over the rows.
+SAMPLE, LEAST_ROWS, SCREEN, EPOCHS = 8_000, 3, 2.0, 8
 ALPHA, BETA, L1, L2 = 4.0, 1.0, 5.0, 0.0
 THRESHOLD = 0.7
 WORDS = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -109,25 +109,45 @@ def platt(logits: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 
 def _features(text: Column) -> Column:
-    @F.arrow_udf("array<bigint>")
+    """Distinct hashes of a text, as little-endian unsigned 32-bit integers."""
+
+    @F.arrow_udf("binary")
     def of(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in batches(column):
-            yield pa.array([np.unique(hashed(t)).astype(np.int64) for t in part], pa.list_(pa.int64()))
+            yield pa.array([np.unique(hashed(t)).astype("<u4").tobytes() for t in part], pa.binary())
 
     return of.asNondeterministic()(text)
 
 
+def _counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per batch: each hash with the rows and the toxic rows that have it."""
+    for part in parts:
+        held = [np.frombuffer(f, "<u4") for f in part.column(1).to_pylist()]
+        label = np.repeat(part.column(0).to_numpy(), [len(h) for h in held])
+        key, at, n = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+        up = np.bincount(at, weights=label, minlength=len(key)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(n), pa.array(up)], ["f", "n", "up"])
+
+
+def _placed(features: Column, keys: np.ndarray) -> Column:
+    """Places among the sorted keys of the hashes that are there."""
+
+    @F.arrow_udf("binary")
+    def of(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in column:
+            yield pa.array([np.searchsorted(keys, np.intersect1d(np.frombuffer(h, "<u4"), keys, assume_unique=True)).astype("<u4").tobytes() for h in part.to_pylist()], pa.binary())
+
+    return of.asNondeterministic()(features)
+
+
 def _trainer(keys: np.ndarray):
-    """Rows ``(epoch, label, features)`` in order of epoch; the rows of the last epoch calibrate only."""
+    """Rows ``(epoch, label, places)`` in order of epoch; the rows of the last epoch calibrate only."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, logits, labels = Ftrl(len(keys)), [], []
         for part in parts:
-            for epoch, label, features in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
-                h = features.values.to_numpy().astype(np.uint32)
-                at = np.searchsorted(keys, h)
-                at[at == len(keys)] = 0
-                at = at[keys[at] == h] if len(keys) else at[:0]
+            for epoch, label, places in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
+                at = np.frombuffer(places, "<u4")
                 if epoch <= EPOCHS:
                     state.learn(at, label)
                 else:
@@ -148,20 +168,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A model from at most ``sample`` labelled rows, which the hash of their ids picks.
 
     Rows of the held-out third, and rows without an id or label, teach nothing.
-    The rows of one fifth of the hashes only calibrate. Features in fewer than
-    LEAST_ROWS of the sampled rows are left out before the sequential pass, so
-    that the one task that learns sees a bounded stream, sorted by Spark.
+    The rows of one fifth of the hashes only calibrate. A feature counts if
+    LEAST_ROWS of the sampled rows have it and their share of toxic rows is
+    SCREEN standard deviations off the mean; so the one task that learns sees
+    a short stream, sorted by Spark.
     """
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label")).filter("__id is not null and label is not null").filter(~held_out(F.col("__id")))
     chosen = bounded_sample(known, F.col("__id"), sample)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__id")
     rows = shared_checkpoint(rows.select("__id", "label", _features(F.col("__text")).alias("features")))
-    common = rows.select(F.explode("features").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_ROWS).select("f").toArrow()
+    whole = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("up")).first()
+    rate = min(max((whole["up"] or 0) / max(whole["n"], 1), 1e-6), 1 - 1e-6)
+    common = rows.select("label", "features").mapInArrow(_counted, "f bigint, n bigint, up bigint").groupBy("f").agg(F.sum("n").alias("n"), F.sum("up").alias("up"))
+    off = F.abs(F.col("up") - F.col("n") * rate) / F.sqrt(F.col("n") * (rate * (1 - rate)))
+    common = common.filter((F.col("n") >= LEAST_ROWS) & (off >= SCREEN)).select("f").toArrow()  # fewer than the words of the sample
     keys = np.sort(common.column(0).to_numpy().astype(np.uint32))
+    rows = rows.select("__id", "label", _placed(F.col("features"), keys).alias("places"))
     mixed = F.xxhash64("__id", F.lit(7))
     epochs = F.when(F.pmod(mixed, F.lit(5)) == 0, F.array(F.lit(EPOCHS + 1))).otherwise(F.sequence(F.lit(1), F.lit(EPOCHS)))
-    stream = rows.select(F.explode(epochs).alias("epoch"), "label", "features", "__id")
-    stream = stream.repartition(1).sortWithinPartitions("epoch", F.xxhash64("__id", "epoch"), "__id").select("epoch", "label", "features")
+    stream = rows.select(F.explode(epochs).alias("epoch"), "label", "places", "__id")
+    stream = stream.repartition(1).sortWithinPartitions("epoch", F.xxhash64("__id", "epoch"), "__id").select("epoch", "label", "places")
     made = stream.mapInArrow(_trainer(keys), "key bigint, weight double").toArrow().to_pydict()
     weight = dict(zip(made["key"], made["weight"], strict=True))
     bias, scale = weight.pop(-1, 0.0), weight.pop(-2, 1.0)
