@@ -161,6 +161,18 @@ def _saved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([row["doc_id"]]), pa.array([written(row["content"], edits)], pa.binary())], ["doc_id", "content"])
 
 
+def packaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``(doc_id, text)`` as small Word files with a paragraph for each line."""
+    head = f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="{W[1:-1]}"><w:body>'
+    for batch in batches:
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            made = io.BytesIO()
+            with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as new:
+                lines = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(line)}</w:t></w:r></w:p>' for line in text.split("\n"))
+                new.writestr(BODY, f"{head}{lines}</w:body></w:document>")
+            yield pa.RecordBatch.from_arrays([pa.array([doc]), pa.array([made.getvalue()], pa.binary())], ["doc_id", "content"])
+
+
 def save(files: DataFrame, redacted: DataFrame) -> DataFrame:
     """``(doc_id, content)`` with the blocks' ``new_runs`` written in; blocks without a replacement are left alone."""
     changed = redacted.filter(F.size("landed") > 0).groupBy(F.col("scope").alias("doc_id")).agg(F.collect_list(F.struct("part", "paragraph", F.col("new_runs").alias("runs"))).alias("edits"))
