@@ -19,6 +19,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskwright.llm.common import shared_checkpoint
+
 THRESHOLD = 0.7
 #: Share of a text's words in licence lines from which on the text is itself a licence file, whatever its name.
 FILE_SHARE = 1.0
@@ -89,12 +91,14 @@ def own_licences(docs: DataFrame, path_col: str = "path", text_col: str = "text"
     frequency = dict.fromkeys(known, 0) | {r["term"]: r["n"] for r in counted.collect()}  # as many rows as template terms
     idf, rare, vectors = _weights(frequency, slim.count())
     anchors = _anchors(vectors, threshold)
-    near = lambda c: F.lower(c).rlike("|".join(rf"(?<![a-z0-9]){re.escape(a)}(?![a-z0-9])" for a in anchors))
-    some = slim.filter(near(F.col("t"))).withColumn("h", F.xxhash64("t")).withColumn("named", F.coalesce(F.element_at(F.split("path", "/"), -1).rlike(FILE_NAME), F.lit(False))).dropDuplicates(["path", "h"])
+    near = lambda c: F.arrays_overlap(_terms(c), F.array(*map(F.lit, anchors)))
     words = lambda c: F.size(F.filter(F.split(c, f"[{BLANK}]+"), lambda w: w != ""))
-    lines = some.select("path", "h", "named", words(F.col("t")).alias("all_words"), F.posexplode(F.split("t", "\n")).alias("line", "unit")).filter(near(F.col("unit")))
-    whole = some.filter("named").select("path", "h", "named", words(F.col("t")).alias("all_words"), F.lit(-1).alias("line"), F.col("t").alias("unit"))
-    units = lines.unionAll(whole).withColumn("words", words(F.col("unit")))
+    named = F.coalesce(F.element_at(F.split("path", "/"), -1).rlike(FILE_NAME), F.lit(False))
+    some = slim.filter(near(F.col("t"))).select("path", F.xxhash64("t").alias("h"), named.alias("named"), words(F.col("t")).alias("all_words"), "t")
+    # Copies of a row scale all counts of a unit alike, which no cosine sees.
+    lines = F.transform(F.split("t", "\n"), lambda x, k: F.struct(k.alias("line"), x.alias("unit")))
+    whole = F.filter(F.array(F.struct(F.lit(-1).alias("line"), F.col("t").alias("unit"))), lambda u: F.col("named"))
+    units = some.select("path", "h", "named", "all_words", F.inline(F.concat(lines, whole))).filter(near(F.col("unit"))).withColumn("words", words(F.col("unit")))
     keys = ["path", "h", "named", "all_words", "line", "words"]
     terms = units.select(*keys, F.explode(_terms(F.col("unit"))).alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n"))
     rows = [(t, idf[t], [v.get(t, 0.0) for v in vectors]) for t in known]
@@ -105,7 +109,7 @@ def own_licences(docs: DataFrame, path_col: str = "path", text_col: str = "text"
     best = F.array_max(F.array(*(F.struct(F.round(F.col(f"d{k}") / F.col("norm"), 9).alias("score"), F.lit(-k).alias("k")) for k in range(len(TEMPLATES)))))
     units = units.withColumn("best", best).filter(F.col("best.score") >= threshold)
     names = F.array(*(F.lit(n) for n, _ in TEMPLATES))
-    of = units.groupBy("path", "h", "named", "all_words").agg(
+    of = shared_checkpoint(units).groupBy("path", "h", "named", "all_words").agg(
         F.max(F.struct("best.score", (-F.col("line")).alias("up"), "best.k")).alias("b"), F.sum(F.when(F.col("line") >= 0, F.col("words")).otherwise(0)).alias("in_lines")
     )
     is_file = F.col("named") | (F.col("in_lines") >= F.lit(file_share) * F.col("all_words"))
