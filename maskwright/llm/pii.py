@@ -37,13 +37,18 @@ LEAST_SEEDS, LEAST_PATTERN, LEAST_PATTERNS, LEAST_INSTANCE = 3, 0.6, 2, 0.9
 def _found(text: Column, pattern: str) -> Column:
     """Array of ``(start, end, value)`` of the leftmost matches, in code points."""
     hits, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    ends = F.aggregate(
-        F.sequence(F.lit(1), F.size(hits)),
-        F.array(F.lit(0)),
-        lambda made, k: F.concat(made, F.array(F.element_at(made, -1) + F.length(F.element_at(between, k)) + F.length(F.element_at(hits, k)))),
+    # Paired outside the lambdas: what stands inside one is computed anew for each element.
+    pairs = F.zip_with(between, hits, lambda b, h: F.struct(F.length(b).alias("gap"), F.length(h).alias("n"), h.alias("v")))
+    placed = F.aggregate(
+        F.filter(pairs, lambda p: p["v"].isNotNull()),
+        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start: int, end: int, value: string>>)").alias("made")),
+        lambda acc, p: F.struct(
+            (acc["at"] + p["gap"] + p["n"]).alias("at"),
+            F.concat(acc["made"], F.array(F.struct((acc["at"] + p["gap"]).alias("start"), (acc["at"] + p["gap"] + p["n"]).alias("end"), p["v"].alias("value")))).alias("made"),
+        ),
+        lambda acc: acc["made"],
     )
-    spans = F.zip_with(F.slice(ends, 2, F.size(hits)), hits, lambda e, v: F.struct((e - F.length(v)).alias("start"), e.alias("end"), v.alias("value")))
-    return F.when(F.size(hits) > 0, spans)
+    return F.when(F.size(placed) > 0, placed)
 
 
 NO_SPANS = "cast(array() as array<struct<start: int, end: int, value: string>>)"
