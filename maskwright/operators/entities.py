@@ -15,7 +15,6 @@ from maskwright.functions import words
 from maskwright.operators import spans
 from maskwright.operators.recognizers import ORDER_STEP
 
-ENTITY = "struct<start: int, end: int, text: string, label: string>"
 #: Edge punctuation of an entity, as the inside of a character class.
 EDGE = " \\t\\n\\r\"'“”‘’(),;:./-"
 #: Names as capitalised words in a row, in Java's syntax.
@@ -29,8 +28,8 @@ def heuristic(text: Column, v: words.Vocabulary = words.DEFAULT) -> Column:
     found = F.when(text.rlike(r"\p{Lu}"), spans.find(text, CAPITALISED))
 
     def labelled(s: Column) -> Column:
-        label = F.when(words.has_company_suffix(s["text"], v), "ORGANIZATION").when(words.has_place_word(s["text"], v), "LOCATION").otherwise("PERSON")
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), label.alias("label"))
+        label = lambda w: F.when(words.suffixed(w, v), "ORGANIZATION").when(words.placed(w, v), "LOCATION").otherwise("PERSON")
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.transform(F.array(words.words_of(s["text"])), label)[0].alias("label"))
 
     return F.coalesce(F.transform(found, labelled), F.expr("cast(array() as array<struct<start: int, end: int, label: string>>)"))
 
@@ -53,28 +52,33 @@ def _upper_initial(word: Column) -> Column:
     return word.rlike(r"^[\p{Lu}\p{Lt}]")
 
 
-def keeps_person(value: Column, v: words.Vocabulary = words.DEFAULT) -> Column:
-    """Two words or more that begin with a letter, all capitalised; no digit, company suffix or place word."""
-    named = F.filter(words.tokens(value), lambda w: w.rlike(r"^\p{L}"))
-    return ~words.has_digit(value) & ~words.has_company_suffix(value, v) & ~words.has_place_word(value, v) & (F.size(named) >= 2) & F.forall(named, _upper_initial)
-
-
 def _geo(value: Column) -> Column:
     return F.replace(F.lower(value), F.lit("."), F.lit(""))
 
 
-def skips_organization(value: Column, v: words.Vocabulary = words.DEFAULT) -> Column:
-    return words.is_institution(value, v) | words.has_place_word(value, v) | F.array_contains(words.listed(v.geo_keep), _geo(value))
+def _judged(e: Column) -> Column:
+    """An entity with its tokens and words, which all rules share."""
+    return e.withField("tokens", words.tokens(e["text"])).withField("words", words.words_of(e["text"]))
+
+
+def keeps_person(e: Column, v: words.Vocabulary = words.DEFAULT) -> Column:
+    """Two words or more that begin with a letter, all capitalised; no digit, company suffix or place word."""
+    named = F.filter(e["tokens"], lambda w: w.rlike(r"^\p{L}"))
+    return ~words.has_digit(e["text"]) & ~words.suffixed(e["words"], v) & ~words.placed(e["words"], v) & (F.size(named) >= 2) & F.forall(named, _upper_initial)
+
+
+def skips_organization(e: Column, v: words.Vocabulary = words.DEFAULT) -> Column:
+    return words.institutional(e["words"], v) | words.placed(e["words"], v) | F.array_contains(words.listed(v.geo_keep), _geo(e["text"]))
 
 
-def keeps_organization(value: Column, v: words.Vocabulary = words.DEFAULT) -> Column:
-    big = F.filter(words.tokens(value), lambda w: (F.length(w) > 1) & _upper_initial(w))
-    return ~words.all_generic(value, v) & (words.has_company_suffix(value, v) | (F.size(big) >= 2))
+def keeps_organization(e: Column, v: words.Vocabulary = words.DEFAULT) -> Column:
+    big = F.filter(e["tokens"], lambda w: (F.length(w) > 1) & _upper_initial(w))
+    return ~words.generic_only(e["words"], v) & (words.suffixed(e["words"], v) | (F.size(big) >= 2))
 
 
-def keeps_location(value: Column, v: words.Vocabulary = words.DEFAULT) -> Column:
-    known = F.array_contains(words.listed(v.geo_keep + v.not_a_place), _geo(value))
-    return ~known & ~words.any_jargon(value, v) & (F.length(value) >= 3) & _upper_initial(value)
+def keeps_location(e: Column, v: words.Vocabulary = words.DEFAULT) -> Column:
+    known = F.array_contains(words.listed(v.geo_keep + v.not_a_place), _geo(e["text"]))
+    return ~known & ~words.with_jargon(e["words"], v) & (F.length(e["text"]) >= 3) & _upper_initial(e["text"])
 
 
 def _split_pairs(entities: Column, v: words.Vocabulary) -> Column:
@@ -90,34 +94,37 @@ def _split_pairs(entities: Column, v: words.Vocabulary) -> Column:
             begin = e["start"] + F.element_at(starts, k + 1) + lead
             return F.struct(begin.alias("start"), (begin + F.length(bare)).alias("end"), bare.alias("text"), F.lit("PERSON").alias("label"))
 
-        good = F.filter(F.transform(pieces, named), lambda s: (s["text"] != "") & keeps_person(s["text"], v) & (F.size(F.split(s["text"], r"(?U)\s+")) >= 2))
-        return F.when(F.size(good) >= 2, good).otherwise(F.expr(f"cast(array() as array<{ENTITY}>)"))
+        good = F.filter(F.transform(F.transform(pieces, named), _judged), lambda s: (s["text"] != "") & keeps_person(s, v) & (F.size(F.split(s["text"], r"(?U)\s+")) >= 2))
+        return F.filter(good, lambda s: F.size(good) >= 2)
 
     return F.flatten(F.transform(F.filter(entities, lambda e: F.contains(e["text"], F.lit("/"))), parts))
 
 
 def _accepted(entities: Column, label: str, v: words.Vocabulary) -> Column:
-    skip = {"PERSON": lambda value: F.lit(False), "ORGANIZATION": lambda value: skips_organization(value, v), "LOCATION": lambda value: words.is_institution(value, v)}[label]
+    skip = {"PERSON": lambda e: F.lit(False), "ORGANIZATION": lambda e: skips_organization(e, v), "LOCATION": lambda e: words.institutional(e["words"], v)}[label]
     keep = {"PERSON": keeps_person, "ORGANIZATION": keeps_organization, "LOCATION": keeps_location}[label]
     least = 1 if label == "LOCATION" else 2
-    own = F.filter(entities, lambda e: (e["label"] == label) & ~skip(e["text"]))
+    own = F.filter(entities, lambda e: (e["label"] == label) & ~skip(e))
 
     def edged(e: Column) -> Column:
-        edge = words.strip_jargon_edges(e["text"], v)
-        return F.when(
-            edge.isNotNull(),
-            F.struct((e["start"] + edge["start"]).alias("start"), (e["start"] + edge["end"]).alias("end"), F.substring(e["text"], edge["start"] + 1, edge["end"] - edge["start"]).alias("text"), e["label"].alias("label")),
+        cut = lambda edge: F.struct(
+            (e["start"] + edge["start"]).alias("start"), (e["start"] + edge["end"]).alias("end"), F.substring(e["text"], edge["start"] + 1, edge["end"] - edge["start"]).alias("text"), e["label"].alias("label")
         )
+        return F.transform(F.filter(F.array(words.strip_jargon_edges(e["text"], v)), lambda edge: edge.isNotNull()), cut)
+
+    cut = F.transform(F.flatten(F.transform(own, edged)), _judged)
+    return F.filter(cut, lambda e: (F.size(e["tokens"]) >= least) & ~words.jargon_only(e["words"], v) & keep(e, v))
+
 
-    cut = F.filter(F.transform(own, edged), lambda e: e.isNotNull())
-    return F.filter(cut, lambda e: (F.size(words.tokens(e["text"])) >= least) & ~words.all_jargon(e["text"], v) & keep(e["text"], v))
+def prepared(text: Column, entities: Column) -> Column:
+    """Entities as ``candidates`` takes them: trimmed, with their words. Keep it as a column of its own."""
+    return F.transform(trimmed(text, entities), _judged)
 
 
-def candidates(text: Column, entities: Column, v: words.Vocabulary = words.DEFAULT, position: int = 100) -> Column:
-    """Spans from entities: each label's own, people joined by a slash, companies filed as people, places filed as either."""
-    found = trimmed(text, entities)
-    companies = F.filter(found, lambda e: (e["label"] == "PERSON") & words.has_company_suffix(e["text"], v) & ~words.all_jargon(e["text"], v))
-    places = F.filter(found, lambda e: (e["label"] != "LOCATION") & words.has_place_word(e["text"], v) & ~words.any_jargon(e["text"], v))
+def candidates(found: Column, v: words.Vocabulary = words.DEFAULT, position: int = 100) -> Column:
+    """Spans from prepared entities: each label's own, people joined by a slash, companies filed as people, places filed as either."""
+    companies = F.filter(found, lambda e: (e["label"] == "PERSON") & words.suffixed(e["words"], v) & ~words.jargon_only(e["words"], v))
+    places = F.filter(found, lambda e: (e["label"] != "LOCATION") & words.placed(e["words"], v) & ~words.with_jargon(e["words"], v))
     groups = (
         ("LOCATION", 0.7, _accepted(found, "LOCATION", v)),
         ("LOCATION", 0.6, places),
@@ -142,4 +149,4 @@ def candidates(text: Column, entities: Column, v: words.Vocabulary = words.DEFAU
             ),
         )
 
-    return F.concat(*(made(k, *g) for k, g in enumerate(groups)))
+    return F.when(F.size(found) > 0, F.concat(*(made(k, *g) for k, g in enumerate(groups)))).otherwise(spans.empty())

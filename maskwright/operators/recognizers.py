@@ -102,9 +102,9 @@ def defaults(v: words.Vocabulary = words.DEFAULT) -> tuple[Recognizer, ...]:
     """The built-in recognizers over a vocabulary."""
 
     def company(text: Column, s: Column) -> Column:
-        value = s["text"]
-        kept = F.size(F.array_except(words.words_of(value), words.listed((*v.geo_keep, "private", "limited", "ltd")))) > 0
-        return ~words.all_generic(value, v) & ~words.is_institution(value, v) & ~words.has_place_word(value, v) & kept
+        kept = words.listed((*v.geo_keep, "private", "limited", "ltd"))
+        judged = lambda w: ~words.generic_only(w, v) & ~words.institutional(w, v) & ~words.placed(w, v) & (F.size(F.array_except(w, kept)) > 0)
+        return F.exists(F.array(words.words_of(s["text"])), judged)  # the words are made once
 
     def without_lead(text: Column, s: Column) -> Column:
         # Lead words go while a space follows; what stands before a tab stays.

@@ -49,9 +49,10 @@ def detected(blocks: DataFrame, only: Iterable[str] | None = None, exclude: Iter
     found = recognizers.candidates(F.col("text"), recognizers.REGISTRY.build(only, exclude))
     if entities:
         source = F.col(entities) if isinstance(entities, str) else entity_rules.heuristic(F.col("text"), v)
-        found = F.concat(found, entity_rules.candidates(F.col("text"), source, v))
+        blocks = blocks.withColumn("__entities", entity_rules.prepared(F.col("text"), source))
+        found = F.concat(found, entity_rules.candidates(F.col("__entities"), v))
     found = F.when(F.col("text").rlike(r"(?U)\S"), F.filter(found, lambda s: s["score"] >= min_score)).otherwise(spans.empty())
-    return blocks.withColumn("cands", found).withColumn("spans", spans.resolve(F.col("cands")))
+    return blocks.withColumn("cands", found).drop("__entities").withColumn("spans", spans.resolve(F.col("cands")))
 
 
 def names_in(blocks: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ def test_word_predicates(spark):
 def spotted(spark, text, found):
     kind = "array<struct<start: int, end: int, label: string>>"
     rows = spark.createDataFrame([(text, [(text.index(v), text.index(v) + len(v), k) for v, k in found])], f"text string, e {kind}")
-    (row,) = rows.select(spans.resolve(entities.candidates(F.col("text"), F.col("e"))).alias("s")).collect()
+    (row,) = rows.withColumn("e", entities.prepared(F.col("text"), F.col("e"))).select("text", spans.resolve(entities.candidates(F.col("e"))).alias("s")).collect()
     assert all(text[s.start : s.end] == s.text for s in row.s)
     return {(s.text, s.label, s.score) for s in row.s}
 
