@@ -44,11 +44,8 @@ def matched(blocks: DataFrame, names: DataFrame) -> DataFrame:
     of = met.groupBy("scope", "block_idx", "label").agg(F.first("text").alias("text"), F.collect_set(F.struct((-F.length("name")).alias("n"), "name", "part")).alias("parts"))
     pattern = F.concat(F.lit(r"(?U)(?iu)(?<![A-Za-z])(?:"), F.array_join(F.transform(F.array_sort("parts"), lambda p: p["part"]), "|"), F.lit(")(?![A-Za-z])"))
     hits = of.withColumn("pattern", pattern).withColumn("hits", F.expr("regexp_extract_all(text, pattern, 0)")).withColumn("between", F.expr("split(text, pattern, -1)")).filter(F.size("hits") > 0)
-    ends = F.aggregate(
-        F.sequence(F.lit(1), F.size("hits")),
-        F.array(F.lit(0)),
-        lambda made, k: F.concat(made, F.array(F.element_at(made, -1) + F.length(F.element_at("between", k)) + F.length(F.element_at("hits", k)))),
-    )
+    pairs = F.filter(F.zip_with("between", "hits", lambda b, h: F.struct((F.length(b) + F.length(h)).alias("n"), h.alias("v"))), lambda p: p["v"].isNotNull())
+    ends = F.slice(F.aggregate(pairs, F.array(F.lit(0)), lambda made, p: F.concat(made, F.array(F.element_at(made, -1) + p["n"]))), 2, F.size("hits"))
     place = F.when(F.col("label") == "PERSON", POSITION["PERSON"]).otherwise(POSITION["ORGANIZATION"])
 
     def made(e: Column, hit: Column) -> Column:
@@ -63,7 +60,7 @@ def matched(blocks: DataFrame, names: DataFrame) -> DataFrame:
             (place.cast("bigint") * ORDER_STEP + e).alias("ord"),
         )
 
-    found = hits.select("scope", "block_idx", F.zip_with(F.slice(ends, 2, F.size("hits")), F.col("hits"), made).alias("found"))
+    found = hits.select("scope", "block_idx", F.zip_with(ends, F.col("hits"), made).alias("found"))
     return found.groupBy("scope", "block_idx").agg(F.flatten(F.collect_list("found")).alias("found"))
 
 

@@ -53,7 +53,7 @@ LUHN = (
 def only(spark: SparkSession, rows: DataFrame, *names: str) -> DataFrame:
     """``(id, start, value)`` that these recognizers find in ``rows(id, text)``."""
     found = recognizers.detect(F.col("text"), recognizers.REGISTRY.build(names))
-    return rows.select("id", F.inline(found)).select("id", "start", F.col("text").alias("value"))
+    return rows.select("id", F.inline_outer(found)).filter(F.col("start").isNotNull()).select("id", "start", F.col("text").alias("value"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +145,7 @@ def detect_postal_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 def overlap_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     cands = derived.candidates(spark, sf_dir)
     span = F.struct("start", "end", F.lit("").alias("text"), F.lit("L").alias("label"), F.lit("r").alias("recognizer"), "score", "priority", "ord")
-    return cands.groupBy("id").agg(F.collect_list(span).alias("c")).select("id", F.inline(spans.resolve(F.col("c")))).select("id", "start", "end", "ord")
+    return cands.groupBy("id").agg(F.collect_list(span).alias("c")).select("id", F.inline_outer(spans.resolve(F.col("c")))).filter(F.col("start").isNotNull()).select("id", "start", "end", "ord")
 
 
 def mail_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,10 +55,15 @@ def detected(blocks: DataFrame, only: Iterable[str] | None = None, exclude: Iter
     return blocks.withColumn("cands", found).drop("__entities").withColumn("spans", spans.resolve(F.col("cands")))
 
 
+def _rows(blocks: DataFrame) -> DataFrame:
+    """A row for each span. The outer form keeps the optimizer from testing, and so making, the spans twice."""
+    return blocks.select("scope", "block_idx", F.inline_outer("spans")).filter(F.col("start").isNotNull())
+
+
 def names_in(blocks: DataFrame) -> DataFrame:
     """Names of people and organizations that detection found, as the second pass takes them."""
-    found = blocks.select("scope", F.explode("spans").alias("s")).filter(F.col("s.label").isin("PERSON", "ORGANIZATION"))
-    return gazetteer.known_names(found.select("scope", F.col("s.label").alias("label"), F.col("s.text").alias("name")))
+    found = _rows(blocks).filter(F.col("label").isin("PERSON", "ORGANIZATION"))
+    return gazetteer.known_names(found.select("scope", "label", F.col("text").alias("name")))
 
 
 def two_pass(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -69,7 +74,7 @@ def two_pass(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def detections_of(blocks: DataFrame) -> DataFrame:
     """``(scope, block_idx, start, end, text, label, recognizer, score, priority)``, one row for each span."""
-    return blocks.select("scope", "block_idx", F.inline("spans")).drop("ord")
+    return _rows(blocks).drop("ord")
 
 
 def mapping_of(blocks: DataFrame, policy_name: str = "fake", names: DataFrame | None = None) -> DataFrame:
@@ -86,7 +91,7 @@ def with_placeholders(blocks: DataFrame, template: str = "[{label}]") -> DataFra
 
 def replaced(blocks: DataFrame, mapping: DataFrame) -> DataFrame:
     """Detected blocks with ``landed`` and ``redacted`` under any mapping; a substitute equal to its original is no replacement."""
-    found = blocks.select("scope", "block_idx", F.inline("spans")).withColumnRenamed("text", "original")
+    found = _rows(blocks).withColumnRenamed("text", "original")
     joined = found.join(mapping, ["scope", "label", "original"]).filter(F.col("replacement") != F.col("original"))
     made = joined.groupBy("scope", "block_idx").agg(F.collect_list(F.struct("start", "end", F.col("replacement").alias("text"), "label")).alias("made"))
     return _written(blocks.join(made, ["scope", "block_idx"], "left").withColumn("made", F.coalesce("made", spans.empty(spans.REPLACEMENT))))
@@ -122,7 +127,7 @@ def statistics(blocks: DataFrame) -> DataFrame:
 
 def by_label(blocks: DataFrame) -> DataFrame:
     """Replacements that landed, by label."""
-    return blocks.select(F.explode("landed").alias("r")).groupBy(F.col("r.label").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return blocks.select(F.explode_outer("landed").alias("r")).filter(F.col("r").isNotNull()).groupBy(F.col("r.label").alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def by_category(blocks: DataFrame) -> DataFrame:
