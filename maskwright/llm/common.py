@@ -34,6 +34,22 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Tasks among which the rows of one key are dealt in a salted join.
+SALTS = 8
+
+
+def salted_join(rows: DataFrame, few: DataFrame, key: str, by: Column, how: str = "inner") -> DataFrame:
+    """Join many rows with one row for each key, so that a key with a third of all rows is dealt over SALTS tasks.
+
+    ``by`` is what the rows of a key are dealt by; the side with one row for
+    each key is repeated. Adaptive execution does not split such a join where
+    that side comes out of an aggregate.
+    """
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    each = few.withColumn("__salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return dealt.join(each, [key, "__salt"], how).drop("__salt")
+
+
 def spread(spark: SparkSession) -> int:
     """How many partitions a shuffle of this session has."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -1,8 +1,8 @@
 """Connected components by alternating large-star and small-star rounds.
 
 Every round is two group-by-minimum joins, so the edges of a hub are split over
-tasks: its minimum is pre-aggregated before the shuffle, and the join back is a
-plain equi-join that adaptive execution may split. After Kiveris et al.,
+tasks: its minimum is pre-aggregated before the shuffle, and the join back is
+salted. After Kiveris et al.,
 "Connected Components in MapReduce and Beyond" (2014).
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import shared_checkpoint
+from maskwright.llm.common import salted_join, shared_checkpoint
 
 
 def _minimum(pairs: DataFrame) -> DataFrame:
@@ -22,13 +22,13 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Point every larger neighbour of a vertex at the vertex's smallest neighbour."""
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     small = _minimum(both).select("a", F.least("a", "m").alias("m"))
-    return both.join(small, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
+    return salted_join(both, small, "a", F.col("b")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Point a vertex and its smaller neighbours at the smallest of them. Edges have a > b."""
     small = _minimum(edges)
-    moved = edges.join(small, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b")
+    moved = salted_join(edges, small, "a", F.col("b")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b")
     return moved.unionAll(small.select("a", F.col("m").alias("b"))).distinct()
 
 

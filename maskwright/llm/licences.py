@@ -19,7 +19,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import shared_checkpoint
+from maskwright.llm.common import salted_join, shared_checkpoint
 
 THRESHOLD = 0.7
 #: Share of a text's words in licence lines from which on the text is itself a licence file, whatever its name.
@@ -142,7 +142,8 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", path_col: str = "path", tex
     asked = dirs.select("of", F.posexplode(F.array_distinct(above)).alias("depth", "dir"))
     nearest = asked.join(given, "dir").groupBy("of").agg(F.max_by("f", "depth").alias("f"))
     own = own.select(F.col("path").alias("own_path"), F.col("h").alias("own_h"), F.col("licence").alias("own_licence"), F.col("score").alias("own_score"))
-    joined = rows.join(own, F.col("path").eqNullSafe(F.col("own_path")) & (F.col("h") == F.col("own_h")), "left").withColumn("of", _directory(F.col("path"))).join(nearest, "of", "left")
+    joined = rows.join(own, F.col("path").eqNullSafe(F.col("own_path")) & (F.col("h") == F.col("own_h")), "left").withColumn("of", _directory(F.col("path")))
+    joined = salted_join(joined, nearest, "of", F.col("path"), "left")
     has, takes = F.col("own_licence").isNotNull(), F.col("f").isNotNull()
     return joined.select(
         "doc_id",

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import batches, shared_checkpoint, spread
+from maskwright.llm.common import batches, salted_join, shared_checkpoint, spread
 from maskwright.llm.components import components
 
 SHINGLE = 4
@@ -189,9 +189,11 @@ def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
     roots = components(near_links(distinct.select("fp"), radius))
-    rooted = distinct.join(roots.withColumnRenamed("vertex", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    return rooted.join(named, "root").select("fp", "component_id")
+    inside = roots.select(F.col("vertex").alias("fp"), "root").unionAll(roots.select(F.col("root").alias("fp"), "root").distinct())
+    inside = distinct.join(inside, "fp")
+    named = inside.groupBy("root").agg(F.min("low").alias("component_id"))
+    linked = salted_join(inside.select("fp", "root"), named, "root", F.col("fp")).select("fp", "component_id")
+    return distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
