@@ -49,15 +49,8 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     word = not a.source.rstrip("/").endswith(".parquet")
     files = docx.load(spark, a.source) if word else None
     blocks = docx.blocks(files, not a.no_headers) if word else plans.blocks_of(spark.read.parquet(a.source))
-    mapping = None
-    if a.transform == "passthrough":
-        done = plans.passed_through(blocks)
-    else:
-        found, names = plans.detected(blocks, listed(a.only), listed(a.exclude), entities=True), None
-        if not a.single_pass:
-            found, names = plans.two_pass(found)
-        mapping = plans.mapping_of(found, a.policy, names)
-        done = plans.replaced(found, mapping)
+    options = {"policy_name": a.policy, "passes": 1 if a.single_pass else 2, "only": listed(a.only), "exclude": listed(a.exclude)}
+    done, mapping = plans.transform(a.transform, blocks, **options)
     done = done.persist()
     try:
         stats = plans.statistics(done).first()

@@ -36,7 +36,7 @@ def matched(blocks: DataFrame, names: DataFrame) -> DataFrame:
     """
     longest = F.element_at(F.array_sort(F.transform(_words(F.col("name")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
     keyed = names.withColumn("key", F.coalesce(F.when(F.col("name").rlike("[A-Za-z]"), longest), F.lit("")))
-    asked = blocks.select("scope", "block_idx", "text", F.explode(F.array_append(F.array_distinct(_words(F.col("text"))), F.lit(""))).alias("key"))
+    asked = blocks.join(names.select("scope").distinct(), "scope", "left_semi").select("scope", "block_idx", "text", F.explode(F.array_append(F.array_distinct(_words(F.col("text"))), F.lit(""))).alias("key"))
     # Case-insensitive containment of the words, before any pattern is made.
     met = asked.join(keyed, ["scope", "key"]).filter(F.forall(_words(F.col("name")), lambda w: F.contains(F.lower("text"), w)))
     escaped = F.regexp_replace("name", r"([\\.\[\]{}()*+?^$|&#-])", r"\\$1")

@@ -58,6 +58,11 @@ def primed(names: DataFrame) -> DataFrame:
     return of.join(one.select("scope", "signature", "whole"), ["scope", "signature"], "left").select("scope", "signature", F.coalesce("whole", "signature").alias("root"))
 
 
+def how_many(linked_values: DataFrame) -> DataFrame:
+    """``(scope, identities)``: distinct people of each scope, of rows with a root."""
+    return linked_values.groupBy("scope").agg(F.count_distinct("root").alias("identities"))
+
+
 class Links:
     """The registry of one scope: signatures and what each stands for."""
 

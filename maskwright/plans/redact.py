@@ -137,13 +137,23 @@ def by_category(blocks: DataFrame) -> DataFrame:
     return every.join(by_label(blocks), "label", "left").select("category", "position", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
+def transform(name: str, blocks: DataFrame, **options) -> tuple[DataFrame, DataFrame | None]:
+    """Blocks under a transform by name, ``redact`` or ``passthrough``, and its mapping; KeyError for another name."""
+    return {"redact": redacted_blocks, "passthrough": lambda b, **_: (passed_through(b), None)}[name](blocks, **options)
+
+
+def redacted_blocks(blocks: DataFrame, policy_name: str = "fake", passes: int = 2, only: Iterable[str] | None = None, exclude: Iterable[str] = (), entities: str | bool = True) -> tuple[DataFrame, DataFrame]:
+    """Blocks, redacted, and the mapping. Pass 2 looks again for the names that pass 1 found."""
+    found, names = detected(blocks, only, exclude, entities=entities), None
+    if passes > 1:
+        found, names = two_pass(found)
+    mapping = mapping_of(found, policy_name, names)
+    return replaced(found, mapping), mapping
+
+
 def redact(docs: DataFrame, policy_name: str = "fake", id_col: str = "doc_id", text_col: str = "text", by_line: bool = True, passes: int = 2, only: Iterable[str] | None = None, exclude: Iterable[str] = (), entities: str | bool = True) -> tuple[DataFrame, DataFrame]:
     """Redacted blocks and the mapping. The mapping undoes the redaction: keep it apart."""
-    blocks, names = detected(blocks_of(docs, id_col, text_col, by_line), only, exclude, entities=entities), None
-    if passes > 1:
-        blocks, names = two_pass(blocks)
-    mapping = mapping_of(blocks, policy_name, names)
-    return replaced(blocks, mapping), mapping
+    return redacted_blocks(blocks_of(docs, id_col, text_col, by_line), policy_name, passes, only, exclude, entities)
 
 
 def searched(mapping: DataFrame, label: str = "ALL", query: str = "") -> DataFrame:

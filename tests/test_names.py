@@ -102,6 +102,12 @@ def test_people_and_their_addresses_are_one(spark):
     assert got["kushal.hegde@x.co"] == "hegde kushal rohit"
 
 
+def test_people_are_counted(spark):
+    rows = [("d", "PERSON", v, n, 0) for n, v in enumerate(["Ann Lee", "ANN LEE", "Bob Ray", "ann.lee"])]
+    values = spark.createDataFrame(rows, "scope string, label string, text string, block_idx int, start int")
+    assert [tuple(r) for r in identity.how_many(identity.linked(values)).collect()] == [("d", 2)]
+
+
 def test_substitutes_keep_the_shape(spark):
     shapes = {
         ("PHONE", "+ 91 20 4505 3237"): r"\+ 91 \d\d \d{4} \d{4}",
@@ -164,6 +170,8 @@ def test_numbers_and_markers(spark):
         assert [tuple(r) for r in redact.by_label(blocks).orderBy("label").collect()] == [("EMAIL", 3), ("PHONE", 1)]
     with pytest.raises(KeyError):
         policies.policy("none")
+    with pytest.raises(KeyError):
+        redact.transform("none", redact.blocks_of(docs))
 
 
 def test_statistics(spark):
