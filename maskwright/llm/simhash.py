@@ -193,7 +193,8 @@ def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     inside = distinct.join(inside, "fp")
     named = inside.groupBy("root").agg(F.min("low").alias("component_id"))
     linked = salted_join(inside.select("fp", "root"), named, "root", F.col("fp")).select("fp", "component_id")
-    return distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
+    # Written, so that the join with all documents has a plain exchange on both sides, which adaptive execution may split.
+    return shared_checkpoint(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
