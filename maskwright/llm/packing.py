@@ -36,6 +36,16 @@ WORDS = re.compile(r"[^\W\d_²³¹¼½¾]+|'s|'t|'re|'ve|'m|'ll|'d|[\d²³¹¼½
 UNSURE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 
 
+def plain(text: str) -> bool:
+    """Whether the library's rules and those of WORDS cannot differ on a text."""
+    if any(sign in text for sign in UNSURE):
+        return False
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
+
+
 class WordIds(dict):
     """Ids, as little-endian bytes, of each word of lower-case text.
 
@@ -53,6 +63,7 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.older: dict[str, bytes] = {}
+        self.others: dict[str, bytes] = {}
         # How the byte-level step writes each byte of a word.
         split = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         shown = {byte: split(chr(byte).encode("latin-1").decode()) for byte in range(128)}
@@ -75,16 +86,22 @@ class WordIds(dict):
         return found
 
     def ids(self, text: str) -> bytes:
-        if any(sign in text for sign in UNSURE):
-            plain = False
-        else:
-            try:
-                plain = text.isascii() or bool(text.encode("latin-1"))
-            except UnicodeEncodeError:
-                plain = False
-        if plain:
+        if plain(text):
             return b"".join(map(self.__getitem__, WORDS.findall(text.lower())))
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(map(self.stretch, text.replace("\n", " ").split(" ")))
+
+    def stretch(self, stretch: str) -> bytes:
+        """Ids of what stands between blanks and newlines, over which nothing reaches."""
+        if plain(stretch):
+            return b"".join(map(self.__getitem__, WORDS.findall(stretch.lower())))
+        found = self.others.get(stretch)
+        if found is None:
+            found = np.array(self.tokenizer.encode(stretch, add_special_tokens=False).ids, "<u4").tobytes()
+            if len(stretch) <= 100:
+                if len(self.others) >= REMEMBERED:
+                    self.others.clear()
+                self.others[stretch] = found
+        return found
 
 
 @lru_cache(maxsize=1)

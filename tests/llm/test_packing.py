@@ -64,6 +64,15 @@ def test_awkward_rows(spark):
     assert packing.pack(empty(spark), PATH).count() == 0
 
 
+def test_ids_of_random_texts():
+    """Scripts, marks, special tokens and odd blanks: the same ids as the library's on the whole text."""
+    rng, known, t = random.Random(1), packing.WordIds(PATH), Tokenizer.from_file(PATH)
+    alphabet = [chr(c) for c in range(256)] + list("abcABC 's 't 'LL \n\n  ") * 6 + ["œ", "’", "İ", "Σ", "ς", "é", "e\u0301", "\u0301", "中", "<|endoftext|>", "<|", "😀", "٣", "ﬁ", "\u2003", "\u0345"]
+    for _ in range(6_000):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40)))
+        assert known.ids(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+
+
 def test_ids_on_request(spark):
     rows = packing.pack(awkward(spark), PATH, with_ids=True).collect()
     assert all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in rows)
