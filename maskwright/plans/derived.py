@@ -22,6 +22,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows over as many tasks as there are cores: a small table can lie in one row group, which is one task. Large ones stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def chosen(words: tuple[str, ...], key: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, words)), (key % len(words) + 1).cast("int"))
 

@@ -11,7 +11,7 @@ from maskwright.functions import checks, words
 from maskwright.functions.surrogates import substitutes
 from maskwright.operators import gazetteer, identity, policies, recognizers, scoring, spans
 from maskwright.plans import derived, redact
-from maskwright.plans.derived import read
+from maskwright.plans.derived import dealt, read
 from maskwright.sources import docx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,7 +57,7 @@ def only(spark: SparkSession, rows: DataFrame, *names: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return dealt(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 @query(f"SELECT id, start, value FROM {sql_spans(DOCUMENTS, EMAIL)}")
@@ -102,7 +102,7 @@ def detect_phone(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT id, start, value FROM {sql_spans('(SELECT page_id AS id, html AS text FROM pages)', URL)} WHERE NOT ends_with(rtrim(text[1:start]), '@')")
 def detect_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return only(spark, read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("text")), "website")
+    return only(spark, dealt(read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("text"))), "website")
 
 
 @query(
@@ -150,7 +150,7 @@ def overlap_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mail_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by line, with the addresses of mail and of hosts."""
-    return redact.detected(redact.blocks_of(read(spark, sf_dir, "documents")), ["email"])
+    return redact.detected(redact.blocks_of(dealt(read(spark, sf_dir, "documents").select("doc_id", "text"))), ["email"])
 
 
 LINES = "(SELECT doc_id AS id, CAST(i - 1 AS INT) AS block_idx, lines[i] AS text FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)))"
@@ -413,7 +413,7 @@ def two_pass_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT doc_id, regexp_replace(text, '{EMAIL}', '[EMAIL]', 'g') AS redacted_text, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_blocks FROM documents WHERE text IS NOT NULL")
 def docx_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as a Word file, a run for each line, with its addresses replaced and read back."""
-    docs = read(spark, sf_dir, "documents").filter(F.col("text").isNotNull())
+    docs = dealt(read(spark, sf_dir, "documents").select("doc_id", "text").filter(F.col("text").isNotNull()))
     files = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.regexp_replace("text", r"[\x00-\x08\x0B-\x1F￾￿]", " ").alias("text")).mapInArrow(docx.packaged, "doc_id string, content binary")
     found = redact.with_placeholders(redact.detected(docx.blocks(files), ["email"]))
     changed = found.withColumn("new_runs", spans.splice_runs(F.col("runs"), F.col("landed")))

@@ -21,14 +21,16 @@ from pyspark.sql import functions as F
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 BODY = "word/document.xml"
-#: Kinds of header and footer of a section, in reading order.
-EDGES = [(kind, edge) for kind in ("default", "first", "even") for edge in ("header", "footer")]
+#: Headers and footers of a section, in reading order, and how a location names them.
+EDGES = {(kind, edge): f"{name}{edge}" for edge in ("header", "footer") for kind, name in (("default", ""), ("first", "first_page_"), ("even", "even_page_"))}
 BLOCKS = "doc_id string, block_idx int, location string, runs array<string>, part string, paragraph int"
-ONE_CHARACTER = {W + "tab": "\t", W + "br": "\n", W + "cr": "\n", W + "noBreakHyphen": "-"}
+ONE_CHARACTER = {W + "tab": "\t", W + "ptab": "\t", W + "br": "\n", W + "cr": "\n", W + "noBreakHyphen": "-"}
 
 
 def run_text(run) -> str:
-    return "".join(c.text or "" if c.tag == W + "t" else ONE_CHARACTER.get(c.tag, "") for c in run)
+    """The text of a run: breaks of a page or column are none."""
+    shown = (c for c in run if c.get(W + "type", "textWrapping") == "textWrapping")
+    return "".join(c.text or "" if c.tag == W + "t" else ONE_CHARACTER.get(c.tag, "") for c in shown)
 
 
 def runs_of(paragraph) -> list:
@@ -50,8 +52,13 @@ def paragraphs(container, location: str, seen: set[int]) -> Iterator[tuple[str,
             yield location, child
         elif child.tag == W + "tbl":
             for r, row in enumerate(c for c in child if c.tag == W + "tr"):
-                for k, cell in enumerate(c for c in row if c.tag == W + "tc"):
-                    yield from paragraphs(cell, f"{location}/table[{r},{k}]", seen)
+                column = 0
+                for cell in (c for c in row if c.tag == W + "tc"):
+                    span, merged = cell.find(f"{W}tcPr/{W}gridSpan"), cell.find(f"{W}tcPr/{W}vMerge")
+                    # A cell that goes on from the row above shows that cell again.
+                    if merged is None or merged.get(W + "val") == "restart":
+                        yield from paragraphs(cell, f"{location}/table[{r},{column}]", seen)
+                    column += int(span.get(W + "val", 1)) if span is not None else 1
 
 
 def walk(content: bytes) -> Iterator[tuple[str, str, int, list[str]]]:
@@ -66,12 +73,12 @@ def walk(content: bytes) -> Iterator[tuple[str, str, int, list[str]]]:
         done = set()
         for n, section in enumerate(body.iter(W + "sectPr")):
             edges = {(e.get(W + "type", "default"), e.tag.removeprefix(W).removesuffix("Reference")): links.get(e.get(R + "id")) for e in section if e.tag in (W + "headerReference", W + "footerReference")}
-            for edge in EDGES:
+            for edge, name in EDGES.items():
                 part = edges.get(edge)
                 if part in names and part not in done:
                     done.add(part)
                     root = ElementTree.fromstring(package.read(part))
-                    parts.append((f"section[{n}].{edge[0]}_{edge[1]}", part, root, root))
+                    parts.append((f"section[{n}]/{name}", part, root, root))
         for location, part, container, root in parts:
             number = {id(p): k for k, p in enumerate(root.iter(W + "p"))}
             for where, p in paragraphs(container if container is not None else (), location, set()):
@@ -109,7 +116,7 @@ def _spliced(xml: bytes, edits: dict[int, list[str]]) -> bytes:
     """
     named = re.search(rb'xmlns:?([\w.-]*)="http://schemas.openxmlformats.org/wordprocessingml/2006/main"', xml)
     w = named[1] + b":" if named and named[1] else b""
-    texts = {w + n for n in (b"t", b"tab", b"br", b"cr", b"noBreakHyphen")}
+    texts = {w + n for n in (b"t", b"tab", b"ptab", b"br", b"cr", b"noBreakHyphen")}
     out, at, seen, path, count, new = [], 0, -1, [], [], None
     for m in re.finditer(rb"<(/?)([A-Za-z_][\w.:-]*)([^>]*?)(/?)>|<!--.*?-->", xml, re.DOTALL):
         name = m[2]
@@ -131,7 +138,7 @@ def _spliced(xml: bytes, edits: dict[int, list[str]]) -> bytes:
             paragraph, k = count[-1]
             new = edits[paragraph][k] if paragraph in edits and not m[4] else None
             count[-1][1] += 1
-        elif name in texts and new is not None and path[-1:] == [w + b"r"]:
+        elif name in texts and new is not None and path[-1:] == [w + b"r"] and not re.search(rb'type="(?:page|column)"', m[3]):
             # The first text element of the run takes the new text, the others go.
             end = m.end() if m[4] else xml.index(b"</" + name + b">", m.end()) + len(name) + 3
             out += [xml[at : m.start()], b"<" + w + b't xml:space="preserve">' + escape(new).encode() + b"</" + w + b"t>" if new else b""]

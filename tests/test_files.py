@@ -38,9 +38,9 @@ def paragraph(*runs: str) -> str:
 
 BODY = (
     paragraph("Write to a.b@", "x.co", " &amp; wait")
-    + '<w:p><w:r><w:t>tab</w:t><w:tab/><w:t>c@d.co</w:t></w:r></w:p><w:p/><w:p><w:r/></w:p>'
+    + '<w:p><w:r><w:t>tab</w:t><w:tab/><w:br w:type="page"/><w:t>c@d.co</w:t></w:r></w:p><w:p/><w:p><w:r/></w:p>'
     + '<w:p><w:hyperlink r:id="h"><w:r><w:t>e@f.co</w:t></w:r></w:hyperlink><w:sdt><w:r><w:t>g@h.co</w:t></w:r></w:sdt></w:p>'
-    + "<w:tbl><w:tr><w:tc>" + paragraph("+91 20 4505 3237") + "<w:tbl><w:tr><w:tc>" + paragraph("in@ner.co") + "</w:tc></w:tr></w:tbl></w:tc><w:tc>" + paragraph("plain") + "</w:tc></w:tr></w:tbl>"
+    + "<w:tbl><w:tr><w:tc><w:tcPr><w:gridSpan w:val=\"2\"/></w:tcPr>" + paragraph("+91 20 4505 3237") + "<w:tbl><w:tr><w:tc>" + paragraph("in@ner.co") + "</w:tc></w:tr></w:tbl></w:tc><w:tc>" + paragraph("plain") + "</w:tc></w:tr><w:tr><w:tc><w:tcPr><w:vMerge/></w:tcPr>" + paragraph("hid@den.co") + "</w:tc></w:tr></w:tbl>"
     + '<w:sectPr><w:headerReference w:type="default" r:id="rId9"/></w:sectPr>'
 )
 HEADER = {"word/header1.xml": f'<w:hdr {NS}>{paragraph("head@er.co")}</w:hdr>'}
@@ -65,8 +65,8 @@ def test_blocks_of_word_files(spark, folder):
         (3, "body", "e@f.co"),
         (4, "body/table[0,0]", "+91 20 4505 3237"),
         (5, "body/table[0,0]/table[0,0]", "in@ner.co"),
-        (6, "body/table[0,1]", "plain"),
-        (7, "section[0].default_header", "head@er.co"),
+        (6, "body/table[0,2]", "plain"),
+        (7, "section[0]/header", "head@er.co"),
     ]
     assert docx.blocks(docx.load(spark, str(folder)), headers=False).filter("location like 'section%'").count() == 0
 
