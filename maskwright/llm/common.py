@@ -11,8 +11,14 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the input tables, read by Spark's own reader."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the input tables, read by Spark's own reader.
+
+    A small table can lie in one row group, which is one task; if the scan has
+    fewer partitions than there are cores, its rows are dealt out. Large tables
+    stay as they are.
+    """
+    rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def shared_folder(spark: SparkSession) -> str:
