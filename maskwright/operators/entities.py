@@ -17,8 +17,8 @@ from maskwright.operators.recognizers import ORDER_STEP
 
 #: Edge punctuation of an entity, as the inside of a character class.
 EDGE = " \\t\\n\\r\"'“”‘’(),;:./-"
-#: Names as capitalised words in a row, in Java's syntax.
-CAPITALISED = r"(?U)(?<![\w])[\p{Lu}][\w.'’-]*(?:[ \t]+(?:[\p{Lu}][\w.'’-]*|&|of(?=[ \t]+\p{Lu})))+"
+#: Names as capitalised words in a row, in Java's syntax; possessive, so that long runs need no stack.
+CAPITALISED = r"(?U)(?<![\w])[\p{Lu}][\w.'’-]*(?:[ \t]+(?:[\p{Lu}][\w.'’-]*+|&|of(?=[ \t]+\p{Lu})))++"
 PRIORITY = {"PERSON": 45, "ORGANIZATION": 40, "LOCATION": 35}
 NAMES = {"PERSON": "person", "ORGANIZATION": "organization", "LOCATION": "location"}
 

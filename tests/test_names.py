@@ -51,6 +51,15 @@ def test_heuristic_entities(spark):
     assert [(e.start, e.label) for e in got] == [(10, "PERSON"), (26, "ORGANIZATION"), (48, "LOCATION")]
 
 
+def test_long_runs(spark):
+    """Very long runs of any shape neither overflow nor hang."""
+    texts = ["The " * 30_000, "A." * 30_000 + " Limited", "1 " * 30_000, "x" * 60_000 + "@", "a@" + "b." * 20_000 + "c", "www." + "a." * 20_000, "+" + "1 " * 20_000, "1." * 20_000, "((" * 20_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    done = redact.with_placeholders(redact.detected(redact.blocks_of(docs), entities=True))
+    assert done.count() == len(texts)
+    assert redact.statistics(done).first().characters == sum(map(len, texts))
+
+
 def mentions(spark, names, texts, label="PERSON"):
     known = gazetteer.known_names(spark.createDataFrame([("d", label, n) for n in names], "scope string, label string, name string"))
     blocks = spark.createDataFrame([("d", k, t) for k, t in enumerate(texts)], "scope string, block_idx int, text string")
