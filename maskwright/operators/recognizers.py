@@ -85,7 +85,8 @@ class Recognizer:
         low = F.greatest(s["start"] - self.window, F.lit(0))
         seen = F.greatest(low - 1, F.lit(0))
         before = F.substring(text, seen + 1, s["start"] - seen)
-        return F.regexp_like(before, F.concat(F.when(low > 0, F.lit("^(?s:.)(?s:.*?)")).otherwise(F.lit("^(?s:.*?)")), F.lit(self.context)))
+        # Two constant patterns, each compiled once.
+        return F.when(low > 0, before.rlike(f"^(?s:.)(?s:.*?){self.context}")).otherwise(before.rlike(f"^(?s:.*?){self.context}"))
 
 
 def _before(text: Column, s: Column) -> Column:

@@ -43,7 +43,7 @@ def _padded(key: Column, top: int, width: int) -> Column:
 def ssn(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     text = F.concat(F.lit("SSN: "), _padded(k * 7, 1000, 3), F.lit("-"), _padded(k, 100, 2), F.lit("-"), _padded(k * 13, 10000, 4), F.lit("."))
-    return read(spark, sf_dir, "customer").select(k.alias("id"), text.alias("text"))
+    return dealt(read(spark, sf_dir, "customer")).select(k.alias("id"), text.alias("text"))
 
 
 SSN = (
@@ -54,7 +54,7 @@ SSN = (
 
 def dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     lead = chosen(("Date of Birth: ", "Dated ", "D.O.B. - ", "was born on ", "birth date of the company, which is long past: "), F.col("o_orderkey"))
-    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat(lead, F.date_format("o_orderdate", "dd/MM/yyyy")).alias("text"))
+    return dealt(read(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("id"), F.concat(lead, F.date_format("o_orderdate", "dd/MM/yyyy")).alias("text"))
 
 
 DATES = (
@@ -67,7 +67,7 @@ DATES = (
 def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     text = F.concat(F.lit("paid by the "), F.initcap(F.lower("c_mktsegment")), F.lit(" "), chosen(FORMS, k), F.lit(" on time"))
-    return read(spark, sf_dir, "customer").select(k.alias("id"), text.alias("text"))
+    return dealt(read(spark, sf_dir, "customer")).select(k.alias("id"), text.alias("text"))
 
 
 COMPANIES = f"(SELECT c_custkey AS id, 'paid by the ' || upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) || ' ' || {sql_chosen(FORMS, 'c_custkey')} || ' on time' AS text FROM customer)"
@@ -76,7 +76,7 @@ COMPANIES = f"(SELECT c_custkey AS id, 'paid by the ' || upper(c_mktsegment[1])
 def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     text = F.concat(chosen(("Plot 7, ", "sold to ", "No "), k), chosen(CITIES, k), F.lit(" "), _padded(k * 7919 + 1000, 1000000, 6), F.lit(", lot"))
-    return read(spark, sf_dir, "supplier").select(k.alias("id"), text.alias("text"))
+    return dealt(read(spark, sf_dir, "supplier")).select(k.alias("id"), text.alias("text"))
 
 
 ADDRESSES = (
@@ -91,7 +91,7 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, middle, last = chosen(FIRST, k), chosen(MIDDLE, F.floor(k / 5)), chosen(LAST, F.floor(k / 3))
     name = F.when(k % 3 == 0, F.concat_ws(" ", first, middle, last)).otherwise(F.concat_ws(" ", first, last))
     mail = F.lower(F.concat(first, F.lit("."), last, F.lit("@mail.example.com")))
-    return read(spark, sf_dir, "customer").select(F.floor(k / 40).alias("scope"), k.alias("id"), name.alias("name"), mail.alias("mail"))
+    return dealt(read(spark, sf_dir, "customer")).select(F.floor(k / 40).alias("scope"), k.alias("id"), name.alias("name"), mail.alias("mail"))
 
 
 _FIRST, _MIDDLE, _LAST = sql_chosen(FIRST, "c_custkey"), sql_chosen(MIDDLE, "c_custkey // 5"), sql_chosen(LAST, "c_custkey // 3")
