@@ -221,6 +221,12 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     slim = shared_checkpoint(docs.select(id_.alias("doc_id"), F.xxhash64(text).alias("h"), fingerprints(F.col(text_col)).alias("fp")))
     of = slim.join(classes(slim.select("doc_id", "fp"), radius), "fp")
     first = of.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "h")).alias("first"))
+    return only_first(docs, first, id_col, text_col)
+
+
+def only_first(docs: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that ``first(first.doc_id, first.h)`` names by id and text hash; of exact repeats one."""
+    id_, text = F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))
     first = first.select(F.col("first.doc_id").alias("__rep_id"), F.col("first.h").alias("__rep_h")).distinct()
     marked = docs.withColumn("__rep_hash", F.xxhash64(text))
     kept = marked.join(first, id_.eqNullSafe(F.col("__rep_id")) & (F.col("__rep_hash") == F.col("__rep_h")), "left_semi")
