@@ -43,26 +43,63 @@ IMPLIED = {
     "tfoot": ({"td", "th", "tr", "thead", "tbody", "tfoot", "caption"}, {"table"}),
 }
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
-NOT_SHOWN = re.compile(r"""(?:^|[\s"'/])hidden(?=[\s=/]|$)|style\s*=\s*["']?[^>]*?(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.IGNORECASE)
-SPAN = re.compile(r"colspan\s*=\s*[\"']?(\d{1,3})", re.IGNORECASE)
-START = re.compile(r"start\s*=\s*[\"']?(-?\d{1,6})", re.IGNORECASE)
+#: Name and value of an attribute; an unquoted value takes a slash at its end along.
+ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>][^\s>]*+)))?+""")
+#: Most tags have none of the attributes that are read.
+READ = re.compile("hidden|style|colspan|start|open", re.IGNORECASE)
+FOREIGN = ("svg", "math")
+#: Elements of a table between which a form has no box.
+TABLE = frozenset("table thead tbody tfoot tr".split())
 GAP = "  "
 ROWS = 128
 
 
+def attributes(rest: str) -> dict[str, str]:
+    """Values by name in lower case; of equal names the first counts."""
+    found: dict[str, str] = {}
+    if READ.search(rest):
+        for m in ATTRIBUTE.finditer(rest):
+            found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+    return found
+
+
+def unshown(style: str) -> bool:
+    """Whether the declarations of a style, of which the last of a name counts, leave an element out."""
+    values: dict[str, tuple[bool, str]] = {}
+    for part in re.sub(r"/\*.*?\*/", "", style, flags=re.DOTALL).lower().split(";"):
+        name, _, value = part.partition(":")
+        bare, important, _ = value.partition("!")
+        if important or not values.get(name.strip(), (False, ""))[0]:
+            values[name.strip()] = bool(important), bare.strip()
+    return values.get("display", (0, ""))[1] == "none" or values.get("visibility", (0, ""))[1] in ("hidden", "collapse")
+
+
+def closes_itself(rest: str) -> bool:
+    """Whether a tag ends with a slash that is not part of an unquoted value."""
+    if not rest.endswith("/"):
+        return False
+    return not any(m[4] and m.end() == len(rest) for m in ATTRIBUTE.finditer(rest))
+
+
+def _number(value: str, pattern: str) -> int | None:
+    m = re.match(pattern, value)
+    return int(m[1]) if m else None
+
+
 class Box:
     """An open element: its laid-out blocks ``(spaced, lines)`` and the line of text that is being filled."""
 
     __slots__ = ("blocks", "cells", "count", "hidden", "line", "rows", "span", "tag")
 
-    def __init__(self, tag: str, hidden: bool, rest: str = "") -> None:
+    def __init__(self, tag: str, hidden: bool, of: dict[str, str] | None = None) -> None:
         self.tag, self.hidden = tag, hidden
         self.blocks: list[tuple[bool, list[str]]] = []
         self.line: list[str] = []
         self.rows: list[list[tuple[int, list[str]]]] = []
         self.cells: list[tuple[int, list[str]]] = []
-        self.span = min(50, int(m[1])) if tag in ("td", "th") and (m := SPAN.search(rest)) else 1
-        self.count = int(m[1]) - 1 if tag == "ol" and (m := START.search(rest)) else 0
+        of = of or {}
+        self.span = min(50, _number(of.get("colspan", ""), r"\s*(\d{1,3})") or 1) if tag in ("td", "th") else 1
+        self.count = (1 if (n := _number(of.get("start", ""), r"\s*(-?\d{1,6})")) is None else n) - 1 if tag == "ol" else 0
 
     def flush(self, keep: bool = False) -> None:
         text, self.line = "".join(self.line), []
@@ -107,8 +144,10 @@ class Page:
             parent.cells.append((box.span, lines))
         elif box.tag == "tr":
             parent.rows.append(box.cells or [(1, lines)])
+            if box.cells:  # what stands in a row beside its cells shows before the table
+                parent.blocks += box.blocks
         elif box.tag in ("thead", "tbody", "tfoot"):
-            parent.rows += box.rows
+            parent.rows += [*box.rows, *([box.cells] if box.cells else [])]
             parent.blocks += box.blocks
         else:
             if box.tag in ("table", "html", "body") or box.rows or box.cells:
@@ -137,17 +176,20 @@ class Page:
             self.close()
 
     def push(self, tag: str, rest: str = "") -> None:
-        shown = self.stack[-1].hidden or tag in HIDDEN or bool(rest and NOT_SHOWN.search(rest)) or tag == "dialog" and not re.search(r"\bopen\b", rest)
+        of = attributes(rest) if rest else {}
+        hidden = self.stack[-1].hidden or tag in HIDDEN or "hidden" in of or "style" in of and unshown(of["style"]) or tag == "dialog" and "open" not in of
         if tag in BLOCK:
             parent = self.block()
             parent.flush(keep=parent.tag == "pre")
-        self.stack.append(Box(tag, shown, rest))
+        self.stack.append(Box(tag, hidden, of))
         self.open[tag] += 1
 
     def start(self, tag: str, rest: str) -> None:
         if tag in ("html", "body"):
             self.close_to({"head"}, frozenset())
             return
+        if tag == "form" and self.block().tag in TABLE:
+            return
         if tag not in IN_HEAD and tag != "head":
             self.close_to({"head"}, frozenset())
         if tag == "br":
@@ -167,7 +209,7 @@ class Page:
     def end(self, tag: str) -> None:
         if tag == "br":
             self.start("br", "")
-        elif tag not in ("html", "body"):
+        elif tag not in ("html", "body") and not (tag == "form" and self.block().tag in TABLE):
             stops = {"table"} if tag in IMPLIED else {"td", "th"} if tag not in ("table", "tr", "thead", "tbody", "tfoot") else frozenset()
             self.close_to({tag}, stops - {tag})
 
@@ -235,6 +277,9 @@ def visible_text(source: str) -> str:
             if close:
                 page.end(tag)
                 continue
+            foreign = tag in FOREIGN or any(page.open[t] > 0 for t in FOREIGN)
+            if foreign and closes_itself(rest):
+                continue
             page.start(tag, rest)
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.IGNORECASE).search(source, at)

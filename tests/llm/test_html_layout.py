@@ -72,3 +72,26 @@ def test_awkward_rows(spark):
     got = extracted(pages, ("page_id",)).collect()
     assert len(got) == len(rows) and [r.text for r in got if r.page_id in (1, 2)] == ["", "", ""]
     assert extracted(pages.limit(0), ("page_id",)).count() == 0
+
+
+BESIDE = [
+    ("<table><tr><td>A</td><form><td>B</td></form></tr></table>", "A  B"),
+    ("<form><table><tr><td>A</td><form><td>B</td></form></tr><tr><td>C</table></form>after", "A  B\nC\nafter"),
+    ("<table><tr><td>A</td><div>B</div></tr></table>", "B\nA"),
+    ("<table><tr>stray<td>A</td></tr><tr><td>B</td>text</tr></table>", "stray\ntext\nA\nB"),
+    ("<table><tbody><tr><td>A</td>x</tr></tbody></table>", "x\nA"),
+    ("<tbody><td>A<td>B</tbody>", "A  B"),
+    ('<p class="hidden md:block">a</p><p title="hidden gem">b</p><p style="color:red" data-x="display:none">c</p>', "a\n\nb\n\nc"),
+    ('<p data-style="display:none">a</p><p style="--display:none">b</p><p style="display:none;display:block">c</p>', "a\n\nb\n\nc"),
+    ("<p HIDDEN=''>no</p><p hidden=until-found>no</p><p STYLE='Display : NONE !important; display:block'>no</p><p style=display&#58;none>no</p>yes", "yes"),
+    ('<dialog title="an open one">no</dialog><dialog open>yes</dialog>', "yes"),
+    ("<table><tr><td data-colspan=3>a<td>b<tr><td>c<td>d</table><ol data-start=5><li>x</ol>", "a  b\nc  d\n\n1. x"),
+    ('<p>a <svg width="9"/>b</p>c<math/>d<svg><path d="x"/><style/><g/></svg>e', "a b\n\ncde"),
+    ("a<svg width=9/>no</svg>b<svg viewBox='0 0'/ >", "ab"),
+    ("<table><td colspan='2'>wide<tr><td>a<td>b</table><div/>c", "wide\na  b\n\nc"),
+]
+
+
+@pytest.mark.parametrize("source, want", BESIDE)
+def test_nothing_that_shows_is_lost(source, want):
+    assert visible_text(source) == want
