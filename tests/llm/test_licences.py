@@ -103,3 +103,45 @@ def test_every_template_finds_itself(spark):
     rows = [(k, f"d{k}/f.txt", f"{text}\nand then other words of the file") for k, (_, text) in enumerate(licences.TEMPLATES)]
     got = licences.scanned(spark.createDataFrame(rows, "doc_id bigint, path string, text string")).collect()
     assert {r.doc_id: r.licence for r in got} == {k: name for k, (name, _) in enumerate(licences.TEMPLATES)}
+
+
+GPL_HEADER = """# tool.py
+#
+# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful.
+import os"""
+APACHE_HEADER = """/*
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ */
+int main() {}"""
+GPL_FILE = "\n                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Everyone is permitted to copy it.\n" + "the terms and conditions for copying follow\n" * 40
+
+
+def wrapped(text, width=60):
+    return "Copyright (c) 2024 A. Person\n\n" + "\n".join(re.findall(rf".{{1,{width}}}(?:\s+|$)", text))
+
+
+def test_headers_tags_and_whole_files(spark):
+    """Wrapped headers, SPDX tags and full licence texts count, and such a text speaks for its directory whatever its name."""
+    texts = [
+        ("GPL-3.0", "a/1.txt", GPL_HEADER), ("Apache-2.0", "b/1.txt", APACHE_HEADER), ("MIT", "c/1.txt", "// SPDX-License-Identifier: MIT\n" + "code of its own\n" * 20),
+        ("GPL-3.0", "d/1.txt", "/* SPDX-License-Identifier: GPL-3.0-or-later */"), ("GPL-2.0", "e/1.txt", "SPDX-License-Identifier: GPL-2.0+"), ("EPL-2.0", "f/1.txt", "SPDX-License-Identifier: (EPL-2.0 OR MIT)\ncode"),
+        ("GPL-3.0", "g/1.txt", GPL_FILE), ("MIT", "h/1.txt", wrapped(licences.MIT)), ("BSD-2-Clause", "i/1.txt", wrapped(licences.BSD_HEAD + licences.BSD_END)),
+        ("BSD-3-Clause", "j/1.txt", wrapped(licences.BSD_HEAD + licences.BSD_THIRD + licences.BSD_END)), ("CC-BY-4.0", "k/1.txt", "words before\n" * 20 + "This work is licensed under a Creative Commons\nAttribution 4.0 International License."),
+        ("Apache-2.0", "l/LICENSE", "\n      Apache License\n  Version 2.0, January 2004\n" + "terms of use and reproduction\n" * 30), ("ISC", "m/1.txt", wrapped(licences.ISC, 40)),
+    ]
+    rows = [(k, path, text) for k, (_, path, text) in enumerate(texts)] + [(100 + k, path[0] + "/under/x.txt", "nothing") for k, (_, path, _) in enumerate(texts)]
+    rows += [(1000 + k, f"z/{k}.txt", "the mit und version of the software with a license and permission") for k in range(200)]
+    got = {r.doc_id: r for r in licences.scanned(spark.createDataFrame(rows, "doc_id bigint, path string, text string"), file_share=0.5).collect()}
+    assert {k: got[k].licence for k in range(len(texts))} == {k: name for k, (name, _, _) in enumerate(texts)}
+    assert {got[k].how for k in range(len(texts))} == {"own"}
+    speaks = {path[0] for k, (_, path, _) in enumerate(texts) if got[100 + k].how == "inherited"}
+    assert speaks >= set("ghijlm") and not speaks & set("ck") and all(got[1000 + k].licence is None for k in range(200))
