@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from itertools import count, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,12 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, for checkpoints and tables between stages.
 
-    It is the one that the cluster names in ``spark.checkpoint.dir``; only where
-    that is unset (tests, a laptop) is a temporary one made.
+    It is the one that the cluster names in ``spark.checkpoint.dir``; only in a
+    local session without it (tests, a laptop) is a temporary one made.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", "")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 
@@ -51,9 +54,17 @@ def salted_join(rows: DataFrame, few: DataFrame, key: str, by: Column, how: str
     each key is repeated. Adaptive execution does not split such a join where
     that side comes out of an aggregate.
     """
-    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
-    each = few.withColumn("__salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    return dealt.join(each, [key, "__salt"], how).drop("__salt")
+    (salt,) = unused([*rows.columns, *few.columns], 1)
+    dealt = rows.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    each = few.withColumn(salt, F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return dealt.join(each, [key, salt], how).drop(salt)
+
+
+def unused(columns: list[str], n: int) -> list[str]:
+    """``n`` names that none of these columns has, whatever their case."""
+    taken = {c.lower() for c in columns}
+    names = (f"__made_{k}" for k in count())
+    return list(islice((c for c in names if c not in taken), n))
 
 
 def spread(spark: SparkSession) -> int:
