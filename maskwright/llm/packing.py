@@ -1,33 +1,33 @@
-"""Best-fit packing of token sequences, in bulk-synchronous steps.
-
-A piece has one of at most ``capacity`` lengths, so documents and gaps are
-ranked within classes of equal size. A distributed pass counts the pieces of
-each length and ranks each piece within its class; the sweep runs over the
-classes, longest first: each length is matched with its successor, the smallest
-gap that holds it, conflicts for the same gaps are settled by rank (the first
-ranks take the first gaps), the gaps are updated, and the next length follows.
-The sweep sees ``capacity`` counts whatever the size of the corpus; its
-decisions are rank intervals, which a distributed join applies to every piece.
+"""Best-fit packing of token sequences, in bulk-synchronous rounds.
+
+Lengths fall into bands, and the bands are placed from the longest on. In a
+round, pieces and gaps are sorted by size together, over ranges of sizes, and a
+sweep from the largest on gives each piece its successor: the smallest gap that
+holds it and that no piece before it has. Read as brackets, a gap opens and a
+piece closes: running sums give each its depth, and a piece takes the last gap
+of its depth, so conflicts for a gap are settled by rank. Then the gaps are
+updated, and the next round follows. What finds no gap opens new sequences. The
+driver sees how many pieces are left and the longest of them, nothing else.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.llm.common import batches, shared_checkpoint
 
 CAPACITY = 2048
-#: Tasks among which the pieces of one length are ranked.
-RANK_SHARDS = 64
+#: Bands of lengths end at these parts of the capacity; rounds of a band.
+BANDS, ROUNDS = (1, 2, 3, 4, 6, 8, 12, 24, 72), 2
 #: Words whose ids a Python worker remembers.
 REMEMBERED = 250_000
 #: Words, contractions, digits and runs of other signs of texts in Latin-1, whose superscripts and fractions are numbers.
@@ -36,6 +36,10 @@ WORDS = re.compile(r"[^\W\d_²³¹¼½¾]+|'s|'t|'re|'ve|'m|'ll|'d|[\d²³¹¼½
 UNSURE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 
 
+#: Every sign of Latin-1 beside letters, digits, blanks, marks and itself, and the contractions.
+PROBES = tuple(t for c in map(chr, range(256)) for t in (f"a{c}b", f"A1{c}{c}2", f" {c} ", f"'s{c}.")) + tuple(f"It{q}{end}X don{q}{end} {q}{end}" for q in ("'", "''") for end in ("s", "t", "re", "ve", "m", "ll", "d", "LL", "x")) + ("The Quick  brown\n\nfox, 123 4567!? --__ end",)
+
+
 def plain(text: str) -> bool:
     """Whether the library's rules and those of WORDS cannot differ on a text."""
     if any(sign in text for sign in UNSURE):
@@ -56,6 +60,8 @@ class WordIds(dict):
     what was asked for lately is kept, in two generations of bounded size.
     """
 
+    by_words = True
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
@@ -72,6 +78,11 @@ class WordIds(dict):
             pair = bytes([195, byte]) if byte < 192 else bytes([byte, 128])
             if 194 <= byte < 224 or byte < 192:
                 self.signs[byte] = split(pair.decode())[0][0][byte < 192]
+        # Another tokenizer file, with other rules than those of WORDS, is left to the library.
+        self.by_words = all(self.ids(p) == self.whole(p) for p in PROBES if plain(p))
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
         found = self.older.get(word)
@@ -86,6 +97,8 @@ class WordIds(dict):
         return found
 
     def ids(self, text: str) -> bytes:
+        if not self.by_words:
+            return self.whole(text)
         if plain(text):
             return b"".join(map(self.__getitem__, WORDS.findall(text.lower())))
         return b"".join(map(self.stretch, text.replace("\n", " ").split(" ")))
@@ -96,7 +109,7 @@ class WordIds(dict):
             return b"".join(map(self.__getitem__, WORDS.findall(stretch.lower())))
         found = self.others.get(stretch)
         if found is None:
-            found = np.array(self.tokenizer.encode(stretch, add_special_tokens=False).ids, "<u4").tobytes()
+            found = self.whole(stretch)
             if len(stretch) <= 100:
                 if len(self.others) >= REMEMBERED:
                     self.others.clear()
@@ -134,52 +147,113 @@ def pieces_of(text: Column, tokenizer_path: str, capacity: int = CAPACITY, with_
     return of.asNondeterministic()(text)
 
 
-def sweep(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
-    """Best fit, longest first, over the number of pieces of each length.
+SWEPT = "part int, at bigint, s bigint, low bigint, sum bigint, open boolean, size bigint, id bigint"
+
 
-    Returns intervals ``(length, rank, count, sequence, per_sequence, offset)``:
-    from ``rank`` on, ``count`` pieces of that length go to the sequences from
-    ``sequence`` on, ``per_sequence`` to each, from ``offset`` on.
+def _scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per partition, in order: for each row its place, the depth before it, the least depth so far, and the sizes before it."""
+    part, at, s, low, sizes = TaskContext.get().partitionId(), 0, 0, 0, 0
+    for rows in parts:
+        n, opens, size = rows.num_rows, rows.column(0).to_numpy(zero_copy_only=False), rows.column(1).to_numpy()
+        if not n:
+            continue
+        depth = s + np.cumsum(np.where(opens, 1, -1))
+        before = np.r_[s, depth[:-1]]
+        least = np.minimum(np.minimum.accumulate(before), low)
+        total = sizes + np.cumsum(size) - size
+        made = [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n)), pa.array(before), pa.array(least), pa.array(total)]
+        yield pa.RecordBatch.from_arrays([*made, *rows.columns], [f.split()[0] for f in SWEPT.split(", ")])
+        at, s, low, sizes = at + n, int(depth[-1]), min(int(least[-1]), int(depth[-1])), int(total[-1] + size[-1])
+
+
+def _swept(rows: DataFrame) -> DataFrame:
+    """``rows(open, size, id)`` from the largest on, gaps before pieces, with what ``_scan`` gives over the whole table.
+
+    Rows are dealt by ranges of their order, in which the hash of the id splits
+    a size that many share; each partition is scanned on its own, and then
+    shifted by the sums of those before it, of which there is one row each.
+    """
+    order = [F.col("size").desc(), F.col("open").desc(), F.xxhash64("id"), F.col("id")]
+    local = shared_checkpoint(rows.select("open", "size", "id").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_scan, SWEPT))
+    step = F.when(F.col("open"), 1).otherwise(-1)
+    each = local.groupBy("part").agg(F.sum(step).alias("step"), F.min(F.least("low", F.col("s") + step)).alias("least"), F.sum("size").alias("sizes"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.select("part", "least", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("step", "sizes")))
+    each = each.select("part", "step_before", "sizes_before", F.coalesce(F.least(F.min(F.col("least") + F.col("step_before")).over(before), F.lit(0)), F.lit(0)).alias("least_before"))
+    met = local.join(F.broadcast(each), "part")  # a row for each partition of the shuffle
+    depth = F.col("s") + F.col("step_before")
+    return met.select("part", "at", depth.alias("s"), F.least(F.col("low") + F.col("step_before"), "least_before").alias("low"), (F.col("sum") + F.col("sizes_before")).alias("sum"), "open", "size", "id")
+
+
+def _matched(pieces: DataFrame, gaps: DataFrame, longest: int) -> DataFrame:
+    """``(id, size, sequence, rank)``: the pieces, each with the gap that it takes, or null and how many before it took none.
+
+    A gap that holds several of the longest pieces offers a part to each. Of
+    one depth, gaps and pieces take turns; at one size all gaps come before all
+    pieces, so a depth has at most twice as many rows as there are sizes.
+    """
+    many = F.greatest(F.floor(F.col("gap") / longest), F.lit(1)).cast("int")
+    offers = gaps.select(F.lit(True).alias("open"), F.floor(F.col("gap") / many).alias("size"), F.explode(F.array_repeat("sequence", many)).alias("id"))
+    rows = _swept(offers.unionByName(pieces.select(F.lit(False).alias("open"), "size", "id")))
+    lone = ~F.col("open") & (F.col("s") <= F.col("low"))
+    level = rows.select("part", "at", "open", "size", "id", F.when(F.col("open"), F.col("s") + 1).otherwise(F.col("s")).alias("level"), lone.alias("lone"), (-F.col("low")).alias("rank"))
+    last = F.lag(F.col("id")).over(Window.partitionBy("level").orderBy("part", "at"))
+    taken = level.filter(~F.col("lone")).withColumn("sequence", last).filter(~F.col("open"))
+    left = level.filter("lone").withColumn("sequence", F.lit(None).cast("bigint"))
+    return shared_checkpoint(taken.unionByName(left.select(taken.columns)).select("id", "size", "sequence", "rank"))
+
+
+def _opened(pieces: DataFrame, longest: int, capacity: int) -> DataFrame:
+    """``(id, size, sequence)``: runs of pieces from the longest on, each run in a sequence of its own.
+
+    Long pieces go as many to a sequence as fit of their length; of short ones
+    a run ends where one more of the longest might not fit. A sequence has the
+    id of one of its pieces.
     """
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    sizes: list[int] = []  # heap of the gap sizes that are not smaller than any length to come
-    made, plan = 0, []
-
-    def leave(gap: int, first: int, count: int) -> None:
-        if gap > 0 and count:
-            if gap not in gaps:
-                gaps[gap] = []
-                heapq.heappush(sizes, gap)
-            gaps[gap].append((first, count))
-
-    for length in sorted(counts, reverse=True):
-        rank, left, small = 0, counts[length], []
-        while left:
-            while sizes and sizes[0] < length:
-                small.append(heapq.heappop(sizes))
-            if sizes:
-                gap = sizes[0]
-                first, there = gaps[gap].pop(0)
-                if not gaps[gap]:
-                    del gaps[gap]
-                    heapq.heappop(sizes)
-            else:
-                gap, first, there = capacity, made, -(-left // (capacity // length))
-                made += there
-            each = gap // length
-            full, rest = min(there, left // each), 0
-            if full:
-                plan.append((length, rank, full * each, first, each, capacity - gap))
-                leave(gap - each * length, first, full)
-            if full < there and left - full * each:
-                rest = left - full * each
-                plan.append((length, rank + full * each, rest, first + full, rest, capacity - gap))
-                leave(gap - rest * length, first + full, 1)
-            leave(gap, first + full + bool(rest), there - full - bool(rest))
-            rank, left = rank + full * each + rest, left - full * each - rest
-        for gap in small:
-            heapq.heappush(sizes, gap)
-    return plan
+    long = 8 * longest > capacity
+    if not long or "rank" not in pieces.columns:
+        pieces = _swept(pieces.select(F.lit(False).alias("open"), "size", "id")).withColumn("rank", -F.col("s"))
+    if long:
+        rows = pieces.withColumn("fit", F.floor(F.lit(capacity) / F.col("size")))
+        first = rows.groupBy("fit").agg(F.min("rank").alias("first"))  # a row for each count that fits, and these are at most twelve
+        run = F.struct("fit", F.floor((F.col("rank") - F.col("first")) / F.col("fit")).alias("run"))
+        rows = rows.join(F.broadcast(first), "fit")
+    else:
+        rows, run = pieces, F.floor(F.col("sum") / (capacity - longest + 1))
+    return shared_checkpoint(rows.select("id", "size", F.min("id").over(Window.partitionBy(run)).alias("sequence")))
+
+
+def placed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """``(id, size, sequence)`` of ``pieces(id, size)``, whose ids are unique and sizes 1 to ``capacity``, in rounds of best fit."""
+    made, gaps = [], None
+    edges = sorted({0, *(capacity // b for b in BANDS)}, reverse=True)
+    band = reduce(lambda c, low: F.when(F.col("size") > low, low).otherwise(c), reversed(edges), F.lit(0))
+    # Two numbers for each band, whatever the corpus.
+    held = {r["band"]: (r["many"], r["longest"]) for r in pieces.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("many"), F.max("size").alias("longest")).collect()}
+    for high, low in zip(edges, edges[1:], strict=False):
+        left = pieces.filter(F.col("size").between(low + 1, high))
+        many, longest = held.get(low, (0, 0))
+        # Where the gaps that half a sequence leaves hold no two pieces of the band, another round finds nothing.
+        rounds = ROUNDS if 2 * (low + 1) <= capacity // 2 else 1
+        for turn in range(rounds + 1):
+            if turn:
+                many, longest = left.agg(F.count(F.lit(1)), F.max("size")).first()
+            if not many:
+                break
+            if turn == rounds or gaps is None:
+                new = _opened(left, longest, capacity)
+                made.append(new)
+                room = new.groupBy("sequence").agg((capacity - F.sum("size")).alias("gap"))
+                gaps = room if gaps is None else gaps.unionByName(room)
+                gaps = shared_checkpoint(gaps.filter("gap > 0"))
+                break
+            found = _matched(left, gaps.filter(F.col("gap") > low), longest)
+            took, left = found.filter(F.col("sequence").isNotNull()).select("id", "size", "sequence"), found.filter(F.col("sequence").isNull()).select("id", "size", "rank")
+            made.append(took)
+            used = took.groupBy("sequence").agg(F.sum("size").alias("used"))
+            gaps = gaps.join(used, "sequence", "left").select("sequence", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap"))
+            gaps = shared_checkpoint(gaps.filter("gap > 0"))
+    return reduce(DataFrame.unionByName, made) if made else pieces.select("id", "size", F.col("id").alias("sequence")).limit(0)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -187,31 +261,19 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
     A null or empty text is one piece of the end id alone. Only documents
     longer than ``capacity`` are cut. Repeated rows are packed each on its own;
-    equal lengths are ranked by id and piece. An empty table gives an empty
-    table. Other columns are not read. ``with_ids`` adds the ids of each piece
-    as little-endian unsigned 32-bit integers.
+    ids of any type, nulls among them, stay as they are. An empty table gives
+    an empty table. Other columns, whatever their names, are not read.
+    ``with_ids`` adds the ids of each piece as little-endian unsigned 32-bit
+    integers. Full pieces are sequences by themselves and take no part in the
+    rounds.
     """
-    spark = docs.sparkSession
     cut = docs.select(F.col(id_col).alias("doc_id"), pieces_of(F.col(text_col), tokenizer_path, capacity, with_ids).alias("cut"))
-    pieces = shared_checkpoint(cut.select("doc_id", F.inline("cut")).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_SHARDS)).cast("int")))
-    shards = pieces.groupBy("length", "shard").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = shards.select("length", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    ranked = pieces.withColumn("rank", F.row_number().over(Window.partitionBy("length", "shard").orderBy("doc_id", "piece")) - 1)
-    ranked = ranked.join(starts, ["length", "shard"]).withColumn("rank", F.col("rank") + F.col("before"))
-    # At most `capacity` counts reach the driver, and so many intervals come back.
-    counts = {r["length"]: r["n"] for r in shards.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    plan = spark.createDataFrame(sweep(counts, capacity), "length bigint, first bigint, count bigint, sequence bigint, each bigint, at bigint")
-    inside = [ranked["length"] == plan["length"], F.col("rank") >= F.col("first"), F.col("rank") < F.col("first") + F.col("count")]
-    placed = ranked.join(F.broadcast(plan), inside)
-    nth = F.col("rank") - F.col("first")
-    return placed.select(
-        "doc_id",
-        "piece",
-        "start",
-        ranked["length"],
-        "ids_crc32",
-        (F.col("sequence") + F.floor(nth / F.col("each"))).cast("bigint").alias("sequence_id"),
-        (F.col("at") + (nth % F.col("each")) * ranked["length"]).cast("bigint").alias("offset"),
-        *(["ids"] if with_ids else []),
-    )
+    pieces = shared_checkpoint(cut.select("doc_id", F.inline("cut")).withColumn("id", F.monotonically_increasing_id()))
+    short = pieces.filter(F.col("length") < capacity)
+    rows = placed(short.select("id", F.col("length").alias("size")), capacity)
+    # A sequence holds at most as many pieces as its capacity has tokens.
+    inside = Window.partitionBy("sequence").orderBy(F.desc("size"), "id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.select("id", F.col("sequence").alias("sequence_id"), F.coalesce(F.sum("size").over(inside), F.lit(0)).cast("bigint").alias("offset"))
+    full = pieces.filter(F.col("length") == capacity).withColumns({"sequence_id": F.col("id"), "offset": F.lit(0).cast("bigint")})
+    every = full.unionByName(short.join(rows, "id"))
+    return every.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if with_ids else []))

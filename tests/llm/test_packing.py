@@ -78,23 +78,48 @@ def test_ids_on_request(spark):
     assert all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in rows)
 
 
-@pytest.mark.parametrize("seed", range(30))
-def test_sweep_is_best_fit(seed):
+@pytest.mark.parametrize("seed", range(4))
+def test_rounds_fill_as_few_sequences_as_best_fit(spark, seed):
+    """Sequential best fit, longest first, over the same lengths: ties, one length for many, only short and only long ones."""
     rng = random.Random(seed)
     capacity = rng.choice([10, 64, 2048])
-    lengths = [rng.randint(1, capacity) if rng.random() < 0.5 else rng.randint(1, 1 + capacity // 5) for _ in range(rng.randint(1, 400))]
-    counts = {n: lengths.count(n) for n in set(lengths)}
-    used, ranks = defaultdict(list), defaultdict(set)
-    for length, rank, count, sequence, each, at in packing.sweep(counts, capacity):
-        for k in range(count):
-            used[sequence + k // each].append((at + k % each * length, length))
-            assert rank + k not in ranks[length]
-            ranks[length].add(rank + k)
-    assert {n: len(r) for n, r in ranks.items()} == counts
-    for spans in used.values():
-        at = 0
-        for offset, length in sorted(spans):
-            assert offset == at
-            at += length
-        assert at <= capacity
-    assert len(used) == best_fit(lengths, capacity)
+    mixed = [rng.randint(1, capacity) if rng.random() < 0.5 else rng.randint(1, 1 + capacity // 5) for _ in range(rng.randint(1, 400))]
+    lengths = [mixed, [*mixed, *[capacity // 3] * 300], [1 + n // 9 for n in mixed], [capacity - n // 4 for n in mixed]][seed % 4]
+    rows = packing.placed(spark.createDataFrame(list(enumerate(lengths)), "id bigint, size bigint"), capacity).collect()
+    assert sorted(r.id for r in rows) == list(range(len(lengths))) and all(r.size == lengths[r.id] for r in rows)
+    used = defaultdict(int)
+    for r in rows:
+        used[r.sequence] += r.size
+    assert max(used.values()) <= capacity and len(used) <= best_fit(lengths, capacity)
+
+
+def plain_match(pieces, gaps):
+    """A stack of gaps from the largest on: each piece takes the smallest gap that holds it and is left."""
+    stack, out = [], []
+    for size, _, id_ in sorted([(-g, 0, k) for k, g in gaps] + [(-p, 1, k) for k, p in pieces]):
+        if not _:
+            stack.append((id_, -size))
+        else:
+            out.append((-size, stack.pop()[1] if stack else None))
+    return sorted(out, key=str)
+
+
+def test_one_sweep(spark):
+    """Each piece gets its successor among the gaps, with ranges cut anywhere."""
+    rng = random.Random(5)
+    for most in (6, 60):
+        pieces, gaps = [(k, rng.randint(1, most)) for k in range(300)], [(k, rng.randint(1, most)) for k in range(200)]
+        got = packing._matched(spark.createDataFrame(pieces, "id bigint, size bigint"), spark.createDataFrame(gaps, "sequence bigint, gap bigint"), most)
+        held, rows = dict(gaps), got.collect()
+        taken = [r.sequence for r in rows if r.sequence is not None]
+        assert len(set(taken)) == len(taken)
+        assert sorted(((r.size, held.get(r.sequence)) for r in rows), key=str) == plain_match(pieces, gaps)
+
+
+def test_other_tokenizer_files(spark):
+    """A file with other rules is left to the library."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    known, t = packing.WordIds(path), Tokenizer.from_file(path)
+    assert not known.by_words and packing.WordIds(PATH).by_words
+    for text in ("", "A b", "Don't  stop\n2024", "é 中"):
+        assert known.ids(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
