@@ -60,6 +60,25 @@ def salted_join(rows: DataFrame, few: DataFrame, key: str, by: Column, how: str
     return dealt.join(each, [key, salt], how).drop(salt)
 
 
+#: A key with more than this share of the rows is hot, so there are at most HOT hot keys.
+HOT = 1000
+
+
+def group_join(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """Join rows with one row for each key, which has the number of rows of its key in column ``size``.
+
+    The rows of hot keys stay where they are and meet a broadcast of their
+    groups, of which there are at most HOT; the others are shuffled. Every row
+    has a group; a null key has none.
+    """
+    least = groups.agg((F.sum(size) / HOT).alias("least")).first()["least"] or 0
+    groups = groups.withColumnRenamed(key, "__of")
+    hot, cold = groups.filter(F.col(size) > least).drop(size), groups.filter(F.col(size) <= least).drop(size)
+    apart = rows.join(F.broadcast(hot.select("__of")), F.col(key) == F.col("__of"), "left_anti")
+    met = rows.join(F.broadcast(hot), F.col(key) == F.col("__of"))
+    return met.unionByName(apart.join(cold, F.col(key) == F.col("__of"))).drop("__of")
+
+
 def unused(columns: list[str], n: int) -> list[str]:
     """``n`` names that none of these columns has, whatever their case."""
     taken = {c.lower() for c in columns}

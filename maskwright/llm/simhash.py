@@ -2,12 +2,15 @@
 
 ``fingerprints`` gives each text 64 bits. ``near_links`` finds, among distinct
 fingerprints, everything within the radius: two fingerprints that differ in at
-most ``radius`` bits agree on at least ``BLOCKS - radius`` of ``BLOCKS`` bit
-blocks, so each fingerprint is filed under every choice of that many blocks and
-a shard of the index is the fingerprints filed under one key. A shard has a
-BK-tree, children keyed by their Hamming distance to the parent, and a search
-follows only the edges within the radius. A key that too many share is dealt
-over pairs of sub-shards, so no link is lost and no task holds a whole hot key.
+most ``radius`` bits agree on all but ``radius`` of their bit blocks, so each
+fingerprint is filed under every choice of that many blocks. The filed ones are
+dealt to shards by their keys, and a key that too many share to several shards
+of its own. Each shard is built once into BK-trees, one for each key, children
+keyed by their Hamming distance to the parent. The trees are broadcast while
+all of them are below a bound, and go to the tasks of their shard beyond it;
+each filed fingerprint searches the tree of its key in every shard that has a
+part of it, and follows only the edges within the radius. So no link is lost
+and no task holds a whole hot key.
 """
 
 from __future__ import annotations
@@ -18,16 +21,16 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import batches, salted_join, shared_checkpoint, spread
+from maskwright.llm.common import batches, group_join, salted_join, shared_checkpoint, unused
 from maskwright.llm.components import components
 
 SHINGLE = 4
 RADIUS = 4
-BLOCKS = 6
-SHARD = 256
+#: Members of a shard, and of all shards whose trees are broadcast (a member takes 32 bytes).
+SHARD, BROADCAST = 4096, 1 << 18
 #: Shingles hashed at a time, and pairs of a search looked at in one step.
 CHUNK = 1 << 16
 FRONTIER = 1 << 20
@@ -66,19 +69,21 @@ def fingerprints(text: Column) -> Column:
 
 
 class BKForest:
-    """One BK-tree for each group of a batch, built and searched level by level.
+    """A BK-tree for each key of a shard, built and searched level by level.
 
-    ``groups`` must be sorted. A group's first member is its root; members at
-    the same distance from a node share its edge of that length, the first of
-    them becomes the child and the rest go on below it.
+    ``keys`` must be sorted. A key's first member is the root of its tree;
+    members at the same distance from a node share its edge of that length, the
+    first of them becomes the child and the rest go on below it.
     """
 
-    def __init__(self, groups: np.ndarray, values: np.ndarray) -> None:
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
         self.values, n = values, len(values)
-        first = np.r_[True, groups[1:] != groups[:-1]] if n else np.zeros(0, bool)
-        self.root = np.flatnonzero(first)[np.cumsum(first) - 1] if n else np.zeros(0, np.int64)
+        first = np.r_[True, keys[1:] != keys[:-1]] if n else np.zeros(0, bool)
+        self.roots = np.flatnonzero(first)
+        self.keys = keys[self.roots]
+        root = self.roots[np.cumsum(first) - 1]
         parents, lengths, kids = [], [], []
-        left, node = np.flatnonzero(~first), self.root[~first]
+        left, node = np.flatnonzero(~first), root[~first]
         while len(left):
             away = np.bitwise_count(values[left] ^ values[node]).astype(np.int64)
             order = np.argsort(node * 128 + away, kind="stable")
@@ -92,12 +97,31 @@ class BKForest:
         order = np.argsort(edge, kind="stable")
         self.edge, self.kid = edge[order], self.kid[order]
 
-    def within(self, asked: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (member, member of its tree) at most ``radius`` bits apart, itself included."""
-        work = [(asked, self.root[asked])]
+    def written(self) -> list[bytes]:
+        """The arrays, as a row of the table of trees."""
+        return [x.tobytes() for x in (self.values, self.keys, self.roots.astype("<i4"), self.edge, self.kid.astype("<i4"))]
+
+    @classmethod
+    def read(cls, row: list[bytes]) -> BKForest:
+        forest = cls.__new__(cls)
+        values, keys, roots, edge, kid = row
+        forest.values, forest.keys, forest.roots = np.frombuffer(values, "<u8"), np.frombuffer(keys, "<i8"), np.frombuffer(roots, "<i4").astype(np.int64)
+        forest.edge, forest.kid = np.frombuffer(edge, "<i8"), np.frombuffer(kid, "<i4").astype(np.int64)
+        return forest
+
+    def within(self, keys: np.ndarray, asked: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (place among the asked values, member of the tree of its key) at most ``radius`` bits apart."""
+        at = np.searchsorted(self.keys, keys)
+        there = np.flatnonzero((at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] == keys)) if len(self.keys) else np.zeros(0, np.int64)
+        for low in range(0, len(there), CHUNK):
+            some = there[low : low + CHUNK]
+            yield from self._from(some, self.roots[at[some]], asked, radius)
+
+    def _from(self, some: np.ndarray, roots: np.ndarray, asked: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        work = [(some, roots)]
         while work:
             query, node = work.pop()
-            away = np.bitwise_count(self.values[query] ^ self.values[node]).astype(np.int64)
+            away = np.bitwise_count(asked[query] ^ self.values[node]).astype(np.int64)
             near = away <= radius
             yield query[near], node[near]
             low = np.searchsorted(self.edge, node * 128 + np.maximum(away - radius, 0), "left")
@@ -125,76 +149,99 @@ def _roots(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return root
 
 
-def _search(radius: int):
-    """Per partition, sorted by shard: link each member to its shard's smallest one that it reaches."""
+TREES = ("values", "keys", "roots", "edge", "kid")
+
+
+def _planted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``(shard, members)`` with sorted members ``(key, fp)`` as rows of the table of trees."""
+    for part in parts:
+        for at in range(part.num_rows):
+            members = part.column(1)[at].values.flatten()
+            forest = BKForest(members[0].to_numpy(), members[1].to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([part.column(0).slice(at, 1), *(pa.array([x], pa.binary()) for x in forest.written())], ["shard", *TREES])
 
-    def linked(shard: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
-        forest = BKForest(shard, value.view(np.uint64))
-        near = (pair for at in range(0, len(value), CHUNK) for pair in forest.within(np.arange(at, min(at + CHUNK, len(value))), radius))
-        root = _roots(len(value), near)
+
+def _search(radius: int):
+    """Rows ``(asked, trees)``: link each member that was asked for to the smallest one that it reaches in the trees."""
+
+    def linked(asked: pa.StructArray, row: list[bytes]) -> pa.RecordBatch:
+        forest = BKForest.read(row)
+        keys, prints = (c.to_numpy() for c in asked.flatten())
+        # The members of both sides, each once: two of one fingerprint are one.
+        value, place = np.unique(np.concatenate([prints, forest.values.view(np.int64)]), return_inverse=True)
+        own, there = place[: len(prints)], place[len(prints) :]
+        root = _roots(len(value), ((own[a], there[b]) for a, b in forest.within(keys, prints.view(np.uint64), radius)))
         keep = root != np.arange(len(value))
         return pa.RecordBatch.from_arrays([pa.array(value[keep]), pa.array(value[root[keep]])], ["a", "b"])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, value = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for part in parts:
-            shard = np.r_[shard, part.column(0).to_numpy(zero_copy_only=False)]
-            value = np.r_[value, part.column(1).to_numpy(zero_copy_only=False)]
-            whole = int(np.searchsorted(shard, shard[-1])) if len(shard) else 0  # the last shard may go on
-            if whole:
-                yield linked(shard[:whole], value[:whole])
-                shard, value = shard[whole:], value[whole:]
-        if len(value):
-            yield linked(shard, value)
+            for at in range(part.num_rows):
+                yield linked(part.column(0)[at].values, [c[at].as_py() for c in part.columns[1:]])
 
     return run
 
 
-def _filed(radius: int) -> Column:
+def blocks_for(many: int, radius: int) -> int:
+    """Bit blocks, so that the blocks of a key have at least as many bits as the count of fingerprints."""
+    blocks = radius + 2
+    while 64 * (blocks - radius) // blocks < many.bit_length() and blocks < radius + 6:
+        blocks += 1
+    return blocks
+
+
+def _filed(radius: int, blocks: int) -> Column:
     """The keys of column ``fp``: one for each choice of blocks that may agree."""
-    if not 0 <= radius < BLOCKS:
-        raise ValueError(f"radius must be from 0 to {BLOCKS - 1}")
-    edges = [64 * k // BLOCKS for k in range(BLOCKS + 1)]
+    edges = [64 * k // blocks for k in range(blocks + 1)]
     masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
     keys = []
-    for k, chosen in enumerate(combinations(masks, BLOCKS - radius)):
+    for k, chosen in enumerate(combinations(masks, blocks - radius)):
         mask = sum(chosen)
         mask -= (mask >> 63) << 64
         keys.append(F.xxhash64(F.col("fp").bitwiseAND(F.lit(mask).cast("bigint")), F.lit(k)))
     return F.array(*keys)
 
 
-def near_links(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+def near_links(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD, broadcast: int = BROADCAST) -> DataFrame:
     """Links ``(a, b)`` that join the same fingerprints of ``distinct(fp)`` as all pairs within the radius.
 
-    They are a spanning forest of each shard, not all pairs of it: a group of m
-    near copies gives at most m - 1 links a key, and its components are exact.
+    They are a spanning forest of what meets in a shard, not all pairs of it: a
+    group of m near copies gives at most m - 1 links a key and shard, and its
+    components are exact. A key with more members than a shard has parts; a
+    member of part s searches the trees of its own and each later part.
     """
-    filed = distinct.select("fp", F.explode(_filed(radius)).alias("key"))
+    if not 0 <= radius < 16:
+        raise ValueError("radius must be from 0 to 15")
+    filed = distinct.select("fp", F.explode(_filed(radius, blocks_for(distinct.count(), radius))).alias("key"))
     shared = filed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     parts = F.ceil(F.col("n") / F.lit(shard)).cast("int")
+    members = shared_checkpoint(salted_join(filed, shared.select("key", parts.alias("parts")), "key", F.col("fp")))
+    many = members.count()
+    # Keys below the size of a shard lie together in one of so many shards.
+    of = lambda part: F.when(F.col("parts") == 1, F.xxhash64(F.pmod(F.xxhash64("key", F.lit(2)), F.lit(many // shard + 1)))).otherwise(F.xxhash64("key", part, F.lit(3)))
     own = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")).cast("int")
-    # A member of sub-shard s meets every sub-shard t once, in the tree of (min, max).
-    met = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda t: F.xxhash64("key", F.least(t, F.col("own")), F.greatest(t, F.col("own"))))
-    dealt = filed.join(shared.select("key", parts.alias("parts")), "key").withColumn("own", own).select(F.explode(met).alias("shard"), "fp")
-    sorted_ = dealt.repartition(spread(distinct.sparkSession), "shard").sortWithinPartitions("shard", "fp")
-    return sorted_.mapInArrow(_search(radius), "a bigint, b bigint").distinct()
+    placed = members.withColumn("own", own)
+    each = F.sort_array(F.collect_list(F.struct("key", "fp")))
+    trees = placed.groupBy(of(F.col("own")).alias("shard")).agg(each.alias("members")).mapInArrow(_planted, ", ".join(["shard bigint", *(f"{x} binary" for x in TREES)]))
+    later = placed.select("key", "fp", "parts", "own", F.explode(F.sequence("own", F.col("parts") - 1)).alias("part"))
+    asked = later.groupBy(of(F.col("part")).alias("shard"), F.when(F.col("parts") > 1, F.col("own")).alias("from")).agg(each.alias("asked")).select("shard", "asked")
+    met = asked.join(F.broadcast(trees) if many <= broadcast else trees, "shard")
+    return met.select("asked", *TREES).mapInArrow(_search(radius), "a bigint, b bigint").distinct()
 
 
 def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``(fp, component_id)`` for the distinct fingerprints of ``prints(doc_id, fp)``.
+    """``(fp, component_id, size)`` for the distinct fingerprints of ``prints(doc_id, fp)``, each with the count of its rows.
 
     ``component_id`` is the smallest doc_id that is reachable over links of at
     most ``radius`` bits; a null doc_id is never smallest unless all are null.
     """
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    distinct = shared_checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("size")))
     roots = components(near_links(distinct.select("fp"), radius))
     inside = roots.select(F.col("vertex").alias("fp"), "root").unionAll(roots.select(F.col("root").alias("fp"), "root").distinct())
     inside = distinct.join(inside, "fp")
     named = inside.groupBy("root").agg(F.min("low").alias("component_id"))
     linked = salted_join(inside.select("fp", "root"), named, "root", F.col("fp")).select("fp", "component_id")
-    # Written, so that the join with all documents has a plain exchange on both sides, which adaptive execution may split.
-    return shared_checkpoint(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")))
+    return shared_checkpoint(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"), "size"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -207,7 +254,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), fingerprints(F.col(text_col)).alias("fp"))
     slim = shared_checkpoint(slim)
-    return slim.join(classes(slim, radius), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return group_join(slim, classes(slim, radius), "fp", "size").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -219,22 +266,23 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     id_, text = F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))
     slim = shared_checkpoint(docs.select(id_.alias("doc_id"), F.xxhash64(text).alias("h"), fingerprints(F.col(text_col)).alias("fp")))
-    of = slim.join(classes(slim.select("doc_id", "fp"), radius), "fp")
+    of = group_join(slim, classes(slim.select("doc_id", "fp"), radius), "fp", "size")
     first = of.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "h")).alias("first"))
     return only_first(docs, first, id_col, text_col)
 
 
 def only_first(docs: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``docs`` that ``first(first.doc_id, first.h)`` names by id and text hash; of exact repeats one."""
-    id_, text = F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))
-    first = first.select(F.col("first.doc_id").alias("__rep_id"), F.col("first.h").alias("__rep_h")).distinct()
-    marked = docs.withColumn("__rep_hash", F.xxhash64(text))
-    kept = marked.join(first, id_.eqNullSafe(F.col("__rep_id")) & (F.col("__rep_hash") == F.col("__rep_h")), "left_semi")
-    return _one_each(kept, id_col).drop("__rep_hash")
-
+    """The rows of ``docs`` that ``first(first.doc_id, first.h)`` names by id and text hash; of exact repeats one.
 
-def _one_each(kept: DataFrame, id_col: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(id_col, "__rep_hash").orderBy("__rep_hash")
-    return kept.withColumn("__rep_n", F.row_number().over(order)).filter("__rep_n = 1").drop("__rep_n")
+    Texts are shuffled once: the rows meet the named ones by a hash of both,
+    and repeats are numbered in the same partitioning.
+    """
+    key, hashed, of_id, of_hash, number = unused(docs.columns, 5)
+    id_ = F.col(f"`{id_col}`")
+    first = first.select(F.xxhash64("first.doc_id", "first.h").alias(key), F.col("first.doc_id").alias(of_id), F.col("first.h").alias(of_hash)).distinct()
+    marked = docs.withColumn(hashed, F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    marked = marked.withColumn(key, F.xxhash64(id_, F.col(hashed)))
+    kept = marked.join(first, key).filter(id_.eqNullSafe(F.col(of_id)) & (F.col(hashed) == F.col(of_hash)))
+    same = Window.partitionBy(key, of_id, of_hash).orderBy(key)
+    kept = kept.withColumn(number, F.row_number().over(same)).filter(F.col(number) == 1)
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -54,9 +54,9 @@ def test_awkward_rows(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("shard", [2, 16, 1000])
-def test_links_of_dense_groups(spark, shard):
-    """Chains and clouds of fingerprints: sub-sharding loses no link."""
+@pytest.mark.parametrize("shard, broadcast", [(2, 0), (2, 1 << 18), (16, 0), (1000, 1 << 18)])
+def test_links_of_dense_groups(spark, shard, broadcast):
+    """Chains and clouds of fingerprints: neither sub-sharding nor trees that are not broadcast lose a link."""
     rng = random.Random(7)
     values = {rng.getrandbits(64) for _ in range(50)}
     for seed in list(values)[:6]:
@@ -67,7 +67,7 @@ def test_links_of_dense_groups(spark, shard):
             values.add(at)
     values = sorted(values)
     signed = [int(np.uint64(v).astype(np.int64)) for v in values]
-    links = simhash.near_links(spark.createDataFrame([(v,) for v in signed], "fp bigint"), shard=shard)
+    links = simhash.near_links(spark.createDataFrame([(v,) for v in signed], "fp bigint"), shard=shard, broadcast=broadcast)
     root = {r.vertex: r.root for r in components(links).collect()}
     got = {}
     for v in signed:
@@ -82,6 +82,29 @@ def test_links_of_dense_groups(spark, shard):
     assert {frozenset(g) for g in got.values()} == {frozenset(g) for g in group.values()}
 
 
+def plain_classes(values, radius):
+    groups = []
+    for v in values:
+        near = [g for g in groups if any(((v ^ w) & (1 << 64) - 1).bit_count() <= radius for w in g)]
+        groups = [g for g in groups if g not in near] + [set().union({v}, *near)]
+    return groups
+
+
+@pytest.mark.parametrize("radius", [0, 3, 5])
+def test_other_radii_and_many_blocks(spark, radius):
+    """The count of blocks grows with the fingerprints; every choice of them proposes all links."""
+    rng = random.Random(radius)
+    values = [rng.getrandbits(64) for _ in range(40)]
+    values += [v ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 7))) for v in values]
+    signed = sorted({int(np.uint64(v).astype(np.int64)) for v in values})
+    assert [simhash.blocks_for(n, 4) for n in (10, 1 << 20, 1 << 26, 1 << 30, 1 << 40)] == [6, 6, 7, 8, 10]
+    links = simhash.near_links(spark.createDataFrame([(v,) for v in signed], "fp bigint"), radius)
+    root = {r.vertex: r.root for r in components(links).collect()}
+    near = {(a, b) for a in signed for b in signed if ((a ^ b) & (1 << 64) - 1).bit_count() <= radius}
+    assert all(root.get(a, a) == root.get(b, b) for a, b in near)
+    assert len({root.get(v, v) for v in signed}) == len(plain_classes(signed, radius))
+
+
 def test_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5), (None, 3)], "a bigint, b bigint")
     got = {r.vertex: r.root for r in components(links).collect()}
