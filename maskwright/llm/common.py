@@ -114,6 +114,17 @@ def bounded_sample(df: DataFrame, key: Column, limit: int) -> DataFrame:
     return df.orderBy(hashed, key).limit(limit)
 
 
+def labelled(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(__id, label, __text)``: the texts of a bounded sample ``(__id, label)``.
+
+    One row for each id, that with the smallest text hash where an id is
+    repeated: an id that a third of all rows has teaches once.
+    """
+    rows = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text")).join(F.broadcast(chosen), "__id")
+    rows = rows.groupBy("__id").agg(F.min_by(F.struct("label", "__text"), F.struct(F.xxhash64("__text"), "label")).alias("r"))
+    return rows.select("__id", "r.label", "r.__text")
+
+
 def batches(column: Iterator[pa.Array]) -> Iterator[list[str]]:
     for part in column:
         yield texts(part)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import batches, bounded_sample, held_out, shared_checkpoint
+from maskwright.llm.common import batches, bounded_sample, held_out, labelled, shared_checkpoint, unused
 
 #: Labelled rows that a fit looks at, at most; hash buckets of triplets; passes over the rows.
 SAMPLE, BUCKETS, EPOCHS = 12_000, 1 << 14, 5
@@ -89,13 +89,15 @@ class Learner:
         self.cuts = np.maximum.accumulate(self.cuts - RATE * cuts / np.sqrt(self.cuts_seen))
 
 
-def _trainer(grades: int):
-    """Rows ``(grade, at, x)`` in the order in which they teach; gives the weights, then the thresholds."""
+def _trainer(grades: int, epochs: int):
+    """Rows ``(grade, at, x)``, a bounded sample, over which ``epochs`` passes go; gives the weights, then the thresholds."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = Learner(grades)
-        for part in parts:
-            for grade, at, x in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
+        state, rows = Learner(grades), [r for part in parts for r in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True)]
+        if not rows:
+            return
+        for order in map(np.random.default_rng(42).permutation, [len(rows)] * epochs):
+            for grade, at, x in map(rows.__getitem__, order):
                 state.learn(np.frombuffer(at, "<u2"), np.frombuffer(x, "<f4").astype(np.float64), grade)
         yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([state.w, state.cuts]).astype("<f8").tobytes()])], ["model"])
 
@@ -107,16 +109,17 @@ def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: s
 
     Grades are whole numbers from 0 to ``grades - 1``. Rows of the held-out
     third, and rows without an id or grade, teach nothing. The vectors are
-    written once; the one task that learns sees them as a stream of bounded
-    length, sorted by Spark.
+    written once and go once to the one task that learns, which holds them: at
+    most ``sample`` short vectors. Of rows that repeat an id one teaches; a null text
+    is empty; without a rated row every text has every grade.
     """
-    known = ratings.select(F.col(id_col).alias("__id"), F.col(grade_col).cast("int").alias("grade")).filter(f"__id is not null and grade between 0 and {grades - 1}").filter(~held_out(F.col("__id")))
+    known = ratings.select(F.col(id_col).alias("__id"), F.col(grade_col).cast("int").alias("label")).filter(f"__id is not null and label between 0 and {grades - 1}").filter(~held_out(F.col("__id")))
     chosen = bounded_sample(known, F.col("__id"), sample)
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__id")
-    rows = shared_checkpoint(rows.select("__id", "grade", _vectors(F.col("__text")).alias("v")))
-    stream = rows.select(F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("epoch"), "grade", "v", "__id")
-    stream = stream.repartition(1).sortWithinPartitions("epoch", F.xxhash64("__id", "epoch"), "__id").select("grade", "v.at", "v.x")
-    made = stream.mapInArrow(_trainer(grades), "model binary").first()
+    rows = labelled(docs, chosen, id_col, text_col)
+    rows = shared_checkpoint(rows.select("__id", F.col("label").alias("grade"), _vectors(F.col("__text")).alias("v")))
+    # Each vector goes to the task once, in the order of a hash; the task mixes the order anew for each pass.
+    stream = rows.repartition(1).sortWithinPartitions(F.xxhash64("__id"), "__id", "v.at", "v.x").select("grade", "v.at", "v.x")
+    made = stream.mapInArrow(_trainer(grades, epochs), "model binary").first()
     if made is None:  # no rated row: every text has every grade
         return Model(np.zeros(SIZE), np.full(grades - 1, -30.0))
     found = np.frombuffer(made["model"], "<f8")
@@ -148,8 +151,14 @@ def graded(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def keep_sound(docs: DataFrame, model: Model, text_col: str = "text", least: int = 1, tail: float = TAIL) -> DataFrame:
-    """The rows of ``docs``, all columns, whose tail probability reaches the given share."""
-    return docs.withColumn("__tails", tails(F.col(text_col), model)).filter(F.col("__tails")[least - 1] >= tail).drop("__tails")
+    """The rows of ``docs``, all columns, whose tail probability reaches the given share.
+
+    Null and empty texts have the grade of the thresholds alone. Ids are not
+    read; repeated rows are kept or dropped alike; an empty table stays empty;
+    columns of any name are carried along.
+    """
+    (made,) = unused(docs.columns, 1)
+    return docs.withColumn(made, tails(F.col(f"`{text_col}`"), model)).filter(F.col(made)[least - 1] >= tail).drop(made)
 
 
 def ratings(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:

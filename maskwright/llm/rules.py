@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import bounded_sample, held_out
+from maskwright.llm.common import bounded_sample, held_out, labelled
 
 #: Labelled rows that a fit looks at, at most.
 SAMPLE = 20_000
@@ -178,13 +178,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A decision list from at most ``sample`` labelled rows, which the hash of their ids picks.
 
     Label 0 is to be rejected. Rows of the held-out third, rows without an id
-    or a label and rows that fail the base rules teach nothing.
+    or a label and rows that fail the base rules teach nothing; of rows that
+    repeat an id one teaches. Without any such row there is no learned rule.
     """
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("label")).filter("__id is not null and label is not null").filter(~held_out(F.col("__id")))
     chosen = bounded_sample(known, F.col("__id"), sample)
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__id")
-    stats = rows.select("label", (F.xxhash64("__id") % 3 == 0).alias("prune"), statistics(F.col("__text")).alias("s")).filter(~base_failed())
-    taught = stats.select("label", "prune", *(share(k).alias(k) for k, _, _ in SHARES)).limit(2 * sample).toPandas()
+    rows = labelled(docs, chosen, id_col, text_col)
+    stats = rows.select("label", (F.xxhash64("__id") % 3 == 0).alias("prune"), statistics(F.col("__text")).alias("s"), "__id").filter(~base_failed())
+    taught = stats.select("__id", "label", "prune", *(share(k).alias(k) for k, _, _ in SHARES)).toPandas().sort_values("__id")
     x = taught[[k for k, _, _ in SHARES]].to_numpy(np.float64)
     return learn(x, taught["label"].to_numpy() == 0, taught["prune"].to_numpy(bool))
 

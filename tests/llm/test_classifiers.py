@@ -35,6 +35,24 @@ def test_toxicity_on_held_out_rows(tables):
     assert all(got[i].held_out for i in want) and all(r.predicted == (r.score >= 0.7) for r in got.values())
 
 
+def test_toxicity_recall_with_more_labels(spark):
+    """At ten times the rows most of the held-out toxic texts are caught; nearly all others pass."""
+    path = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    got = {r.doc_id: r.predicted for r in toxicity.scored(docs.join(labels.select("doc_id"), "doc_id"), toxicity.fit(docs, labels)).collect()}
+    want = held(labels, "toxic")
+    y, p = np.array(list(want.values())), np.array([got[i] for i in want])
+    assert p[y == 1].mean() > 0.82 and p[y == 0].mean() < 0.003
+
+
+def test_repeated_ids_teach_once(spark):
+    rows = [(k, f"you are {'trash' if k % 2 else 'kind'} number {k}") for k in range(60)] + [(3, f"copy {n}") for n in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(60)] + [(None, 1, 1), (5, None, None)], "doc_id bigint, quality int, toxic int")
+    assert toxicity.fit(docs, labels) is not None and ordinal.fit(docs, ordinal.ratings(labels)) is not None
+    assert {r.doc_id for r in toxicity.keep_civil(docs.withColumn("__made_0", docs.text), toxicity.fit(docs, labels)).collect()} >= {k for k in range(0, 60, 2)}
+
+
 def test_fit_does_not_depend_on_partitions_or_held_out_labels(tables):
     from pyspark.sql import functions as F
 
