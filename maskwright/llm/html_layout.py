@@ -13,17 +13,20 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import zip_longest
+from unicodedata import combining, east_asian_width
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import texts
+from maskwright.llm.common import texts, unused
 
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template title noscript iframe noembed noframes object audio video canvas datalist svg math rp".split())
+HIDDEN = frozenset("head script style template title noscript iframe noembed noframes object audio video canvas datalist rp".split())
+#: What svg and math define without drawing it.
+UNDRAWN = frozenset("desc metadata defs symbol clippath mask marker pattern lineargradient radialgradient filter annotation annotation-xml".split())
 IN_HEAD = frozenset("title meta link script style base noscript template".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr menu".split())
 BLOCK = SPACED | frozenset("address article aside body center details dialog dd dir div dt fieldset figcaption footer form header hgroup html legend li main nav optgroup option search section select summary caption thead tbody tfoot tr td th".split())
@@ -46,12 +49,14 @@ TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>
 #: Name and value of an attribute; an unquoted value takes a slash at its end along.
 ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>][^\s>]*+)))?+""")
 #: Most tags have none of the attributes that are read.
-READ = re.compile("hidden|style|colspan|start|open", re.IGNORECASE)
+READ = re.compile("hidden|style|span|start|open", re.IGNORECASE)
 FOREIGN = ("svg", "math")
 #: Elements of a table between which a form has no box.
 TABLE = frozenset("table thead tbody tfoot tr".split())
 GAP = "  "
 ROWS = 128
+# The spans to which the HTML standard clamps, and the largest number of a list.
+COLUMNS, DOWN, INTEGER = 1000, 65534, 2**31 - 1
 
 
 def attributes(rest: str) -> dict[str, str]:
@@ -81,25 +86,46 @@ def closes_itself(rest: str) -> bool:
     return not any(m[4] and m.end() == len(rest) for m in ATTRIBUTE.finditer(rest))
 
 
-def _number(value: str, pattern: str) -> int | None:
-    m = re.match(pattern, value)
-    return int(m[1]) if m else None
+def _number(value: str | None) -> int | None:
+    """The integer that an attribute begins with; one beyond 2**31 is as large as that."""
+    m = re.match(r"\s*([+-]?)0*(\d+)", value or "")
+    return (-1 if m[1] == "-" else 1) * (int(m[2]) if len(m[2]) < 10 else INTEGER) if m else None
+
+
+def _span(value: str | None, most: int) -> int:
+    n = _number(value)
+    return min(n, most) if n is not None and n > 0 else 1
+
+
+def width(line: str) -> int:
+    """Columns of a line: wide characters take two, marks that stand on others none."""
+    if line.isascii():
+        return len(line)
+    return sum(0 if combining(c) else 2 if east_asian_width(c) in "WF" else 1 for c in line)
+
+
+#: A laid-out cell: columns and rows that it takes, and its lines.
+Cell = tuple[int, int, list[str]]
 
 
 class Box:
     """An open element: its laid-out blocks ``(spaced, lines)`` and the line of text that is being filled."""
 
-    __slots__ = ("blocks", "cells", "count", "hidden", "line", "rows", "span", "tag")
+    __slots__ = ("blocks", "cells", "closed", "count", "down", "hidden", "line", "rows", "span", "tag")
 
     def __init__(self, tag: str, hidden: bool, of: dict[str, str] | None = None) -> None:
         self.tag, self.hidden = tag, hidden
         self.blocks: list[tuple[bool, list[str]]] = []
         self.line: list[str] = []
-        self.rows: list[list[tuple[int, list[str]]]] = []
-        self.cells: list[tuple[int, list[str]]] = []
+        self.rows: list[list[Cell]] = []
+        self.cells: list[Cell] = []
         of = of or {}
-        self.span = min(50, _number(of.get("colspan", ""), r"\s*(\d{1,3})") or 1) if tag in ("td", "th") else 1
-        self.count = (1 if (n := _number(of.get("start", ""), r"\s*(-?\d{1,6})")) is None else n) - 1 if tag == "ol" else 0
+        self.span = _span(of.get("colspan"), COLUMNS) if tag in ("td", "th") else 1
+        # Zero rows are all that follow.
+        self.down = (DOWN if _number(of.get("rowspan")) == 0 else _span(of.get("rowspan"), DOWN)) if tag in ("td", "th") else 1
+        self.count = (1 if (n := _number(of.get("start"))) is None else n) - 1 if tag == "ol" else 0
+        #: Shows no text of its own: a closed details element, of which the first summary shows, or a drawing, of which texts do.
+        self.closed = tag == "details" and "open" not in of
 
     def flush(self, keep: bool = False) -> None:
         text, self.line = "".join(self.line), []
@@ -141,9 +167,9 @@ class Page:
         if box.hidden:
             return
         if box.tag in ("td", "th"):
-            parent.cells.append((box.span, lines))
+            parent.cells.append((box.span, box.down, lines))
         elif box.tag == "tr":
-            parent.rows.append(box.cells or [(1, lines)])
+            parent.rows.append(box.cells or [(1, 1, lines)])
             if box.cells:  # what stands in a row beside its cells shows before the table
                 parent.blocks += box.blocks
         elif box.tag in ("thead", "tbody", "tfoot"):
@@ -177,14 +203,25 @@ class Page:
 
     def push(self, tag: str, rest: str = "") -> None:
         of = attributes(rest) if rest else {}
-        hidden = self.stack[-1].hidden or tag in HIDDEN or "hidden" in of or "style" in of and unshown(of["style"]) or tag == "dialog" and "open" not in of
+        top = self.stack[-1]
+        first = tag == "summary" and not top.count
+        hidden = top.hidden or tag in HIDDEN or top.tag == "details" and top.closed and not first or tag in UNDRAWN and self.foreign() or "hidden" in of or "style" in of and unshown(of["style"]) or tag == "dialog" and "open" not in of
+        if top.tag == "details" and tag == "summary":
+            top.count += 1
         if tag in BLOCK:
             parent = self.block()
             parent.flush(keep=parent.tag == "pre")
         self.stack.append(Box(tag, hidden, of))
+        if tag == "svg" or top.closed and top.tag != "details" and tag not in ("text", "foreignobject"):
+            self.stack[-1].closed = True
         self.open[tag] += 1
 
+    def foreign(self) -> bool:
+        return any(self.open[t] > 0 for t in FOREIGN)
+
     def start(self, tag: str, rest: str) -> None:
+        if tag == "text" and self.foreign() and not self.stack[-1].hidden:  # drawn at a place of its own
+            self.block().line.append(" ")
         if tag in ("html", "body"):
             self.close_to({"head"}, frozenset())
             return
@@ -220,29 +257,43 @@ class Page:
             block = self.block()
             text = html.unescape(text)
             text = text if block.tag == "pre" else text.replace("\r", " ")
-        if not self.stack[-1].hidden:
+        if not self.stack[-1].hidden and not self.stack[-1].closed:
             self.block().line.append(text)
 
 
-def aligned(rows: list[list[tuple[int, list[str]]]]) -> list[str]:
-    """Lines of a table whose cells start at the same place in each row; a wide cell takes several columns."""
+def aligned(rows: list[list[Cell]]) -> list[str]:
+    """Lines of a table whose columns start at the same place in each row.
+
+    A wide cell takes several columns, and a tall one keeps its columns free in
+    the rows below it.
+    """
     widths: list[int] = []
+    grid, tall = [], {}  # columns that cells above keep, with the rows that they still have
     for row in rows:
-        at = 0
-        for span, lines in row:
-            widths += [0] * (at + span - len(widths))
-            if span == 1:
-                widths[at] = max(widths[at], *map(len, lines), 0)
+        at, spots, below = 0, [], {c: n - 1 for c, n in tall.items() if n > 1}
+        for span, down, lines in row:
+            while at in tall:
+                at += 1
+            widths += [-1] * (at + 1 - len(widths))
+            widths[at] = max(widths[at], 0, *map(width, lines)) if span == 1 else max(widths[at], 0)
+            spots.append((at, lines))
+            if down > 1:
+                below.update(dict.fromkeys(range(at, at + span), down - 1))
             at += span
+        grid.append(spots)
+        tall = below
+    # A column in which no cell starts has no place of its own.
+    starts = [0]
+    for w in widths:
+        starts.append(starts[-1] + (w + len(GAP) if w >= 0 else 0))
     out = []
-    for row in rows:
-        spots, at = [], 0
-        for span, lines in row:
-            spots.append((sum(widths[at : at + span]) + len(GAP) * (span - 1), lines))
-            at += span
+    for spots in grid:
         for parts in zip_longest(*(lines for _, lines in spots), fillvalue=""):
-            line = GAP.join(part.ljust(width) for (width, _), part in zip(spots, parts, strict=True)).rstrip()
-            if line:
+            line = ""
+            for (at, _), part in zip(spots, parts, strict=True):
+                if part:
+                    line += " " * max(starts[at] - width(line), len(GAP) if line else 0) + part
+            if line := line.rstrip():
                 out.append(line)
     return out
 
@@ -277,8 +328,7 @@ def visible_text(source: str) -> str:
             if close:
                 page.end(tag)
                 continue
-            foreign = tag in FOREIGN or any(page.open[t] > 0 for t in FOREIGN)
-            if foreign and closes_itself(rest):
+            if (tag in FOREIGN or page.foreign()) and closes_itself(rest):
                 continue
             page.start(tag, rest)
             if tag in RAW:
@@ -310,6 +360,7 @@ def extracted(pages: DataFrame, keys: tuple[str, ...] = ("page_id", "url"), html
     ignored. Repeated rows each get a row; an empty table gives an empty table;
     other columns are not read.
     """
-    rows = pages.select(*keys, F.col(html_col).alias("__html"))
+    (made,) = unused(list(keys), 1)
+    rows = pages.select(*keys, F.col(html_col).alias(made))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInArrow(_extract, f"{kinds}, text string")

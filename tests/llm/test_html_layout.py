@@ -95,3 +95,25 @@ BESIDE = [
 @pytest.mark.parametrize("source, want", BESIDE)
 def test_nothing_that_shows_is_lost(source, want):
     assert visible_text(source) == want
+
+
+def test_tall_and_wide_cells():
+    page = "<table><tr><td rowspan=2>A<td>B<tr><td>C<tr><td colspan=2>D<td>E</table>"
+    assert visible_text(page) == "A  B\n   C\nD     E"
+    assert visible_text("<table><tr><th rowspan=0>k<td>1<tr><td>2<tr><td>3</table>") == "k  1\n   2\n   3"
+    assert visible_text("<table><tr><td colspan=999>a<td>b<tr><td>c<td>d</table>") == "a     b\nc  d"
+    assert visible_text("<table><tr><td colspan=99999999999999999999>a<tr><td>b<td rowspan=x>c</table>") == "a\nb  c"
+    assert visible_text("<table><tr><td>中文<td>x<tr><td>ab<td>y<tr><td>é<td>z</table>") == "中文  x\nab    y\né     z"
+
+
+def test_numbers_of_lists_have_no_cap():
+    assert visible_text("<ol start=12345678><li>a<li>b</ol>") == "12345678. a\n12345679. b"
+    assert visible_text("<ol start=-3><li>a</ol>") == "-3. a"
+
+
+def test_drawn_text_and_closed_details():
+    assert visible_text("<p>x <svg><title>t</title><desc>no</desc><defs><text>no</text></defs><text>one</text><text>two</text></svg> y</p>") == "x one two y"
+    assert visible_text("<p><math><mi>a</mi><mo>+</mo><mi>b</mi><annotation>a+b</annotation></math></p>") == "a+b"
+    page = "<details{}><summary>S</summary>body <b>bold</b><summary>second</summary><p>more</details><p>after"
+    assert visible_text(page.format("")) == "S\n\nafter"
+    assert visible_text(page.format(" open")) == "S\nbody bold\nsecond\n\nmore\n\nafter"
