@@ -187,15 +187,21 @@ def own_licences(docs: DataFrame, path_col: str = "path", text_col: str = "text"
     """``(path, h, licence, score, line, is_file)`` of the texts with a unit that reaches the threshold.
 
     ``h`` is the hash of the text, ``line`` counts from 0 and is -1 for a whole
-    text. Of equal scores the earlier line, then the first template, wins.
+    text. Of equal scores the earlier line, then the first template, wins. A
+    null text is empty and has no unit; a null path is a path like any other;
+    repeated rows give one row; an empty table gives an empty table; other
+    columns, whatever their names, are not read.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(F.col(path_col).alias("path"), text.alias("t"))
     known = sorted({t for _, x in TEMPLATES for t in re.findall(TERM, x.lower())})
-    counted = slim.select(F.explode(F.array_intersect(_terms(F.col("t")), F.array(*map(F.lit, known)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    frequency = dict.fromkeys(known, 0) | {r["term"]: r["n"] for r in counted.collect()}  # as many rows as template terms
-    idf, rare, vectors = _weights(frequency, slim.count())
+    # The empty term counts the rows.
+    each = F.array_append(F.array_intersect(_terms(F.col("t")), F.array(*map(F.lit, known))), F.lit(""))
+    counted = slim.select(F.explode(each).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    frequency = dict.fromkeys(["", *known], 0) | {r["term"]: r["n"] for r in counted.collect()}  # as many rows as template terms
+    rows = frequency.pop("")
+    idf, rare, vectors = _weights(frequency, rows)
     anchors = _anchors(vectors, threshold)
     near = lambda c: F.arrays_overlap(_terms(c), F.array(*map(F.lit, anchors)))
     words = lambda c: F.size(F.filter(F.split(c, f"[{BLANK}]+"), lambda w: w != ""))
