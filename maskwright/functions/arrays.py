@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Elements of a chunk of a running fold, at least; code points of a chunk of a text.
+#: Elements of a chunk of an array that grows; code points of a chunk of a text.
 CHUNK, STRETCH = 64, 4096
 
 
@@ -16,50 +16,51 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def running(values: Column, zero: Column, combine: Callable[[Column, Column], Column]) -> Column:
-    """For each element the fold of those before it; ``combine`` must be associative with ``zero`` as its unit.
+def gathered(xs: Column, start: Column, step: Callable[[Column, Column], Column], make: Callable[[Column, Column], Column], sample: Column, keep: Callable[[Column, Column], Column] | None = None) -> Column:
+    """A fold that gathers ``make(state, x)`` of each element for which ``keep(state, x)`` holds, with the state before it.
 
-    An accumulator that grows by appending is copied at each step, so it stays
-    short: folds of chunks first, then the elements of each chunk.
+    An array that grows by appending is copied at each step, so only a short
+    chunk grows, and full chunks are put aside. ``sample`` has the type of what
+    is made. One lambda deep, which keeps plans with many folds small.
     """
 
-    def each_before(xs: Column, start: Column) -> Column:
-        begun = F.struct(start.alias("at"), F.slice(F.array(zero), 1, 0).alias("made"))
-        return F.aggregate(xs, begun, lambda acc, x: F.struct(combine(acc["at"], x).alias("at"), F.concat(acc["made"], F.array(acc["at"])).alias("made")), lambda acc: acc["made"])
-
-    def chunked(xs: Column, width: Column) -> Column:
-        firsts = F.sequence(F.lit(1), F.greatest(F.size(xs), F.lit(1)), width)
-        chunks = F.transform(firsts, lambda at: F.slice(xs, at, width))
-
-        def joined(cut: Column) -> Column:
-            starts = each_before(F.transform(cut, lambda c: F.aggregate(c, zero, combine)), zero)
-            return F.flatten(F.zip_with(cut, starts, each_before))
-
-        return let(chunks, joined)
+    def merged(acc: Column, x: Column) -> Column:
+        state, kept = acc["state"], keep(acc["state"], x) if keep else F.lit(True)
+        one, full = F.array(make(state, x)), F.size(acc["chunk"]) >= CHUNK
+        return F.struct(
+            step(state, x).alias("state"),
+            F.when(kept & full, F.concat(acc["done"], F.array(acc["chunk"]))).otherwise(acc["done"]).alias("done"),
+            F.when(~kept, acc["chunk"]).when(full, one).otherwise(F.concat(acc["chunk"], one)).alias("chunk"),
+        )
 
-    return let(values, lambda xs: let(F.greatest(F.lit(CHUNK), F.ceil(F.sqrt(F.size(xs))).cast("int")), lambda width: chunked(xs, width)))
-
-
-def placed(between: Column, hits: Column, make: Callable[[Column, Column, Column], Column]) -> Column:
-    """``make(start, end, hit)`` of matches, from them and the stretches of text that they part."""
-    pairs = F.zip_with(between, hits, lambda b, h: F.struct(F.length(b).alias("gap"), F.length(h).alias("n"), h.alias("v")))
+    none = F.slice(F.array(sample), 1, 0)
+    begun = F.struct(start.alias("state"), F.slice(F.array(none), 1, 0).alias("done"), none.alias("chunk"))
+    return F.aggregate(xs, begun, merged, lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["chunk"]))))
 
-    def shifted(found: Column) -> Column:
-        starts = running(F.transform(found, lambda p: p["gap"] + p["n"]), F.lit(0), lambda a, b: a + b)
-        return F.zip_with(found, starts, lambda p, s: make(s + p["gap"], s + p["gap"] + p["n"], p["v"]))
 
-    return let(F.filter(pairs, lambda p: p["v"].isNotNull()), shifted)
+def running(values: Column, zero: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each element the fold of those before it."""
+    return gathered(values, zero, combine, lambda state, x: state, zero)
 
 
-def matches(text: Column, pattern: str, value: str = "text") -> Column:
-    """Array of ``(start, end, value)`` of all leftmost matches, in code points; null where there is none.
+def matches(text: Column, pattern: str | Column, value: str = "text") -> Column:
+    """Array of ``(start, end, value)`` of all leftmost matches, in code points; null in a null text.
 
     The matches and the pieces between them come from the same pattern, so
     that running sums of their lengths are the offsets.
     """
-    hits, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    made = lambda start, end, v: F.struct(start.alias("start"), end.alias("end"), v.alias(value))
-    return let(hits, lambda h: F.when(F.size(h) > 0, placed(between, h, made)))
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    hits, between = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
+    # Paired outside the fold: what stands inside a lambda is computed anew for each element.
+    pairs = F.zip_with(between, hits, lambda b, h: F.struct(F.length(b).alias("gap"), F.length(h).alias("n"), h.alias("v")))
+    span = lambda start, end, v: F.struct(start.alias("start"), end.alias("end"), v.alias(value))
+    return gathered(
+        F.filter(pairs, lambda p: p["v"].isNotNull()),
+        F.lit(0),
+        lambda at, p: at + p["gap"] + p["n"],
+        lambda at, p: span(at + p["gap"], at + p["gap"] + p["n"], p["v"]),
+        span(F.lit(0), F.lit(0), F.lit("")),
+    )
 
 
 def stretches(text: Column) -> Column:
@@ -88,3 +89,21 @@ def spliced(text: Column, spans: Column, new: Callable[[Column], Column]) -> Col
         return F.array_join(F.zip_with(kept, F.concat(F.transform(found, new), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
 
     return F.when(F.size(spans) == 0, text).otherwise(let(stretches(text), lambda parts: let(spans, lambda found: joined(parts, found))))
+
+
+def overlapping(by_start: Column, none: Column) -> Column:
+    """The runs of spans, given by start, that overlap one another directly or over others; ``none`` is an empty array of spans."""
+
+    def merged(acc: Column, x: Column) -> Column:
+        joins, full = (x["start"] < acc["end"]) | (F.size(acc["run"]) == 0), F.size(acc["chunk"]) >= CHUNK
+        return F.struct(
+            F.greatest(acc["end"], x["end"]).alias("end"),
+            F.when(joins, F.concat(acc["run"], F.array(x))).otherwise(F.array(x)).alias("run"),
+            F.when(joins, acc["chunk"]).when(full, F.array(acc["run"])).otherwise(F.concat(acc["chunk"], F.array(acc["run"]))).alias("chunk"),
+            F.when(joins | ~full, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["chunk"]))).alias("done"),
+        )
+
+    runs = F.slice(F.array(none), 1, 0)
+    begun = F.struct(F.lit(0).alias("end"), none.alias("run"), runs.alias("chunk"), F.slice(F.array(runs), 1, 0).alias("done"))
+    ended = lambda acc: F.flatten(F.concat(acc["done"], F.array(F.concat(acc["chunk"], F.array(acc["run"])))))
+    return F.filter(F.aggregate(by_start, begun, merged, ended), lambda run: F.size(run) > 0)

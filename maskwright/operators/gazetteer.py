@@ -8,9 +8,12 @@ ASCII letter, case does not matter, and a space in it is any white space.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskwright.functions import arrays
 from maskwright.operators import spans
 from maskwright.operators.recognizers import ORDER_STEP
 
@@ -28,44 +31,66 @@ def known_names(named: DataFrame, min_tokens: int = 2) -> DataFrame:
     return named.select("scope", "label", bare.alias("name")).filter(F.size(F.split("name", r"(?U)\s+")) >= min_tokens).distinct()
 
 
+def keys_of(blocks: DataFrame) -> list[str]:
+    """The columns that name a block: its scope, the row of the scope where ids may repeat, and its place."""
+    return [c for c in ("scope", "row", "block_idx") if c in blocks.columns]
+
+
+def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on keys in which nulls are equal; the right side's keys go."""
+    of = {k: f"__of_{k}" for k in keys}
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(o)) for k, o in of.items()))
+    joined = left.join(right.withColumnsRenamed(of), same, how)
+    return joined.drop(*of.values())
+
+
 def matched(blocks: DataFrame, names: DataFrame) -> DataFrame:
-    """``(scope, block_idx, found)`` of the blocks in which names stand.
+    """The keys of blocks and ``found``, the mentions of names in them.
 
-    ``blocks`` has ``scope, block_idx, text``; ``names`` is as ``known_names``
-    makes it. A name without an ASCII letter is tried on each block of its scope.
+    ``blocks`` has ``scope``, ``block_idx``, ``text`` and perhaps ``row``;
+    ``names`` is as ``known_names`` makes it. Words meet names without the text
+    of their block, which joins once, when its names are known. A name without
+    an ASCII letter is tried on each block of its scope. Blocks that are equal
+    in all keys have the same text and give one row; a null text has no words.
     """
+    keys = keys_of(blocks)
     longest = F.element_at(F.array_sort(F.transform(_words(F.col("name")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
     keyed = names.withColumn("key", F.coalesce(F.when(F.col("name").rlike("[A-Za-z]"), longest), F.lit("")))
-    asked = blocks.join(names.select("scope").distinct(), "scope", "left_semi").select("scope", "block_idx", "text", F.explode(F.array_append(F.array_distinct(_words(F.col("text"))), F.lit(""))).alias("key"))
-    # Case-insensitive containment of the words, before any pattern is made.
-    met = asked.join(keyed, ["scope", "key"]).filter(F.forall(_words(F.col("name")), lambda w: F.contains(F.lower("text"), w)))
-    escaped = F.regexp_replace("name", r"([\\.\[\]{}()*+?^$|&#-])", r"\\$1")
-    met = met.withColumn("part", F.regexp_replace(escaped, " ", r"\\s+"))
-    of = met.groupBy("scope", "block_idx", "label").agg(F.first("text").alias("text"), F.collect_set(F.struct((-F.length("name")).alias("n"), "name", "part")).alias("parts"))
-    pattern = F.concat(F.lit(r"(?U)(?iu)(?<![A-Za-z])(?:"), F.array_join(F.transform(F.array_sort("parts"), lambda p: p["part"]), "|"), F.lit(")(?![A-Za-z])"))
-    hits = of.withColumn("pattern", pattern).withColumn("hits", F.expr("regexp_extract_all(text, pattern, 0)")).withColumn("between", F.expr("split(text, pattern, -1)")).filter(F.size("hits") > 0)
-    pairs = F.filter(F.zip_with("between", "hits", lambda b, h: F.struct((F.length(b) + F.length(h)).alias("n"), h.alias("v"))), lambda p: p["v"].isNotNull())
-    ends = F.slice(F.aggregate(pairs, F.array(F.lit(0)), lambda made, p: F.concat(made, F.array(F.element_at(made, -1) + p["n"]))), 2, F.size("hits"))
-    place = F.when(F.col("label") == "PERSON", POSITION["PERSON"]).otherwise(POSITION["ORGANIZATION"])
-
-    def made(e: Column, hit: Column) -> Column:
-        return F.struct(
-            (e - F.length(hit)).alias("start"),
-            e.alias("end"),
-            hit.alias("text"),
-            F.col("label").alias("label"),
-            F.concat(F.lit("gazetteer:"), F.lower("label")).alias("recognizer"),
-            F.lit(SCORE).alias("score"),
-            F.lit(PRIORITY).alias("priority"),
-            (place.cast("bigint") * ORDER_STEP + e).alias("ord"),
-        )
-
-    found = hits.select("scope", "block_idx", F.zip_with(ends, F.col("hits"), made).alias("found"))
-    return found.groupBy("scope", "block_idx").agg(F.flatten(F.collect_list("found")).alias("found"))
+    asked = null_safe(blocks, names.select("scope").distinct(), ["scope"], "left_semi")
+    asked = asked.select(*keys, F.explode(F.array_append(F.array_distinct(_words(F.col("text"))), F.lit(""))).alias("key"))
+    met = null_safe(asked, keyed, ["scope", "key"]).groupBy(*keys).agg(F.collect_set(F.struct("label", "name")).alias("names"))
+    once = null_safe(blocks.select(*keys, "text").dropDuplicates(keys), met, keys)
+
+    def of_label(label: str) -> Column:
+        # Case-insensitive containment of the words, before any pattern is made.
+        there = arrays.let(F.lower("text"), lambda low: F.filter("names", lambda n: (n["label"] == label) & F.forall(_words(n["name"]), lambda w: F.contains(low, w))))
+        escaped = lambda n: F.regexp_replace(F.regexp_replace(n["name"], r"([\\.\[\]{}()*+?^$|&#-])", r"\\$1"), " ", r"\\s+")
+        parts = F.array_sort(F.transform(there, lambda n: F.struct((-F.length(n["name"])).alias("n"), n["name"].alias("name"), escaped(n).alias("part"))))
+        joined = F.array_join(F.transform(parts, lambda p: p["part"]), "|")
+        pattern = F.concat(F.lit(r"(?U)(?iu)(?<![A-Za-z])(?:"), joined, F.lit(")(?![A-Za-z])"))
+
+        def made(m: Column) -> Column:
+            return F.struct(
+                m["start"].alias("start"),
+                m["end"].alias("end"),
+                m["text"].alias("text"),
+                F.lit(label).alias("label"),
+                F.lit(f"gazetteer:{label.lower()}").alias("recognizer"),
+                F.lit(SCORE).alias("score"),
+                F.lit(PRIORITY).alias("priority"),
+                (F.lit(POSITION[label] * ORDER_STEP).cast("bigint") + m["end"]).alias("ord"),
+            )
+
+        found = arrays.let(there, lambda t: F.when(F.size(t) > 0, F.transform(arrays.matches(F.col("text"), pattern), made)))
+        return F.coalesce(found, spans.empty())
+
+    found = once.select(*keys, F.concat(*map(of_label, POSITION)).alias("found"))
+    return found.filter(F.size("found") > 0)
 
 
 def with_names(blocks: DataFrame, names: DataFrame) -> DataFrame:
     """``blocks`` with the spans of names added to column ``cands`` and ``spans`` settled anew."""
-    found = matched(blocks.select("scope", "block_idx", "text"), names)
-    joined = blocks.join(found, ["scope", "block_idx"], "left").withColumn("cands", F.concat("cands", F.coalesce("found", spans.empty()))).drop("found")
+    keys = keys_of(blocks)
+    found = matched(blocks.select(*keys, "text"), names)
+    joined = null_safe(blocks, found, keys, "left").withColumn("cands", F.concat("cands", F.coalesce("found", spans.empty()))).drop("found")
     return joined.withColumn("spans", spans.resolve(F.col("cands")))

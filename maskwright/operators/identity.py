@@ -51,8 +51,11 @@ def primed(names: DataFrame) -> DataFrame:
     a stranger; names without a word have no signature and no row.
     """
     of = names.select("scope", signature(F.col("name")).alias("signature")).filter(F.size("signature") > 0).distinct()
-    small = of.withColumn("word", F.element_at("signature", 1))
     large = of.select("scope", F.col("signature").alias("whole"), F.explode("signature").alias("word"))
+    # A signature looks for its relatives under its rarest word: a common first name is no key of many.
+    often = large.groupBy("scope", "word").agg(F.count(F.lit(1)).alias("n"))
+    each = of.select("scope", "signature", F.explode("signature").alias("word")).join(often, ["scope", "word"])
+    small = each.groupBy("scope", "signature").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
     inside = (F.size("whole") > F.size("signature")) & (F.size(F.array_except("signature", "whole")) == 0)
     one = small.join(large, ["scope", "word"]).filter(inside).groupBy("scope", "signature").agg(F.count(F.lit(1)).alias("n"), F.first("whole").alias("whole")).filter("n = 1")
     return of.join(one.select("scope", "signature", "whole"), ["scope", "signature"], "left").select("scope", "signature", F.coalesce("whole", "signature").alias("root"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from maskwright.functions import arrays
+
 SPAN = "struct<start: int, end: int, text: string, label: string, recognizer: string, score: double, priority: int, ord: bigint>"
 REPLACEMENT = "struct<start: int, end: int, text: string, label: string>"
 
@@ -18,25 +20,12 @@ def empty(kind: str = SPAN) -> Column:
 
 
 def find(text: Column, pattern: str) -> Column:
-    """Array of ``(start, end, text)`` of all leftmost matches; null where there is none.
+    """Array of ``(start, end, text)`` of all leftmost matches; null in a null text.
 
-    The matches and the pieces between them come from the same pattern, so
-    that running sums of their lengths are the offsets; no sentinel is put into
-    the text, and code points are counted as Spark counts them.
+    No sentinel is put into the text, and code points are counted as Spark
+    counts them.
     """
-    hits, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    # Paired outside the lambdas: what stands inside one is computed anew for each element.
-    pairs = F.zip_with(between, hits, lambda b, h: F.struct(F.length(b).alias("gap"), F.length(h).alias("n"), h.alias("v")))
-    placed = F.aggregate(
-        F.filter(pairs, lambda p: p["v"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start: int, end: int, text: string>>)").alias("made")),
-        lambda acc, p: F.struct(
-            (acc["at"] + p["gap"] + p["n"]).alias("at"),
-            F.concat(acc["made"], F.array(F.struct((acc["at"] + p["gap"]).alias("start"), (acc["at"] + p["gap"] + p["n"]).alias("end"), p["v"].alias("text")))).alias("made"),
-        ),
-        lambda acc: acc["made"],
-    )
-    return F.when(F.size(placed) > 0, placed)
+    return arrays.matches(text, pattern)
 
 
 def overlaps(a: Column, b: Column) -> Column:
@@ -47,45 +36,43 @@ def resolve(spans: Column) -> Column:
     """The spans that win: by priority, score, length, place and order of finding, each beats all that it overlaps.
 
     Greedy and sequential, as a candidate that only a beaten one overlaps
-    stays; the fold is over the few candidates of one block.
+    stays. Spans of different runs of overlapping ones never meet, so the fold
+    is over one run at a time.
     """
-    keyed = F.transform(
-        spans,
-        lambda s: F.struct((-s["priority"]).alias("k1"), (-s["score"]).alias("k2"), (s["start"] - s["end"]).alias("k3"), s["start"].alias("start"), s["ord"].alias("k5"), s["end"].alias("end"), s.alias("s")),
-    )
-    won = F.aggregate(
-        F.transform(F.array_sort(keyed), lambda k: k["s"]),
-        empty(),
-        lambda kept, s: F.when(F.exists(kept, lambda other: overlaps(other, s)), kept).otherwise(F.concat(kept, F.array(s))),
-    )
-    return F.array_sort(F.coalesce(won, empty()))
+
+    def won(run: Column) -> Column:
+        keyed = F.transform(
+            run,
+            lambda s: F.struct((-s["priority"]).alias("k1"), (-s["score"]).alias("k2"), (s["start"] - s["end"]).alias("k3"), s["start"].alias("start"), s["ord"].alias("k5"), s["end"].alias("end"), s.alias("s")),
+        )
+        fold = F.aggregate(
+            F.transform(F.array_sort(keyed), lambda k: k["s"]),
+            F.slice(run, 1, 0),
+            lambda kept, s: F.when(F.exists(kept, lambda other: overlaps(other, s)), kept).otherwise(F.concat(kept, F.array(s))),
+        )
+        return F.when(F.size(run) == 1, run).otherwise(fold)
+
+    return F.array_sort(F.coalesce(F.flatten(F.transform(arrays.overlapping(F.array_sort(spans), empty()), won)), empty()))
 
 
 def resolve_replacements(replacements: Column, length: Column) -> Column:
     """Replacements that land: clamped to the text, not empty, by start then longest first, none reaching into one before."""
 
-    def clamped(r: Column) -> Column:
-        bound = lambda x: F.greatest(F.lit(0), F.least(x, length))
+    def clamped(r: Column, size: Column) -> Column:
+        bound = lambda x: F.greatest(F.lit(0), F.least(x, size))
         return F.struct(bound(r["start"]).alias("start"), bound(r["end"]).alias("end"), r["text"].alias("text"), r["label"].alias("label"))
 
-    ordered = F.array_sort(F.transform(F.filter(F.transform(replacements, clamped), lambda r: r["end"] > r["start"]), lambda r: F.struct(r["start"].alias("a"), (-r["end"]).alias("b"), r.alias("r"))))
-    landed = F.aggregate(
-        ordered,
-        F.struct(F.lit(0).alias("at"), empty(REPLACEMENT).alias("kept")),
-        lambda acc, o: F.when(o["r"]["start"] >= acc["at"], F.struct(o["r"]["end"].alias("at"), F.concat(acc["kept"], F.array(o["r"])).alias("kept"))).otherwise(acc),
-        lambda acc: acc["kept"],
-    )
+    some = arrays.let(length, lambda size: F.filter(F.transform(replacements, lambda r: clamped(r, size)), lambda r: r["end"] > r["start"]))
+    ordered = F.array_sort(F.transform(some, lambda r: F.struct(r["start"].alias("a"), (-r["end"]).alias("b"), r.alias("r"))))
+    sample = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("text"), F.lit("").alias("label"))
+    lands = lambda at, o: o["r"]["start"] >= at
+    landed = arrays.gathered(ordered, F.lit(0), lambda at, o: F.when(lands(at, o), o["r"]["end"]).otherwise(at), lambda at, o: o["r"], sample, lands)
     return F.coalesce(landed, empty(REPLACEMENT))
 
 
 def splice(text: Column, replacements: Column) -> Column:
     """The text with landed replacements (in order, disjoint) written in."""
-    return F.aggregate(
-        replacements,
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda acc, r: F.struct(F.concat(acc["out"], F.substring(text, acc["at"] + 1, r["start"] - acc["at"]), r["text"]).alias("out"), r["end"].alias("at")),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
+    return arrays.spliced(text, replacements, lambda r: r["text"])
 
 
 def splice_runs(runs: Column, replacements: Column) -> Column:

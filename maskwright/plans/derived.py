@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 # Words that the derived texts choose from by a key.
 CITIES = ("Pune", "Mumbai", "Navi Mumbai", "Springfield", "NAGPUR", "Punekar")
-FIRST = ("Rohit", "Kushal", "Anita", "Meera", "Vikram", "Leela", "Arjun")
+FIRST = ("Tarun", "Mohini", "Anita", "Meera", "Vikram", "Leela", "Arjun")
 MIDDLE = ("Dev", "Kiran", "Mohan")
-LAST = ("Hegde", "Patil", "Joshi", "Rao", "Shah")
+LAST = ("Desai", "Patil", "Joshi", "Rao", "Shah")
 FORMS = ("Holdings Limited", "private limited", "Works LLP", "Bank Limited", "Road Limited")
 
 

@@ -28,12 +28,17 @@ CATEGORIES = {
 
 
 def blocks_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_line: bool = True) -> DataFrame:
-    """``(scope, block_idx, location, text)``: a block for each line of a text, or for each text. A null text has none."""
-    rows = docs.select(F.col(id_col).alias("scope"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
+    """``(scope, row, block_idx, location, text)``: a block for each line of a text, or for each text.
+
+    ``row`` is the hash of the whole text, which tells apart documents that
+    share an id, null ids among them. A null text is one block without a text.
+    """
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.col(f"`{id_col}`").alias("scope"), F.xxhash64(text).alias("row"), text.alias("text"))
     if not by_line:
-        return rows.select("scope", F.lit(0).alias("block_idx"), F.lit("body").alias("location"), "text")
-    lines = rows.select("scope", F.posexplode(F.split("text", "\n")).alias("block_idx", "text"))
-    return lines.select("scope", "block_idx", F.lit("body").alias("location"), "text")
+        return rows.select("scope", "row", F.lit(0).alias("block_idx"), F.lit("body").alias("location"), "text")
+    lines = rows.select("scope", "row", F.posexplode_outer(F.split("text", "\n")).alias("block_idx", "text"))
+    return lines.select("scope", "row", F.coalesce("block_idx", F.lit(0)).alias("block_idx"), F.lit("body").alias("location"), "text")
 
 
 def without_headers(blocks: DataFrame) -> DataFrame:
@@ -57,7 +62,7 @@ def detected(blocks: DataFrame, only: Iterable[str] | None = None, exclude: Iter
 
 def _rows(blocks: DataFrame) -> DataFrame:
     """A row for each span. The outer form keeps the optimizer from testing, and so making, the spans twice."""
-    return blocks.select("scope", "block_idx", F.inline_outer("spans")).filter(F.col("start").isNotNull())
+    return blocks.select(*gazetteer.keys_of(blocks), F.inline_outer("spans")).filter(F.col("start").isNotNull())
 
 
 def names_in(blocks: DataFrame) -> DataFrame:
@@ -74,7 +79,7 @@ def two_pass(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def detections_of(blocks: DataFrame) -> DataFrame:
     """``(scope, block_idx, start, end, text, label, recognizer, score, priority)``, one row for each span."""
-    return _rows(blocks).drop("ord")
+    return _rows(blocks).drop("ord", "row")
 
 
 def mapping_of(blocks: DataFrame, policy_name: str = "fake", names: DataFrame | None = None) -> DataFrame:
@@ -90,11 +95,15 @@ def with_placeholders(blocks: DataFrame, template: str = "[{label}]") -> DataFra
 
 
 def replaced(blocks: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Detected blocks with ``landed`` and ``redacted`` under any mapping; a substitute equal to its original is no replacement."""
+    """Detected blocks with ``landed`` and ``redacted`` under any mapping; a substitute equal to its original is no replacement.
+
+    Blocks that are equal in all keys have the same text, and each is kept.
+    """
+    keys = gazetteer.keys_of(blocks)
     found = _rows(blocks).withColumnRenamed("text", "original")
-    joined = found.join(mapping, ["scope", "label", "original"]).filter(F.col("replacement") != F.col("original"))
-    made = joined.groupBy("scope", "block_idx").agg(F.collect_list(F.struct("start", "end", F.col("replacement").alias("text"), "label")).alias("made"))
-    return _written(blocks.join(made, ["scope", "block_idx"], "left").withColumn("made", F.coalesce("made", spans.empty(spans.REPLACEMENT))))
+    joined = gazetteer.null_safe(found, mapping, ["scope", "label", "original"]).filter(F.col("replacement") != F.col("original"))
+    made = joined.groupBy(*keys).agg(F.collect_set(F.struct("start", "end", F.col("replacement").alias("text"), "label")).alias("made"))
+    return _written(gazetteer.null_safe(blocks, made, keys, "left").withColumn("made", F.coalesce("made", spans.empty(spans.REPLACEMENT))))
 
 
 def _written(blocks: DataFrame) -> DataFrame:
@@ -109,16 +118,23 @@ def passed_through(blocks: DataFrame) -> DataFrame:
 
 
 def joined_up(blocks: DataFrame) -> DataFrame:
-    """``(scope, text, redacted_text, n_replacements)``: documents from redacted blocks, lines in order."""
-    lines = F.array_sort(F.collect_list(F.struct("block_idx", "redacted")))
-    grouped = blocks.groupBy("scope").agg(lines.alias("lines"), F.sum(F.size("landed")).alias("n_replacements"))
-    return grouped.select("scope", F.array_join(F.transform("lines", lambda x: x["redacted"]), "\n").alias("redacted_text"), F.col("n_replacements").cast("bigint").alias("n_replacements"))
+    """``(scope, redacted_text, n_replacements)``: a row for each document from redacted blocks, lines in order.
+
+    Documents that share an id are told apart by their text, and those that
+    share both are written once and repeated. A null text stays null.
+    """
+    keys = [k for k in gazetteer.keys_of(blocks) if k != "block_idx"]
+    lines = F.array_sort(F.collect_set(F.struct("block_idx", "redacted", F.size("landed").alias("n"))))
+    grouped = blocks.groupBy(*keys).agg(lines.alias("lines"), F.count_if(F.col("block_idx") == 0).alias("copies"))
+    text = F.when(F.element_at("lines", 1)["redacted"].isNotNull(), F.array_join(F.transform("lines", lambda x: x["redacted"]), "\n"))
+    each = F.explode(F.array_repeat(F.aggregate("lines", F.lit(0).cast("bigint"), lambda a, x: a + x["n"]), F.greatest(F.col("copies").cast("int"), F.lit(1))))
+    return grouped.select("scope", text.alias("redacted_text"), each.alias("n_replacements"))
 
 
 def statistics(blocks: DataFrame) -> DataFrame:
-    """One row: blocks, blocks that are not blank, characters before editing, replacements that landed."""
+    """One row: blocks with a text, blocks that are not blank, characters before editing, replacements that landed."""
     return blocks.agg(
-        F.count(F.lit(1)).alias("blocks"),
+        F.count("text").alias("blocks"),
         F.count_if(F.col("text").rlike(r"(?U)\S")).alias("non_empty_blocks"),
         F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("bigint").alias("characters"),
         F.coalesce(F.sum(F.size("landed")), F.lit(0)).cast("bigint").alias("replacements"),

@@ -24,7 +24,7 @@ def test_word_predicates(spark):
     assert column(spark, ["Bank Limited", "Acme Bank", ""], words.all_generic) == [True, False, False]
     assert column(spark, ["SEBI", "the Supreme Court of X", "process", "co", "Acme", ""], words.is_institution) == [True, True, True, False, False, False]
     assert column(spark, ["a1", "a²", "a", "٣"], words.has_digit) == [True, True, False, True]
-    got = column(spark, ["Sharmila Joshi Website", "Offer Rajesh", "Equity Shares", "A  B", ""], words.strip_jargon_edges)
+    got = column(spark, ["Vasundra Kelar Website", "Offer Girija", "Equity Shares", "A  B", ""], words.strip_jargon_edges)
     assert [tuple(g) if g else None for g in got] == [(0, 14), (6, 12), None, (0, 4), None]
 
 
@@ -37,17 +37,17 @@ def spotted(spark, text, found):
 
 
 def test_entity_rules(spark):
-    text = "The Rohit Kumar Website, India; Lokesh Shah/ Soumavo Sarkar; Acme Foods Limited, Montreal Business Centre and Offer Price at N.A or Wagholi, SEBI"
+    text = "The Tarun Mehra Website, India; Girish Vora/ Debojit Mondal; Acme Foods Limited, Riverton Business Centre and Offer Price at N.A or Wagholi, SEBI"
     got = spotted(
         spark, text,
-        [("The Rohit Kumar Website,", "PERSON"), ("India", "LOCATION"), ("Lokesh Shah/ Soumavo Sarkar", "ORGANIZATION"), ("Acme Foods Limited", "PERSON"), ("Montreal Business Centre", "ORGANIZATION"), ("Offer Price", "PERSON"), ("N.A", "LOCATION"), ("Wagholi", "LOCATION"), ("SEBI", "ORGANIZATION")],
+        [("The Tarun Mehra Website,", "PERSON"), ("India", "LOCATION"), ("Girish Vora/ Debojit Mondal", "ORGANIZATION"), ("Acme Foods Limited", "PERSON"), ("Riverton Business Centre", "ORGANIZATION"), ("Offer Price", "PERSON"), ("N.A", "LOCATION"), ("Wagholi", "LOCATION"), ("SEBI", "ORGANIZATION")],
     )
-    assert {(v, k) for v, k, _ in got} == {("Rohit Kumar", "PERSON"), ("Lokesh Shah", "PERSON"), ("Soumavo Sarkar", "PERSON"), ("Acme Foods Limited", "ORGANIZATION"), ("Montreal Business Centre", "LOCATION"), ("Wagholi", "LOCATION")}
-    assert ("Montreal Business Centre", "LOCATION", 0.6) in got and ("Lokesh Shah", "PERSON", 0.75) in got
+    assert {(v, k) for v, k, _ in got} == {("Tarun Mehra", "PERSON"), ("Girish Vora", "PERSON"), ("Debojit Mondal", "PERSON"), ("Acme Foods Limited", "ORGANIZATION"), ("Riverton Business Centre", "LOCATION"), ("Wagholi", "LOCATION")}
+    assert ("Riverton Business Centre", "LOCATION", 0.6) in got and ("Girish Vora", "PERSON", 0.75) in got
 
 
 def test_heuristic_entities(spark):
-    (got,) = column(spark, ["yesterday Rohit Kumar met Acme Foods Limited in Bandra Kurla Complex"], entities.heuristic)
+    (got,) = column(spark, ["yesterday Tarun Mehra met Acme Foods Limited in Bandra Kurla Complex"], entities.heuristic)
     assert [(e.start, e.label) for e in got] == [(10, "PERSON"), (26, "ORGANIZATION"), (48, "LOCATION")]
 
 
@@ -68,10 +68,10 @@ def mentions(spark, names, texts, label="PERSON"):
 
 
 def test_names_are_found_again(spark):
-    names = ["Rohit Kushal Hegde", "Kushal Hegde", "Ann Lee", "Single", " Ann  Lee ", "J. (Jo) Smith", "李 小龙"]
-    texts = ["ROHIT  kushal\tHegde, and Kushal Hegde", "Joann Leeson met ann lee.", "Single J. (Jo) Smith J. Jo Smith", "Rohit Kushal Hegdey", "见李 小龙了", ""]
+    names = ["Tarun Mohini Desai", "Mohini Desai", "Ann Lee", "Single", " Ann  Lee ", "J. (Jo) Smith", "李 小龙"]
+    texts = ["TARUN  mohini\tDesai, and Mohini Desai", "Joann Leeson met ann lee.", "Single J. (Jo) Smith J. Jo Smith", "Tarun Mohini Desaiy", "见李 小龙了", ""]
     got = mentions(spark, names, texts)
-    assert [[t for _, _, t in g] for g in got] == [["ROHIT  kushal\tHegde", "Kushal Hegde"], ["ann lee"], ["J. (Jo) Smith"], [], ["李 小龙"], []]
+    assert [[t for _, _, t in g] for g in got] == [["TARUN  mohini\tDesai", "Mohini Desai"], ["ann lee"], ["J. (Jo) Smith"], [], ["李 小龙"], []]
     assert got[1] == [(17, 24, "ann lee")]
 
 
@@ -103,12 +103,12 @@ def roots(spark, values, known=()):
 
 
 def test_people_and_their_addresses_are_one(spark):
-    got = roots(spark, [("PERSON", "Rashi Patil"), ("EMAIL", "rashi.patil@gmail.com"), ("EMAIL", "12@x.co")])
-    assert got["Rashi Patil"] == got["rashi.patil@gmail.com"] and got["12@x.co"] == "12@x.co"
-    got = roots(spark, [("EMAIL", "kushal.hegde@x.co"), ("PERSON", "Kushal Hegde")], ["Rohit Kushal Hegde", "Kushal Subbayya Hegde"])
-    assert got["kushal.hegde@x.co"] == got["Kushal Hegde"] == "hegde kushal"
-    got = roots(spark, [("EMAIL", "kushal.hegde@x.co")], ["Rohit Kushal Hegde"])
-    assert got["kushal.hegde@x.co"] == "hegde kushal rohit"
+    got = roots(spark, [("PERSON", "Nisha Gokal"), ("EMAIL", "nisha.gokal@gmail.com"), ("EMAIL", "12@x.co")])
+    assert got["Nisha Gokal"] == got["nisha.gokal@gmail.com"] and got["12@x.co"] == "12@x.co"
+    got = roots(spark, [("EMAIL", "mohini.desai@x.co"), ("PERSON", "Mohini Desai")], ["Tarun Mohini Desai", "Mohini Sekaran Desai"])
+    assert got["mohini.desai@x.co"] == got["Mohini Desai"] == "desai mohini"
+    got = roots(spark, [("EMAIL", "mohini.desai@x.co")], ["Tarun Mohini Desai"])
+    assert got["mohini.desai@x.co"] == "desai mohini tarun"
 
 
 def test_people_are_counted(spark):
@@ -120,7 +120,7 @@ def test_people_are_counted(spark):
 def test_substitutes_keep_the_shape(spark):
     shapes = {
         ("PHONE", "+ 91 20 4505 3237"): r"\+ 91 \d\d \d{4} \d{4}",
-        ("PHONE", "022-68052182"): r"\d{3}-\d{8}",
+        ("PHONE", "044-71936620"): r"\d{3}-\d{8}",
         ("LOCATION", "410 501"): r"[1-9]\d\d \d{3}",
         ("LOCATION", "PUNE"): r"[A-Z ]+",
         ("DATE_OF_BIRTH", "14/08/1985"): r"[0-2]\d/[01]\d/(19|20)\d\d",
@@ -140,7 +140,7 @@ def test_substitutes_keep_the_shape(spark):
     got = {(r.label, r.text): r.x for r in rows.select("label", "text", surrogates.substitutes(F.col("label"), F.col("text")).alias("x")).collect()}
     for key, shape in shapes.items():
         assert re.fullmatch(shape, got[key]), (key, got[key])
-    assert surrogates.phone("+ 91 20 45053237").replace(" ", "") == surrogates.phone("+91-20-4505 3237").replace(" ", "").replace("-", "")
+    assert surrogates.phone("+ 91 44 28316074").replace(" ", "") == surrogates.phone("+91-44-2831 6074").replace(" ", "").replace("-", "")
     cards = [surrogates.card(str(n)) for n in range(200)]
     assert all(column(spark, cards, checks.luhn)) and not any(column(spark, [c[:-1] + str((int(c[-1]) + 1) % 10) for c in cards], checks.luhn))
     assert [surrogates.check_digit(d) for d in ("411111111111111", "37828224631000")] == [1, 5]
@@ -149,30 +149,30 @@ def test_substitutes_keep_the_shape(spark):
 def test_seeds_and_cases(spark):
     import hashlib
 
-    values = ["a", "", "éß", "Rohit"]
+    values = ["a", "", "éß", "Tarun"]
     assert column(spark, values, checks.seed) == [int(hashlib.sha256(v.encode()).hexdigest()[:12], 16) for v in values]
     assert column(spark, ["ABC", "abc", "Abc", "12", "A1"], lambda c: checks.match_case(c, F.lit("John Doe"))) == ["JOHN DOE", "john doe", "John Doe", "John Doe", "JOHN DOE"]
 
 
-DOCS = [("a", "Rashi Patil wrote from rashi.patil@gmail.com.\nplease call Rashi Patil on +91 20 4505 3237"), ("b", "RASHI PATIL, and again rashi.patil@gmail.com"), ("c", None), ("d", ""), ("e", "Nothing here\n\nat all")]
+DOCS = [("a", "Nisha Gokal wrote from nisha.gokal@gmail.com.\nplease call Nisha Gokal on +91 44 2831 6074"), ("b", "NISHA GOKAL, and again nisha.gokal@gmail.com"), ("c", None), ("d", ""), ("e", "Nothing here\n\nat all")]
 
 
 def test_worked_example(spark):
     docs = spark.createDataFrame(DOCS, "doc_id string, text string")
     blocks, mapping = redact.redact(docs)
     made = {(r.scope, r.label, r.original): r.replacement for r in mapping.collect()}
-    name, mail = made["a", "PERSON", "Rashi Patil"], made["a", "EMAIL", "rashi.patil@gmail.com"]
-    assert mail == ".".join(name.lower().split()) + "@example.com" and made["b", "EMAIL", "rashi.patil@gmail.com"] == mail
-    assert made["b", "PERSON", "RASHI PATIL"] == name.upper()
+    name, mail = made["a", "PERSON", "Nisha Gokal"], made["a", "EMAIL", "nisha.gokal@gmail.com"]
+    assert mail == ".".join(name.lower().split()) + "@example.com" and made["b", "EMAIL", "nisha.gokal@gmail.com"] == mail
+    assert made["b", "PERSON", "NISHA GOKAL"] == name.upper()
     out = {r.scope: r for r in redact.joined_up(blocks).collect()}
     assert out["a"].redacted_text.startswith(f"{name} wrote from {mail}.\nplease call {name} on +91") and out["a"].n_replacements == 4
-    assert "Rashi" not in out["a"].redacted_text and out["e"].redacted_text == "Nothing here\n\nat all" and "c" not in out
+    assert "Nisha" not in out["a"].redacted_text and out["e"].redacted_text == "Nothing here\n\nat all" and out["c"].redacted_text is None
     again = {r.scope: r.redacted_text for r in redact.joined_up(redact.redact(docs.repartition(7))[0]).collect()}
     assert again == {k: r.redacted_text for k, r in out.items()}
 
 
 def test_numbers_and_markers(spark):
-    docs = spark.createDataFrame([("a", "b@x.co a@x.co\nb@x.co +91 20 4505 3237")], "doc_id string, text string")
+    docs = spark.createDataFrame([("a", "b@x.co a@x.co\nb@x.co +91 44 2831 6074")], "doc_id string, text string")
     for name, want in (("numbered", "[EMAIL_1] [EMAIL_2]\n[EMAIL_1] [PHONE_1]"), ("placeholder", "[EMAIL] [EMAIL]\n[EMAIL] [PHONE]")):
         blocks, _ = redact.redact(docs, name, entities=False)
         assert redact.joined_up(blocks).first().redacted_text == want
@@ -192,4 +192,26 @@ def test_statistics(spark):
     mapping = redact.mapping_of(done, "placeholder")
     assert redact.searched(mapping, "EMAIL", "GMAIL").count() == 2 and redact.searched(mapping, "PHONE").count() == 0
     kept = redact.passed_through(redact.blocks_of(docs))
-    assert {r.scope: r.redacted_text for r in redact.joined_up(kept).collect()} == {k: t for k, t in DOCS if t is not None}
+    assert {r.scope: r.redacted_text for r in redact.joined_up(kept).collect()} == dict(DOCS)
+
+
+def test_documents_that_share_an_id_stay_apart(spark):
+    """Repeated and null ids, equal texts and null texts: a row each, with its own offsets."""
+    rows = [(1, "xx the first line\nmail a@b.co here"), (1, "another document c@d.co."), (1, "another document c@d.co."), (None, "no id e@f.co"), (None, None), (2, None), (2, ""), (3, "x\ny g@h.co")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    want = sorted(((i, None if t is None else re.sub(r"\w+@\w+\.co", "[EMAIL]", t), (t or "").count("@")) for i, t in rows), key=str)
+    for passes in (1, 2):
+        blocks, mapping = redact.redact(docs, "placeholder", passes=passes, only=["email"], entities=passes == 2)
+        assert sorted(map(tuple, redact.joined_up(blocks).collect()), key=str) == want
+        assert {(r.scope, r.original) for r in mapping.collect()} == {(1, "a@b.co"), (1, "c@d.co"), (None, "e@f.co"), (3, "g@h.co")}
+    done = redact.with_placeholders(redact.detected(redact.blocks_of(docs, by_line=False), ["email"]))
+    assert sorted(map(tuple, redact.joined_up(done).collect()), key=str) == want
+
+
+def test_many_matches_in_one_text(spark):
+    """Finding, settling and writing grow with the matches, not with their square."""
+    text = " ".join(f"u{n}@x.co" for n in range(100_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    done = redact.with_placeholders(redact.detected(redact.blocks_of(docs), ["email"]))
+    row = redact.joined_up(done).first()
+    assert row.n_replacements == 100_000 and row.redacted_text == " ".join(["[EMAIL]"] * 100_000)

@@ -22,22 +22,22 @@ def found(spark, texts, only=None, recognizers_=None):
 
 CASES = {
     "phone": [
-        ("Call + 91 20 45053237 now", ["+ 91 20 45053237"]),
-        ("+91 22 4009 4400 and +91-20-26234000", ["+91 22 4009 4400", "+91-20-26234000"]),
-        ("+ 91 (20) 6729 5100; 022-68052182.", ["+ 91 (20) 6729 5100", "022-68052182"]),
-        ("₹ 5,405.02 million, U28129PN1979PLC141032, page 120, 12,345,678 shares, 2023-24", []),
+        ("Call + 91 44 28316074 now", ["+ 91 44 28316074"]),
+        ("+91 80 3174 2265 and +91-40-23918847", ["+91 80 3174 2265", "+91-40-23918847"]),
+        ("+ 91 (33) 7046 1928; 044-71936620.", ["+ 91 (33) 7046 1928", "044-71936620"]),
+        ("₹ 2,718.31 million, L70214KA1986PLC203957, page 63, 12,345,678 shares, 2023-24", []),
     ],
-    "ssn": [("SSN 123-45-6789 or 123 45 6789", ["123-45-6789", "123 45 6789"]), ("000-12-3456 666-12-3456 900-12-3456 123-00-4567 123-45-0000 123-45 6789 123-456-789 x123-45-6789", [])],
+    "ssn": [("SSN 219-36-8047 or 219 36 8047", ["219-36-8047", "219 36 8047"]), ("000-12-3456 666-12-3456 900-12-3456 219-00-4567 219-36-0000 219-36 8047 219-368-047 x219-36-8047", [])],
     "credit_card": [
         ("pay 4111 1111 1111 1111, 4111111111111111 or 4111-1111-1111-1111.", ["4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111"]),
-        ("4111 1111 1111 1112; 4111 1111-1111 1111; +4111111111111111; 4532 0151 1283 0366 12", []),
+        ("4111 1111 1111 1112; 4111 1111-1111 1111; +4111111111111111; 4000 1234 5678 9017 12", []),
     ],
     "ip": [("host 192.168.0.1 and 10.0.0.255.", ["192.168.0.1", "10.0.0.255"]), ("256.1.1.1 1.2.3.4.5 01.2.3.4 1.2.3", [])],
     "dob": [
-        ("Date of Birth: 14/08/1985; DOB - 1.2.90; born on 3rd March 1970; birth date: March 3, 1970", ["14/08/1985", "1.2.90", "3rd March 1970", "March 3, 1970"]),
-        ("Agreement dated 14/08/2000 and the year ended March 31, 2023", []),
-        ("stubborn 14/08/2000 xdob 14/08/2000 " + "y" * 47 + "xdob 1/1/2000", ["14/08/2000"]),
-        ("Date of Birth: 14/08/1985 and agreement of 15/09/1999", ["14/08/1985"]),
+        ("Date of Birth: 23/11/1964; DOB - 1.2.90; born on 3rd March 1970; birth date: March 3, 1970", ["23/11/1964", "1.2.90", "3rd March 1970", "March 3, 1970"]),
+        ("Agreement dated 07/05/1998 and the year ended March 31, 2023", []),
+        ("stubborn 07/05/1998 xdob 07/05/1998 " + "y" * 47 + "xdob 1/1/2000", ["07/05/1998"]),
+        ("Date of Birth: 23/11/1964 and agreement of 15/09/1999", ["23/11/1964"]),
     ],
     "email": [("Mail a.b@x.co.in, not @ or a@b.", ["a.b@x.co.in"])],
     "city": [("From PUNE to Navi Mumbai via Mumbai.", ["PUNE", "Navi Mumbai", "Mumbai"]), ("Punekar, Suparna", [])],
@@ -73,7 +73,7 @@ PLAIN = {
 
 def test_random_texts_match_the_shapes(spark):
     rng = random.Random(11)
-    parts = list("0123456789" * 3 + "+-(). /@aé😀٣_") + ["123-45-6789", "+91 20 ", "1.2.3.4", "a@b.co", "www.", "https://x", "4111111111111111", " 022-"]
+    parts = list("0123456789" * 3 + "+-(). /@aé😀٣_") + ["219-36-8047", "+91 20 ", "1.2.3.4", "a@b.co", "www.", "https://x", "4111111111111111", " 022-"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 40))) for _ in range(1_500)]
     rows = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
     for name, shape in PLAIN.items():
@@ -83,7 +83,7 @@ def test_random_texts_match_the_shapes(spark):
 
 
 def test_all_kinds_in_one_line(spark):
-    text = "SSN 123-45-6789, card 4111 1111 1111 1111, IP 10.1.2.3, DOB: 01/02/1980, a@b.com, +91 20 4505 3237, www.x.com, Pune 411 001 Road, Acme Works Limited"
+    text = "SSN 219-36-8047, card 4111 1111 1111 1111, IP 10.1.2.3, DOB: 01/02/1980, a@b.com, +91 44 2831 6074, www.x.com, Pune 411 001 Road, Acme Works Limited"
     (got,) = found(spark, [text])
     assert {k for _, k in got} == {"SSN", "CREDIT_CARD", "IP_ADDRESS", "DATE_OF_BIRTH", "EMAIL", "PHONE", "URL", "LOCATION", "ORGANIZATION"}
 
