@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.functions.arrays import cut, let, matches, running, spliced, stretches
+from maskwright.functions.arrays import cut, let, matches, overlapping, running, spliced, stretches
 from maskwright.llm.common import salted_join, shared_checkpoint, unused
 
 #: The kinds of the fixed shapes, and the one whose seeds the text names.
@@ -288,16 +288,5 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
 
 def merged(by_start: Column) -> Column:
     """Disjoint spans from spans by start: each run of overlapping ones is one, of the first one's kind."""
-
-    def joined(xs: Column) -> Column:
-        before = running(F.transform(xs, lambda s: s["end"]), F.lit(0), lambda x, y: F.greatest(x, y))
-        return let(before, lambda ends: of_heads(xs, ends))
-
-    def of_heads(xs: Column, ends: Column) -> Column:
-        heads = F.array_compact(F.transform(xs, lambda s, i: F.when(s["start"] >= F.get(ends, i), i)))
-        # The furthest end before the next head is that of this run, as no earlier run reaches beyond its own head.
-        last = F.greatest(F.get(ends, F.size(xs) - 1), F.element_at(xs, -1)["end"])
-        until = lambda h: F.concat(F.transform(F.slice(h, 2, F.greatest(F.size(h) - 1, F.lit(0))), lambda i: F.get(ends, i)), F.array(last))
-        return let(heads, lambda h: F.zip_with(h, until(h), lambda i, e: F.struct(F.get(xs, i)["start"].alias("start"), e.alias("end"), F.get(xs, i)["kind"].alias("kind"))))
-
-    return let(by_start, lambda xs: F.when(F.size(xs) > 0, joined(xs)).otherwise(F.slice(xs, 1, 0)))
+    none = F.expr("cast(array() as array<struct<start: int, end: int, kind: int>>)")
+    return F.transform(overlapping(by_start, none), lambda run: F.struct(run[0]["start"].alias("start"), F.array_max(F.transform(run, lambda s: s["end"])).alias("end"), run[0]["kind"].alias("kind")))
