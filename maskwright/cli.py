@@ -23,10 +23,10 @@ def listed(text: str | None) -> list[str]:
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="maskwright", description=__doc__)
     p.add_argument("source", help="a .docx file, a folder of them, or a Parquet table with doc_id and text")
-    p.add_argument("-o", "--output", help="folder for the results; by default <source>.redacted")
+    p.add_argument("-o", "--output", help="folder for the results, by default <source>.redacted; a name that ends in .docx, if the source is one such file, is written as that file")
     p.add_argument("-t", "--transform", choices=["redact", "passthrough"], default="redact")
     p.add_argument("-p", "--policy", choices=sorted(POLICIES), default="fake")
-    p.add_argument("--mapping", help="folder for the mapping, which undoes the redaction")
+    p.add_argument("--mapping", help="folder for the mapping, which undoes the redaction, as JSON lines; a name that ends in .json is written as one array")
     p.add_argument("--only", help="comma-separated recognizers")
     p.add_argument("--exclude", help="comma-separated recognizers to leave out")
     p.add_argument("--no-headers", action="store_true", help="leave headers and footers alone")
@@ -46,6 +46,9 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     except KeyError as e:
         print(e.args[0], file=sys.stderr)
         return 1
+    if (a.output or "").endswith(".docx") and not a.source.endswith(".docx"):
+        print("one .docx can only be written from one .docx", file=sys.stderr)
+        return 1
     word = not a.source.rstrip("/").endswith(".parquet")
     files = docx.load(spark, a.source) if word else None
     blocks = docx.blocks(files, not a.no_headers) if word else plans.blocks_of(spark.read.parquet(a.source))
@@ -59,12 +62,24 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
             print(f"  {row.label}: {row.n}")
         if a.mapping:
             rows = annotations.mapping_json(mapping) if mapping is not None else spark.createDataFrame([], "value string")
-            rows.write.mode("overwrite").text(a.mapping)
+            if a.mapping.endswith(".json"):
+                with open(a.mapping, "w", encoding="utf-8") as f:  # one array, a partition of it in memory at a time
+                    f.write("[")
+                    for k, row in enumerate(rows.toLocalIterator()):
+                        f.write((",\n" if k else "") + row.value)
+                    f.write("]\n")
+            else:
+                rows.write.mode("overwrite").text(a.mapping)
         if not a.dry_run:
             out = a.output or f"{a.source.rstrip('/')}.redacted"
             if word:
                 changed = done.withColumn("new_runs", spans.splice_runs(F.col("runs"), F.col("landed")))
-                docx.save(files, changed).write.mode("overwrite").parquet(out)
+                saved = docx.save(files, changed)
+                if out.endswith(".docx"):
+                    with open(out, "wb") as f:
+                        f.write(bytes(saved.first().content))  # the one file that was read
+                else:
+                    saved.write.mode("overwrite").parquet(out)
             else:
                 plans.joined_up(done).write.mode("overwrite").parquet(out)
     finally:

@@ -112,12 +112,16 @@ def _spliced(xml: bytes, edits: dict[int, list[str]]) -> bytes:
     """A part with the runs of its n-th paragraphs holding other texts.
 
     The elements are followed by name; a run counts where the reader takes it:
-    directly in a paragraph, or in a hyperlink that is.
+    directly in a paragraph, or in a hyperlink that is. Runs inside a run (a
+    text box) have edits of their own, so the new texts lie on a stack. An edit
+    that finds no text element to land in is an error, not a silent leak.
     """
     named = re.search(rb'xmlns:?([\w.-]*)="http://schemas.openxmlformats.org/wordprocessingml/2006/main"', xml)
     w = named[1] + b":" if named and named[1] else b""
     texts = {w + n for n in (b"t", b"tab", b"ptab", b"br", b"cr", b"noBreakHyphen")}
-    out, at, seen, path, count, new = [], 0, -1, [], [], None
+    out, at, seen, path, count = [], 0, -1, [], []
+    news: list[tuple[int, int, str] | None] = []  # of each open run the text that it still takes, or null
+    missing = {(p, k) for p, runs in edits.items() for k, run in enumerate(runs) if run}
     for m in re.finditer(rb"<(/?)([A-Za-z_][\w.:-]*)([^>]*?)(/?)>|<!--.*?-->", xml, re.DOTALL):
         name = m[2]
         if name is None or m.start() < at:
@@ -127,25 +131,34 @@ def _spliced(xml: bytes, edits: dict[int, list[str]]) -> bytes:
                 path.pop()
                 if name == w + b"p":
                     count.pop()
-            new = None if name == w + b"r" else new
+                if name == w + b"r":
+                    news.pop()
             continue
         if name == w + b"p":
             seen += 1
             if not m[4]:
                 count.append([seen, 0])
         direct = path and (path[-1] == w + b"p" or path[-1] == w + b"hyperlink" and path[-2:-1] == [w + b"p"])
-        if name == w + b"r" and direct and count:
-            paragraph, k = count[-1]
-            new = edits[paragraph][k] if paragraph in edits and not m[4] else None
-            count[-1][1] += 1
-        elif name in texts and new is not None and path[-1:] == [w + b"r"] and not re.search(rb'type="(?:page|column)"', m[3]):
+        if name == w + b"r":
+            new = None
+            if direct and count:
+                paragraph, k = count[-1]
+                new = (paragraph, k, edits[paragraph][k]) if paragraph in edits else None
+                count[-1][1] += 1
+            if not m[4]:
+                news.append(new)
+        elif name in texts and news and news[-1] is not None and path[-1:] == [w + b"r"] and not re.search(rb'type="(?:page|column)"', m[3]):
             # The first text element of the run takes the new text, the others go.
             end = m.end() if m[4] else xml.index(b"</" + name + b">", m.end()) + len(name) + 3
+            paragraph, k, new = news[-1]
             out += [xml[at : m.start()], b"<" + w + b't xml:space="preserve">' + escape(new).encode() + b"</" + w + b"t>" if new else b""]
-            at, new = end, ""
+            missing.discard((paragraph, k))
+            at, news[-1] = end, (paragraph, k, "")
             continue
         if not m[4]:
             path.append(name)
+    if missing:
+        raise ValueError(f"{len(missing)} edited runs have no text element")
     return b"".join([*out, xml[at:]])
 
 

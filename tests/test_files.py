@@ -71,6 +71,32 @@ def test_blocks_of_word_files(spark, folder):
     assert docx.blocks(docx.load(spark, str(folder)), headers=False).filter("location like 'section%'").count() == 0
 
 
+BOX = "<w:pict><w:txbxContent><w:p><w:r><w:t>in the box k@l.co</w:t></w:r></w:p></w:txbxContent></w:pict>"
+
+
+def test_runs_with_a_text_box(spark):
+    """A run inside a run does not end the edit of the outer one, wherever the box stands."""
+    body = f'<w:p><w:r>{BOX}<w:t>mail a@b.co, </w:t></w:r><w:r><w:t>and c@</w:t></w:r><w:r><w:t>d.co</w:t>{BOX}<w:t> end e@f.co</w:t></w:r></w:p>'
+    files = spark.createDataFrame([("x", bytearray(package(body)))], "doc_id string, content binary")
+    done = redact.with_placeholders(redact.detected(docx.blocks(files), ["email"])).withColumn("new_runs", spans.splice_runs(F.col("runs"), F.col("landed")))
+    saved = docx.save(files, done)
+    assert [r.text for r in docx.blocks(saved).collect()] == ["mail [EMAIL], and [EMAIL] end [EMAIL]"]
+    xml = zipfile.ZipFile(io.BytesIO(saved.first().content)).read("word/document.xml").decode()
+    assert xml.count("in the box k@l.co") == 2 and not re.search("a@b|c@|d\\.co|e@f", xml)
+    ElementTree.fromstring(xml)
+    with pytest.raises(ValueError):
+        docx.written(package("<w:p><w:r><w:pict/></w:r></w:p>"), {docx.BODY: {0: ["lost"]}})
+
+
+def test_one_word_file_out(spark, folder, tmp_path, capsys):
+    out, mapping = tmp_path / "clean.docx", tmp_path / "mapping.json"
+    assert cli.main([str(folder / "one.docx"), "-o", str(out), "-p", "placeholder", "--mapping", str(mapping)], spark) == 0
+    assert "a.b@" not in zipfile.ZipFile(out).read("word/document.xml").decode()
+    rows = json.loads(mapping.read_text())
+    assert {r["original"] for r in rows} >= {"a.b@x.co", "e@f.co"}
+    assert cli.main([str(folder), "-o", str(out)], spark) == 1
+
+
 def test_round_trip(spark, folder):
     files = docx.load(spark, str(folder))
     found = redact.with_placeholders(redact.detected(docx.blocks(files)))
