@@ -5,9 +5,9 @@ import pytest
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 from maskwright.llm import ordinal, pii, toxicity  # noqa: E402
+from tests.llm.test_jaccard import plain_kept  # noqa: E402
 from tests.llm.test_packing import plain_pieces  # noqa: E402
 from tests.llm.test_pii import plain as plain_spans  # noqa: E402
-from tests.llm.test_simhash import plain_components  # noqa: E402
 
 
 def hidden(text):
@@ -37,8 +37,7 @@ def test_each_stage_on_what_the_one_before_kept(spark, sf, tmp_path):
             model = ordinal.fit(before, ordinal.ratings(labels))
             assert {r.doc_id for r in docs.collect()} == {r.doc_id for r in ordinal.graded(before, model).collect() if r.kept}
         elif name == "near_duplicates":
-            rows = plain_components([(i, r.text) for i, r in was.items()])
-            assert sorted(r.doc_id for r in docs.collect()) == sorted({c for _, _, c in rows})
+            assert sorted(r.doc_id for r in docs.collect()) == plain_kept([(i, r.text) for i, r in was.items()])
         elif name == "personal_data":
             now = {r.doc_id: r for r in docs.collect()}
             assert now.keys() == was.keys() and all(r.n_chars == len(r.text) for i, r in now.items() if r.text != was[i].text)
