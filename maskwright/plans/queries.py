@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.functions import checks, words
-from maskwright.functions.surrogates import substitutes
-from maskwright.operators import gazetteer, identity, policies, recognizers, scoring, spans
+from maskwright.functions.surrogates import CITIES, COMPANY_ENDS, COMPANY_NAMES, DOMAIN_ENDS, substitutes
+from maskwright.operators import entities, gazetteer, identity, policies, recognizers, scoring, spans
 from maskwright.plans import derived, redact
 from maskwright.plans.derived import dealt, read
 from maskwright.sources import docx
@@ -261,15 +261,16 @@ def email_follows_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT DISTINCT mail, true AS one_root FROM {derived.PEOPLE} p
-    WHERE EXISTS (SELECT 1 FROM {derived.PEOPLE} q WHERE q.scope = p.scope AND lower(q.name) = replace(split_part(p.mail, '@', 1), '.', ' '))"""
+    f"""SELECT DISTINCT p.scope AS scope, p.mail AS mail, array_to_string(r.root, ' ') AS root, array_to_string(r.root, ' ') AS name_root
+    FROM {derived.PEOPLE} p JOIN {derived.PEOPLE} q ON q.scope = p.scope AND lower(q.name) = replace(split_part(p.mail, '@', 1), '.', ' ')
+    JOIN {ROOTS} r ON r.scope = q.scope AND r.g = list_sort(string_split(lower(q.name), ' '))"""
 )
 def mailbox_of_a_full_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An address that spells a known name has the root of that name, in every scope that has both."""
     roots = email_follows_name(spark, sf_dir)
     names = roots.filter("label = 'PERSON'").select("scope", F.lower("text").alias("spelled"), F.col("root").alias("name_root"))
     mails = roots.filter("label = 'EMAIL'").select("scope", F.col("text").alias("mail"), F.replace(F.substring_index("text", "@", 1), F.lit("."), F.lit(" ")).alias("spelled"), "root")
-    return mails.join(names, ["scope", "spelled"]).groupBy("mail").agg(F.every(F.col("root") == F.col("name_root")).alias("one_root"))
+    return mails.join(names, ["scope", "spelled"]).select("scope", "mail", "root", "name_root")
 
 
 WORDS = "list_filter(string_split(lower(text), ' '), lambda w: w <> '')"
@@ -284,12 +285,24 @@ def word_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived.companies(spark, sf_dir).select("id", words.has_place_word(t).alias("place"), words.has_company_suffix(t).alias("suffix"), F.size(words.words_of(t)).cast("bigint").alias("n"))
 
 
-def _scores(typed: bool) -> str:
+def _sql_pairs(a: str, b: str) -> str:
+    """Greedy one-to-one pairs of overlapping spans with one label, by block."""
+    return f"""(SELECT grp, block_idx, unnest(list_reduce(l, lambda kept, x: CASE WHEN len(list_filter(kept, lambda y: y.e = x[1].e OR y.p = x[1].p)) > 0 THEN kept ELSE list_concat(kept, x) END)) AS k
+    FROM (SELECT a.grp AS grp, a.block_idx AS block_idx, list(list_value({{'e': a.ord, 'p': b.ord, 'label': a.label}}) ORDER BY a.ord, b.ord, a.label) AS l
+      FROM {a} a JOIN {b} b ON a.grp = b.grp AND a.block_idx = b.block_idx AND a.s < b.e AND b.s < a.e AND a.label = b.label GROUP BY a.grp, a.block_idx))"""
+
+
+def _scores(typed: bool, strict: bool = False) -> str:
     same = "AND a.label = b.label" if typed else ""
     a, b = derived.sql_labelled(0), derived.sql_labelled(1)
     touch = lambda x, y: f"SELECT * FROM {x} a WHERE EXISTS (SELECT 1 FROM {y} b WHERE a.grp = b.grp AND a.block_idx = b.block_idx AND a.s < b.e AND b.s < a.e {same})"
+    covered, matched = f"SELECT label, count(*) AS n FROM ({touch(a, b)}) GROUP BY label", f"SELECT label, count(*) AS n FROM ({touch(b, a)}) GROUP BY label"
+    if strict:
+        pairs = _sql_pairs(a, b)
+        covered = f"SELECT k.label AS label, count(*) AS n FROM {pairs} GROUP BY k.label"
+        matched = f"SELECT label, count(*) AS n FROM {b} b WHERE EXISTS (SELECT 1 FROM {pairs} h WHERE h.grp = b.grp AND h.block_idx = b.block_idx AND h.k.p = b.ord) GROUP BY label"
     return f"""WITH e AS (SELECT label, count(*) AS n FROM {a} GROUP BY label), p AS (SELECT label, count(*) AS n FROM {b} GROUP BY label),
-    c AS (SELECT label, count(*) AS n FROM ({touch(a, b)}) GROUP BY label), m AS (SELECT label, count(*) AS n FROM ({touch(b, a)}) GROUP BY label),
+    c AS ({covered}), m AS ({matched}),
     r AS (SELECT e.label AS label, coalesce(c.n, 0) AS covered, coalesce(m.n, 0) AS matched, p.n - coalesce(m.n, 0) AS fp, e.n - coalesce(c.n, 0) AS fn FROM e JOIN p USING (label) LEFT JOIN c USING (label) LEFT JOIN m USING (label)),
     t AS (SELECT * FROM r UNION ALL SELECT 'ALL', sum(covered), sum(matched), sum(fp), sum(fn) FROM r)
     SELECT label, CAST(covered AS BIGINT) AS covered, CAST(matched AS BIGINT) AS matched, CAST(fp AS BIGINT) AS false_positives, CAST(fn AS BIGINT) AS false_negatives,
@@ -312,9 +325,9 @@ def coverage_untyped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir, False)
 
 
-@query()
+@query(_scores(True, strict=True))
 def coverage_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One-to-one pairs; the tests compare them with a plain loop."""
+    """One-to-one pairs."""
     return _scored(spark, sf_dir, True, strict=True)
 
 
@@ -360,48 +373,98 @@ def annotation_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.invalid(*_noted(spark, sf_dir)).select("block_idx", "text", "annotated", "present")
 
 
-def _shaped(rows: DataFrame, label: str, shape: str, extra: F.Column | None = None) -> DataFrame:
-    made = rows.select("id", "text").withColumn("made", substitutes(F.lit(label), F.col("text")))
-    return made.select("id", (F.col("made").rlike(f"^(?:{shape})$") & (extra if extra is not None else F.lit(True))).alias("same_shape"))
+def _shape(value: F.Column) -> F.Column:
+    return F.regexp_replace(value, "[0-9]", "0")
+
 
+def _made(rows: DataFrame, label: str) -> DataFrame:
+    return rows.select("id", "text").withColumn("made", substitutes(F.lit(label), F.col("text")))
 
-@query("SELECT c_custkey AS id, true AS same_shape FROM customer")
+
+@query(
+    """SELECT c_custkey AS id, '+00 00 00000000' AS shape_a, '+00-00-0000 0000' AS shape_b, '91' AS country, true AS alike FROM customer"""
+)
 def fake_phone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two spellings of a number get the same digits, each in its own punctuation."""
+    """Two spellings of a number get the same digits, each in its own punctuation, after the same country code."""
     k = F.lpad((F.col("c_custkey") % 10_000_000).cast("string"), 8, "0")
     rows = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("+91 20 "), k).alias("a"), F.concat(F.lit("+91-20-"), F.substring(k, 1, 4), F.lit(" "), F.substring(k, 5, 4)).alias("b"))
     made = rows.select("id", substitutes(F.lit("PHONE"), F.col("a")).alias("x"), substitutes(F.lit("PHONE"), F.col("b")).alias("y"))
-    return made.select("id", (F.col("x").rlike(r"^\+91 \d\d \d{8}$") & F.col("y").rlike(r"^\+91-\d\d-\d{4} \d{4}$") & (checks.digits(F.col("x")) == checks.digits(F.col("y")))).alias("same_shape"))
+    return made.select("id", _shape(F.col("x")).alias("shape_a"), _shape(F.col("y")).alias("shape_b"), F.substring("x", 2, 2).alias("country"), (checks.digits(F.col("x")) == checks.digits(F.col("y"))).alias("alike"))
 
 
-@query("SELECT c_custkey AS id, true AS same_shape FROM customer")
+@query("SELECT c_custkey AS id, '0000-0000-0000-0000' AS shape, '4' AS first_digit, true AS passes FROM customer")
 def fake_card(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen digits from 4 on in the original's punctuation, with a right check digit."""
     rows = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("4111-1111-"), F.col("c_custkey").cast("string")).alias("text"))
-    return _shaped(rows, "CREDIT_CARD", r"4\d{3}-\d{4}-\d{4}-\d{4}", checks.luhn(checks.digits(F.col("made"))))
+    return _made(rows, "CREDIT_CARD").select("id", _shape(F.col("made")).alias("shape"), F.substring("made", 1, 1).alias("first_digit"), checks.luhn(checks.digits(F.col("made"))).alias("passes"))
 
 
-@query(f"SELECT id, true AS same_shape FROM {derived.SSN}")
+@query(f"SELECT id, regexp_replace(text[6:16], '[0-9]', '0', 'g') AS shape, true AS issued FROM {derived.SSN}")
 def fake_ssn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = derived.ssn(spark, sf_dir).withColumn("text", F.substring("text", 6, 11))
-    return _shaped(rows, "SSN", r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}")
+    """The original's shape, and never a number of the ranges that are not issued."""
+    made = _made(derived.ssn(spark, sf_dir).withColumn("text", F.substring("text", 6, 11)), "SSN")
+    return made.select("id", _shape(F.col("made")).alias("shape"), F.col("made").rlike(r"^(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}$").alias("issued"))
 
 
-@query("SELECT o_orderkey AS id, true AS same_shape FROM orders")
+@query(f"SELECT id, regexp_replace(right(text, 10), '[0-9]', '0', 'g') AS shape, true AS in_range, CAST(1 AS BIGINT) AS substitutes FROM {derived.DATES}")
 def fake_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = derived.dates(spark, sf_dir).withColumn("text", F.substring("text", -10, 10))
-    return _shaped(rows, "DATE_OF_BIRTH", r"\d\d/\d\d/\d{4}", F.year(F.to_date("made", "dd/MM/yyyy")).between(1950, 2000))
+    """The original's shape, a date of the years 1950 to 2000, one for each original."""
+    made = _made(derived.dates(spark, sf_dir).withColumn("text", F.substring("text", -10, 10)), "DATE_OF_BIRTH")
+    each = made.groupBy("text").agg(F.count_distinct("made").alias("substitutes"))
+    rows = made.join(each, "text")
+    return rows.select("id", _shape(F.col("made")).alias("shape"), F.coalesce(F.year(F.try_to_timestamp("made", F.lit("dd/MM/yyyy"))).between(1950, 2000), F.lit(False)).alias("in_range"), "substitutes")
 
 
-@query("SELECT c_custkey AS id, true AS same_shape FROM customer")
+@query("SELECT c_custkey AS id, CAST(4 AS INT) AS parts, true AS octets FROM customer")
 def fake_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("10.0."), (F.col("c_custkey") % 256).cast("string"), F.lit(".1")).alias("text"))
-    return _shaped(rows, "IP_ADDRESS", r"\d{1,3}(?:\.\d{1,3}){3}", checks.octets(F.col("made")))
+    return _made(rows, "IP_ADDRESS").select("id", F.size(F.split("made", r"\.")).alias("parts"), checks.octets(F.col("made")).alias("octets"))
 
 
-@query("SELECT s_suppkey AS id, true AS same_shape FROM supplier")
+@query("SELECT s_suppkey AS id, '000 000' AS shape, true AS leads FROM supplier")
 def fake_postal_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The original's shape, without a leading zero."""
     rows = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.format_string("41%d %03d", F.col("s_suppkey") % 10, F.col("s_suppkey") % 1000).alias("text"))
-    return _shaped(rows, "LOCATION", r"[1-9]\d\d \d{3}")
+    return _made(rows, "LOCATION").select("id", _shape(F.col("made")).alias("shape"), (~F.startswith("made", F.lit("0"))).alias("leads"))
+
+
+def _sql_pick(value: str, slot: str, names) -> str:
+    """The name of a list that the hash of a value and a slot chooses."""
+    return f"([{', '.join(f"'{n}'" for n in names)}])[CAST(('0x' || sha256({value} || '#{slot}')[1:12])::BIGINT % {len(names)} AS INT) + 1]"
+
+
+def _sql_cased(original: str, made: str) -> str:
+    return f"CASE WHEN {original} = upper({original}) THEN upper({made}) WHEN {original} = lower({original}) THEN lower({made}) ELSE {made} END"
+
+
+@query(
+    f"""SELECT page_id AS id, CASE WHEN contains(url, '//') THEN url[1:instr(url, '//') + 1] ELSE '' END || CASE WHEN regexp_matches(lower(url), '^(?:.*?//)?www\\.') THEN 'www.' ELSE '' END
+      || lower({_sql_pick('url', 'domain', COMPANY_NAMES)}) || '.' || {_sql_pick('url', 'end', DOMAIN_ENDS)} AS made FROM pages WHERE url IS NOT NULL"""
+)
+def fake_website(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scheme and www. of a page's address with another domain, without its path."""
+    rows = read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("text")).filter(F.col("text").isNotNull())
+    return _made(rows, "URL").select("id", "made")
+
+
+FIRMS = "(SELECT id, CASE WHEN id % 3 = 0 THEN upper(f) WHEN id % 3 = 1 THEN lower(f) ELSE f END AS text FROM (SELECT id, split_part(name, ' ', 1) || ' Works LLP' AS f FROM " + derived.PEOPLE + "))"
+
+
+def _firms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Companies named after people, in capitals, small letters or both."""
+    firm = F.concat(F.substring_index("name", " ", 1), F.lit(" Works LLP"))
+    return derived.people(spark, sf_dir).select("id", F.when(F.col("id") % 3 == 0, F.upper(firm)).when(F.col("id") % 3 == 1, F.lower(firm)).otherwise(firm).alias("text"))
+
+
+@query(f"SELECT id, {_sql_cased('text', _sql_pick('text', 'company', COMPANY_NAMES) + " || ' ' || " + _sql_pick('text', 'end', COMPANY_ENDS))} AS made FROM {FIRMS}")
+def fake_company(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _made(_firms(spark, sf_dir), "ORGANIZATION").select("id", "made")
+
+
+@query(f"SELECT id, {_sql_cased('text', _sql_pick('text', 'city', CITIES))} AS made FROM (SELECT s_suppkey AS id, {derived.sql_chosen(derived.CITIES, 's_suppkey')} AS text FROM supplier)")
+def fake_city(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), derived.chosen(derived.CITIES, F.col("s_suppkey")).alias("text"))
+    return _made(rows, "LOCATION").select("id", "made")
 
 
 @query(f"SELECT id AS block_idx, scope, CAST(7 AS INT) AS start, upper(name) AS value FROM {derived.PEOPLE}")
@@ -438,3 +501,83 @@ def docx_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = docx.blocks(docx.save(files, changed))
     lines = back.groupBy(F.col("scope").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("block_idx", "text"))).alias("l"), F.count(F.lit(1)).alias("n_blocks"))
     return lines.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("redacted_text"), "n_blocks")
+
+
+@query(f"SELECT id AS block_idx, CAST(8 AS INT) AS start, upper(text) AS value, 'ORGANIZATION' AS label FROM {FIRMS}")
+def gazetteer_organizations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Companies of a scope, found again in capitals."""
+    firms = _firms(spark, sf_dir).withColumn("scope", F.floor(F.col("id") / 40))
+    names = gazetteer.known_names(firms.select("scope", F.lit("ORGANIZATION").alias("label"), F.initcap("text").alias("name")))
+    blocks = firms.select("scope", F.col("id").alias("block_idx"), F.concat(F.lit("paid by "), F.upper("text"), F.lit(".")).alias("text"))
+    return gazetteer.matched(blocks, names).select("block_idx", F.inline("found")).select("block_idx", "start", F.col("text").alias("value"), "label")
+
+
+LAST_NAME = "split_part(name, ' ', -1)"
+
+
+@query(
+    f"""SELECT id, CAST(5 AS INT) AS start, name AS value, 'PERSON' AS label, CAST(0.8 AS DOUBLE) AS score FROM {derived.PEOPLE} WHERE id % 7 = 0
+    UNION ALL SELECT id, CAST(0 AS INT), name || '/' || name, 'PERSON', CAST(0.8 AS DOUBLE) FROM {derived.PEOPLE} WHERE id % 7 = 1
+    UNION ALL SELECT id, CAST(k * (length(name) + 1) AS INT), name, 'PERSON', CAST(0.75 AS DOUBLE) FROM {derived.PEOPLE}, (SELECT unnest([0, 1]) AS k) WHERE id % 7 = 1
+    UNION ALL SELECT id, CAST(0 AS INT), {LAST_NAME} || ' Works LLP', 'ORGANIZATION', CAST(0.7 AS DOUBLE) FROM {derived.PEOPLE} WHERE id % 7 IN (2, 3)
+    UNION ALL SELECT id, CAST(0 AS INT), {LAST_NAME} || ' Chowk', 'LOCATION', CAST(0.6 AS DOUBLE) FROM {derived.PEOPLE} WHERE id % 7 = 4
+    UNION ALL SELECT id, CAST(0 AS INT), {LAST_NAME} || 'pur', 'LOCATION', CAST(0.7 AS DOUBLE) FROM {derived.PEOPLE} WHERE id % 7 = 5"""
+)
+def entity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities of a model, trimmed, split, filed under another label or dropped by the rules of their kind."""
+    people, k, last = derived.people(spark, sf_dir), F.col("id") % 7, F.substring_index("name", " ", -1)
+    text = (
+        F.when(k == 0, F.concat(F.lit('"The '), "name", F.lit('",')))
+        .when(k == 1, F.concat_ws("/", "name", "name"))
+        .when(k.isin(2, 3), F.concat(last, F.lit(" Works LLP")))
+        .when(k == 4, F.concat(last, F.lit(" Chowk")))
+        .when(k == 5, F.concat(last, F.lit("pur")))
+        .otherwise(F.concat(last, F.lit(" Supreme Court")))
+    )
+    label = F.when(k.isin(3, 6), "ORGANIZATION").when(k == 5, "LOCATION").otherwise("PERSON")
+    rows = people.select("id", text.alias("text")).withColumn("given", F.array(F.struct(F.lit(0).alias("start"), F.length("text").alias("end"), label.alias("label"))))
+    rows = rows.select("id", entities.prepared(F.col("text"), F.col("given")).alias("found"))
+    made = rows.select("id", F.inline_outer(entities.candidates(F.col("found")))).filter(F.col("start").isNotNull())
+    return made.select("id", "start", F.col("text").alias("value"), "label", "score")
+
+
+@query(
+    f"""SELECT id, CAST(CASE id % 3 WHEN 0 THEN 10 WHEN 1 THEN 0 ELSE -1 END AS INT) AS start, CAST(CASE id % 3 WHEN 0 THEN 10 + length(name) WHEN 1 THEN length(name) ELSE -1 END AS INT) AS "end",
+      id % 3 = 2 AS jargon, id % 5 < 4 AS generic, id % 2 = 0 AS institution, id % 4 <> 3 AS digit FROM {derived.PEOPLE}"""
+)
+def word_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jargon at the ends (-1 where nothing else is left) and throughout, generic company words, public bodies, digits of any kind."""
+    people, k = derived.people(spark, sf_dir), F.col("id")
+    offer = F.when(k % 3 == 0, F.concat(F.lit("the Offer "), "name", F.lit(" and Shares"))).when(k % 3 == 1, F.col("name")).otherwise(F.lit("Offer Price"))
+    rows = people.select(
+        "id",
+        offer.alias("offer"),
+        derived.chosen(("Holdings Limited", "Private Limited", "Bank", "the Group of Co Ltd", "Alder Limited"), k).alias("firm"),
+        F.when(k % 2 == 0, F.concat(F.lit("the High Court, for "), "name")).otherwise(F.col("name")).alias("body"),
+        F.concat("name", derived.chosen((" 7", " ²", " ٣", " x"), k)).alias("signed"),
+    )
+    edge = words.strip_jargon_edges(F.col("offer"))
+    return rows.select(
+        "id",
+        F.coalesce(edge["start"], F.lit(-1)).alias("start"),
+        F.coalesce(edge["end"], F.lit(-1)).alias("end"),
+        words.all_jargon(F.col("offer")).alias("jargon"),
+        words.all_generic(F.col("firm")).alias("generic"),
+        words.is_institution(F.col("body")).alias("institution"),
+        words.has_digit(F.col("signed")).alias("digit"),
+    )
+
+
+@query(
+    """SELECT id, k.s AS start, k.e AS "end", k.t AS value FROM (
+      SELECT id, unnest(list_reduce(list(list_value({'s': s, 'e': e, 't': t}) ORDER BY s, -e, t), lambda kept, x: CASE WHEN x[1].s >= kept[-1].e THEN list_concat(kept, x) ELSE kept END)) AS k
+      FROM (SELECT l_orderkey AS id, CAST(least(greatest(l_partkey % 20 - 3, 0), 15) AS INT) AS s, CAST(least(greatest(l_partkey % 20 - 3 + l_suppkey % 5, 0), 15) AS INT) AS e, CAST(l_linenumber AS VARCHAR) AS t FROM lineitem)
+      WHERE e > s GROUP BY id)"""
+)
+def replacements_land(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replacements held to a text of 15 characters: clamped, not empty, none reaching into one before it."""
+    start = (F.col("l_partkey") % 20 - 3).cast("int")
+    made = F.struct(start.alias("start"), (start + (F.col("l_suppkey") % 5).cast("int")).alias("end"), F.col("l_linenumber").cast("string").alias("text"), F.lit("L").alias("label"))
+    each = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(made).alias("made"))
+    landed = each.select("id", F.inline_outer(spans.resolve_replacements(F.col("made"), F.lit(15)))).filter(F.col("start").isNotNull())
+    return landed.select("id", "start", "end", F.col("text").alias("value"))
