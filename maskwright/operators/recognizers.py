@@ -13,7 +13,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from maskwright.functions import words
+from maskwright.functions import arrays, words
 from maskwright.functions.checks import digits, luhn, octets
 from maskwright.operators import spans
 
@@ -41,7 +41,9 @@ class Recognizer:
     """``pattern`` finds; ``validate(text, span)`` keeps; ``adjust(text, span)`` may move the ends.
 
     ``context``, if there is one, must match in the ``window`` characters before
-    a match. ``guard`` is a cheap test that any text with a match passes.
+    a match. ``guard`` is a cheap test that any text with a match passes. A
+    span that a validator gets has the last character before it that is no
+    white space in ``before``, if ``looks_back`` asks for it.
     """
 
     name: str
@@ -54,49 +56,38 @@ class Recognizer:
     adjust: Validator | None = None
     context: str | None = None
     window: int = 50
+    looks_back: bool = False
 
     def find(self, text: Column, position: int = 0) -> Column:
         """Array of spans of one recognizer."""
-        found = F.when(text.rlike(self.guard or self.pattern), spans.find(text, self.pattern))
-        order = F.transform(found, lambda s, k: s.withField("n", k))
+        found = F.when(text.rlike(self.guard or self.pattern), arrays.matches(text, self.pattern, before="before" if self.looks_back else None))
+        order = arrays.applied("transform(a.found, (s, k) -> named_struct('start', s.start, 'end', s.end, 'text', s.text, 'n', k%s))" % (", 'before', s.before" if self.looks_back else ""), found=found)
         if self.context:
-            order = F.filter(order, lambda s: self._cued(text, s))
+            unjudged = order
+            order = F.when(F.size(unjudged) > 0, arrays.let(arrays.stretches(text), lambda parts: F.filter(unjudged, lambda s: self._cued(parts, s))))
         if self.validate:
             order = F.filter(order, lambda s: self.validate(text, s))
         if self.adjust:
             order = F.transform(order, lambda s: self.adjust(text, s))
-        made = F.transform(
-            order,
-            lambda s: F.struct(
-                s["start"].alias("start"),
-                s["end"].alias("end"),
-                s["text"].alias("text"),
-                F.lit(self.label).alias("label"),
-                F.lit(self.name).alias("recognizer"),
-                F.lit(float(self.score)).alias("score"),
-                F.lit(self.priority).alias("priority"),
-                (F.lit(position * ORDER_STEP).cast("bigint") + s["n"]).alias("ord"),
-            ),
+        made = arrays.applied(
+            "transform(a.found, s -> named_struct('start', s.start, 'end', s.end, 'text', s.text, 'label', a.label, 'recognizer', a.name, 'score', a.score, 'priority', a.priority, 'ord', a.first + s.n))",
+            found=order, label=F.lit(self.label), name=F.lit(self.name), score=F.lit(float(self.score)), priority=F.lit(self.priority), first=F.lit(position * ORDER_STEP).cast("bigint"),
         )
         return F.coalesce(made, spans.empty())
 
-    def _cued(self, text: Column, s: Column) -> Column:
+    def _cued(self, parts: Column, s: Column) -> Column:
         # One more character on the left lets a word boundary at the window's edge see what stands there.
         low = F.greatest(s["start"] - self.window, F.lit(0))
         seen = F.greatest(low - 1, F.lit(0))
-        before = F.substring(text, seen + 1, s["start"] - seen)
+        before = arrays.cut(parts, seen, s["start"])
         # Two constant patterns, each compiled once.
         return F.when(low > 0, before.rlike(f"^(?s:.)(?s:.*?){self.context}")).otherwise(before.rlike(f"^(?s:.*?){self.context}"))
 
 
-def _before(text: Column, s: Column) -> Column:
-    return F.regexp_replace(F.substring(text, 1, s["start"]), r"(?U)\s+$", "")
-
-
 def _card(text: Column, s: Column) -> Column:
     d = digits(s["text"])
     marks = F.array_distinct(F.filter(F.split(F.regexp_replace(s["text"], r"(?U)\d", ""), ""), lambda m: m != ""))
-    return ~F.endswith(_before(text, s), F.lit("+")) & F.length(d).between(13, 19) & (F.size(marks) <= 1) & luhn(d)
+    return (s["before"] != "+") & F.length(d).between(13, 19) & (F.size(marks) <= 1) & luhn(d)
 
 
 def defaults(v: words.Vocabulary = words.DEFAULT) -> tuple[Recognizer, ...]:
@@ -116,14 +107,14 @@ def defaults(v: words.Vocabulary = words.DEFAULT) -> tuple[Recognizer, ...]:
     return (
         Recognizer("city", "LOCATION", 60, rf"(?i)(?<![A-Za-z])(?:{city})(?![A-Za-z])"),
         Recognizer("company", "ORGANIZATION", 55, COMPANY, guard="(?i)limited|ltd|llp|plc|inc|corporation", validate=company, adjust=without_lead),
-        Recognizer("credit_card", "CREDIT_CARD", 95, CREDIT_CARD, guard=r"(?U)(?:\d[ -]?){12}\d", validate=_card),
+        Recognizer("credit_card", "CREDIT_CARD", 95, CREDIT_CARD, guard=r"(?U)(?:\d[ -]?){12}\d", validate=_card, looks_back=True),
         Recognizer("dob", "DATE_OF_BIRTH", 60, DATE, score=0.9, guard=r"(?i)birth|born|d\.?o\.?b", context=BIRTH),
         Recognizer("email", "EMAIL", 80, EMAIL, guard="@"),
         Recognizer("ip", "IP_ADDRESS", 85, IP, guard=r"(?U)\d\.\d{1,3}\.\d{1,3}\.\d", validate=lambda text, s: octets(s["text"])),
         Recognizer("phone", "PHONE", 70, PHONE, guard=r"(?U)[+0]\s?\d", validate=lambda text, s: F.length(digits(s["text"])).between(9, 15)),
         Recognizer("postal_code", "LOCATION", 65, POSTAL_CODE, guard=r"(?U)[1-9]\d{2}\s?\d{3}", validate=lambda text, s: F.arrays_overlap(words.words_of(text), words.listed(v.postal_cues))),
         Recognizer("ssn", "SSN", 90, SSN, guard=r"(?U)\d{3}[- ]\d{2}[- ]\d{4}"),
-        Recognizer("website", "URL", 75, WEBSITE, guard=r"(?i)https?://|www\.", validate=lambda text, s: ~F.endswith(_before(text, s), F.lit("@"))),
+        Recognizer("website", "URL", 75, WEBSITE, guard=r"(?i)https?://|www\.", validate=lambda text, s: s["before"] != "@", looks_back=True),
     )
 
 

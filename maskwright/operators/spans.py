@@ -28,8 +28,10 @@ def find(text: Column, pattern: str) -> Column:
     return arrays.matches(text, pattern)
 
 
-def overlaps(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+#: In the order in which candidates win: priority, score, length, place, order of finding.
+_RANKED = "array_sort(transform(run, s -> named_struct('k1', -s.priority, 'k2', -s.score, 'k3', s.start - s.end, 'start', s.start, 'k5', s.ord, 'end', s.end, 's', s)))"
+_FREE = "exists(kept, o -> o.start < x.s.end and x.s.start < o.end)"
+_WON = f"if(size(run) = 1, run, aggregate({_RANKED}, slice(run, 1, 0), (kept, x) -> if({_FREE}, kept, concat(kept, array(x.s)))))"
 
 
 def resolve(spans: Column) -> Column:
@@ -37,37 +39,21 @@ def resolve(spans: Column) -> Column:
 
     Greedy and sequential, as a candidate that only a beaten one overlaps
     stays. Spans of different runs of overlapping ones never meet, so the fold
-    is over one run at a time.
+    is over one run at a time: the work grows with the spans, and with the
+    square of the longest run.
     """
-
-    def won(run: Column) -> Column:
-        keyed = F.transform(
-            run,
-            lambda s: F.struct((-s["priority"]).alias("k1"), (-s["score"]).alias("k2"), (s["start"] - s["end"]).alias("k3"), s["start"].alias("start"), s["ord"].alias("k5"), s["end"].alias("end"), s.alias("s")),
-        )
-        fold = F.aggregate(
-            F.transform(F.array_sort(keyed), lambda k: k["s"]),
-            F.slice(run, 1, 0),
-            lambda kept, s: F.when(F.exists(kept, lambda other: overlaps(other, s)), kept).otherwise(F.concat(kept, F.array(s))),
-        )
-        return F.when(F.size(run) == 1, run).otherwise(fold)
-
-    return F.array_sort(F.coalesce(F.flatten(F.transform(arrays.overlapping(F.array_sort(spans), empty()), won)), empty()))
+    won = arrays.applied(f"flatten(transform(a.runs, run -> {_WON}))", runs=arrays.overlapping(F.array_sort(spans)))
+    return F.array_sort(F.coalesce(won, empty()))
 
 
 def resolve_replacements(replacements: Column, length: Column) -> Column:
     """Replacements that land: clamped to the text, not empty, by start then longest first, none reaching into one before."""
-
-    def clamped(r: Column, size: Column) -> Column:
-        bound = lambda x: F.greatest(F.lit(0), F.least(x, size))
-        return F.struct(bound(r["start"]).alias("start"), bound(r["end"]).alias("end"), r["text"].alias("text"), r["label"].alias("label"))
-
-    some = arrays.let(length, lambda size: F.filter(F.transform(replacements, lambda r: clamped(r, size)), lambda r: r["end"] > r["start"]))
-    ordered = F.array_sort(F.transform(some, lambda r: F.struct(r["start"].alias("a"), (-r["end"]).alias("b"), r.alias("r"))))
-    sample = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("text"), F.lit("").alias("label"))
-    lands = lambda at, o: o["r"]["start"] >= at
-    landed = arrays.gathered(ordered, F.lit(0), lambda at, o: F.when(lands(at, o), o["r"]["end"]).otherwise(at), lambda at, o: o["r"], sample, lands)
-    return F.coalesce(landed, empty(REPLACEMENT))
+    bound = lambda x: f"greatest(0, least({x}, a.size))"
+    clamped = f"transform(a.rs, r -> named_struct('start', {bound('r.start')}, 'end', {bound('r.end')}, 'text', r.text, 'label', r.label))"
+    ordered = f"array_sort(transform(filter({clamped}, r -> r.end > r.start), r -> named_struct('a', r.start, 'b', -r.end, 'r', r)))"
+    lands = lambda s, y: f"{y}.a >= {s}"
+    landed = arrays.gathered(ordered, "0", lambda s, y: f"if({lands(s, y)}, {y}.r.end, {s})", lambda s, y: f"{y}.r", f"cast(array() as array<{REPLACEMENT}>)", lands)
+    return F.coalesce(arrays.applied(landed, rs=replacements, size=length), empty(REPLACEMENT))
 
 
 def splice(text: Column, replacements: Column) -> Column:
@@ -75,21 +61,28 @@ def splice(text: Column, replacements: Column) -> Column:
     return arrays.spliced(text, replacements, lambda r: r["text"])
 
 
+def _counts(marks: str, others: str) -> str:
+    """SQL of how many of ``others`` come before each of ``marks``, both arrays of ``(at, kind, i, one)``; marks have ``one = 0`` and their number in ``i``."""
+    before = arrays.gathered(f"array_sort(concat({marks}, {others}))", "0", lambda s, y: f"{s} + {y}.one", lambda s, y: f"named_struct('i', {y}.i, 'n', {s})", "cast(array() as array<struct<i: int, n: int>>)")
+    return f"transform(filter({before}, c -> c.i >= 0), c -> c.n)"
+
+
 def splice_runs(runs: Column, replacements: Column) -> Column:
-    """The same over an array of runs: new text goes to the first run that a replacement touches, later ones keep their tails."""
-    ends = F.aggregate(F.transform(runs, F.length), F.array(F.lit(0)), lambda made, n: F.concat(made, F.array(F.element_at(made, -1) + n)))
-
-    def rewritten(run: Column, k: Column) -> Column:
-        low, high = F.element_at(ends, k + 1), F.element_at(ends, k + 2)
-        mine = F.filter(replacements, lambda r: (r["start"] < high) & (r["end"] > low))
-        return F.aggregate(
-            mine,
-            F.struct(F.lit("").alias("out"), low.alias("at")),
-            lambda acc, r: F.struct(
-                F.concat(acc["out"], F.substring(run, acc["at"] - low + 1, F.greatest(r["start"] - acc["at"], F.lit(0))), F.when(r["start"] >= low, r["text"]).otherwise("")).alias("out"),
-                F.least(r["end"], high).alias("at"),
-            ),
-            lambda acc: F.concat(acc["out"], F.substring(run, acc["at"] - low + 1, F.length(run))),
-        )
-
-    return F.transform(runs, rewritten)
+    """The same over an array of runs: new text goes to the first run that a replacement touches, later ones keep their tails.
+
+    The replacements that touch a run are one slice of them: from the first
+    that ends after the run begins to the last that starts before it ends. Both
+    places are running counts over runs and replacements in one order.
+    """
+    mark = lambda at, kind: f"named_struct('at', {at}, 'kind', {kind}, 'i', i, 'one', 0)"
+    other = lambda at, kind: f"transform(a.rs, r -> named_struct('at', r.{at}, 'kind', {kind}, 'i', -1, 'one', 1))"
+    lows = arrays.applied(arrays.gathered("transform(a.runs, r -> length(r))", "0", lambda s, y: f"{s} + {y}", lambda s, y: s, "cast(array() as array<int>)"), runs=runs)
+    first = _counts(f"transform(a.lows, (l, i) -> {mark('l', 1)})", other("end", 0))
+    last = _counts(f"transform(a.lows, (l, i) -> {mark('l + length(a.runs[i])', 0)})", other("start", 1))
+    placed = arrays.applied(f"named_struct('runs', a.runs, 'rs', a.rs, 'lows', a.lows, 'first', {first}, 'last', {last})", runs=runs, rs=replacements, lows=lows)
+    before, until = "concat(array(x.low), transform(x.mine, r -> least(r.end, x.high)))", "concat(transform(x.mine, r -> greatest(r.start, x.low)), array(x.high))"
+    news = "concat(transform(x.mine, r -> if(r.start >= x.low, r.text, '')), array(''))"
+    kept = f"zip_with({before}, {until}, (f, t) -> {arrays.cut_sql('x.parts', 'f - x.low', 't - x.low')})"
+    mine = "slice(a.p.rs, a.p.first[i] + 1, a.p.last[i] - a.p.first[i])"
+    run = f"named_struct('low', a.p.lows[i], 'high', a.p.lows[i] + length(r), 'parts', regexp_extract_all(r, r'(?s).{{1,{arrays.STRETCH}}}', 0), 'mine', {mine})"
+    return arrays.applied(f"transform(a.p.runs, (r, i) -> transform(array({run}), x -> array_join(zip_with({kept}, {news}, (k, n) -> concat(k, n)), ''))[0])", p=placed)
