@@ -102,9 +102,9 @@ def _free(tokens: Column, base: Column) -> Column:
 
     def kept(every: Column) -> Column:
         base_of = lambda s: s["kind"] < OTHER
-        end = running(F.transform(every, lambda s: F.when(base_of(s), s["end"]).otherwise(0)), F.lit(0), lambda a, b: F.greatest(a, b))
-        far = F.lit(2**31 - 1)
-        start = F.reverse(running(F.reverse(F.transform(every, lambda s: F.when(base_of(s), s["start"]).otherwise(far))), far, lambda a, b: F.least(a, b)))
+        end = running(F.transform(every, lambda s: F.when(base_of(s), s["end"]).otherwise(0)), 0, "greatest")
+        far = 2**31 - 1
+        start = F.reverse(running(F.reverse(F.transform(every, lambda s: F.when(base_of(s), s["start"]).otherwise(far))), far, "least"))
         both = F.zip_with(F.zip_with(every, end, lambda s, e: F.struct(s.alias("s"), e.alias("e"))), start, lambda x, n: F.struct(x["s"].alias("s"), x["e"].alias("e"), n.alias("n")))
         free = F.filter(both, lambda x: ~base_of(x["s"]) & (x["s"]["start"] >= x["e"]) & (x["s"]["end"] <= x["n"]))
         return F.transform(free, lambda x: _spot(x["s"]["kind"], x["s"]["start"], x["s"]["end"], x["s"]["value"]))
@@ -288,5 +288,4 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
 
 def merged(by_start: Column) -> Column:
     """Disjoint spans from spans by start: each run of overlapping ones is one, of the first one's kind."""
-    none = F.expr("cast(array() as array<struct<start: int, end: int, kind: int>>)")
-    return F.transform(overlapping(by_start, none), lambda run: F.struct(run[0]["start"].alias("start"), F.array_max(F.transform(run, lambda s: s["end"])).alias("end"), run[0]["kind"].alias("kind")))
+    return F.transform(overlapping(by_start), lambda run: F.struct(run[0]["start"].alias("start"), F.array_max(F.transform(run, lambda s: s["end"])).alias("end"), run[0]["kind"].alias("kind")))
