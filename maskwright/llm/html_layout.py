@@ -12,6 +12,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import zip_longest
 from unicodedata import combining, east_asian_width
 
@@ -48,8 +49,14 @@ IMPLIED = {
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 #: Name and value of an attribute; an unquoted value takes a slash at its end along.
 ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>][^\s>]*+)))?+""")
-#: Most tags have none of the attributes that are read.
-READ = re.compile("hidden|style|span|start|open", re.IGNORECASE)
+#: Most tags have none of the attributes that are read; rules of a page's style sheets read two more.
+READ = re.compile("hidden|style|span|start|open|type", re.IGNORECASE)
+#: Buttons that show their value.
+BUTTONS = frozenset("submit button reset".split())
+#: A rule without nested braces, and a selector of a tag, an id and classes.
+RULE = re.compile(r"([^{}]*+)\{([^{}]*+)\}")
+SELECTOR = re.compile(r"(\*|[a-z][a-z0-9-]*+)?((?:[.#][a-z0-9_\-\x80-\U0010ffff]++)*+)", re.IGNORECASE)
+SHEET = re.compile(r"<!--.*?-->|<(script|textarea|xmp|title)\b.*?</\1\b|<style\b((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>(.*?)(?:</style\b|\Z)", re.IGNORECASE | re.DOTALL)
 FOREIGN = ("svg", "math")
 #: Elements of a table between which a form has no box.
 TABLE = frozenset("table thead tbody tfoot tr".split())
@@ -59,24 +66,68 @@ ROWS = 128
 COLUMNS, DOWN, INTEGER = 1000, 65534, 2**31 - 1
 
 
-def attributes(rest: str) -> dict[str, str]:
-    """Values by name in lower case; of equal names the first counts."""
+def attributes(rest: str, every: bool = False) -> dict[str, str]:
+    """Values by name in lower case; of equal names the first counts. Tags without a name of READ have none, unless ``every`` is asked for."""
     found: dict[str, str] = {}
-    if READ.search(rest):
+    if every or READ.search(rest):
         for m in ATTRIBUTE.finditer(rest):
             found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
     return found
 
 
-def unshown(style: str) -> bool:
-    """Whether the declarations of a style, of which the last of a name counts, leave an element out."""
-    values: dict[str, tuple[bool, str]] = {}
+#: Of a style, by property: whether it is important, and the value.
+Declared = dict[str, tuple[bool, str]]
+
+
+def declared(style: str) -> Declared:
+    """What a style says of display and visibility; of a name the last counts, an important one before others."""
+    values: Declared = {}
     for part in re.sub(r"/\*.*?\*/", "", style, flags=re.DOTALL).lower().split(";"):
         name, _, value = part.partition(":")
         bare, important, _ = value.partition("!")
-        if important or not values.get(name.strip(), (False, ""))[0]:
-            values[name.strip()] = bool(important), bare.strip()
-    return values.get("display", (0, ""))[1] == "none" or values.get("visibility", (0, ""))[1] in ("hidden", "collapse")
+        name = name.strip()
+        if name in ("display", "visibility") and (important or not values.get(name, (False, ""))[0]):
+            values[name] = bool(important), bare.strip()
+    return values
+
+
+@dataclass(frozen=True)
+class Rule:
+    """A rule of a style sheet with its place in the cascade."""
+
+    rank: tuple[int, int, int, int]
+    tag: str
+    id: str
+    classes: frozenset[str]
+    values: Declared
+
+    def fits(self, tag: str, of: dict[str, str], classes: frozenset[str]) -> bool:
+        return (not self.tag or self.tag == tag) and (not self.id or self.id == of.get("id")) and self.classes <= classes
+
+
+def style_rules(source: str) -> list[Rule]:
+    """The rules of a page's style elements that say whether something shows, for tags, ids and classes.
+
+    Rules inside at-rules, which depend on the medium, and selectors that look
+    at other elements, attributes or states are left out.
+    """
+    rules: list[Rule] = []
+    if not re.search("<style", source, re.IGNORECASE):
+        return rules
+    for sheet in SHEET.finditer(source):
+        if sheet[3] is None or re.search(r"media\s*=\s*[\"']?\s*(?!all|screen)[a-z]", sheet[2], re.IGNORECASE):
+            continue
+        text = re.sub(r"/\*.*?\*/|<!--|-->", " ", sheet[3], flags=re.DOTALL)
+        text = re.sub(r"@[^{};]*+(?:;|\{(?:[^{}]*+\{[^{}]*+\})*+[^{}]*+\})", " ", text)
+        for names, body in RULE.findall(text):
+            if values := declared(body):
+                for name in map(str.strip, names.split(",")):
+                    if name and (m := SELECTOR.fullmatch(name)):
+                        ids, classes = re.findall("#([^.#]+)", m[2]), re.findall("[.]([^.#]+)", m[2])
+                        tag = "" if m[1] in (None, "*") else m[1].lower()
+                        if len(set(ids)) < 2:
+                            rules.append(Rule((len(ids), len(classes), bool(tag), len(rules)), tag, ids[0] if ids else "", frozenset(classes), values))
+    return rules
 
 
 def closes_itself(rest: str) -> bool:
@@ -111,10 +162,11 @@ Cell = tuple[int, int, list[str]]
 class Box:
     """An open element: its laid-out blocks ``(spaced, lines)`` and the line of text that is being filled."""
 
-    __slots__ = ("blocks", "cells", "closed", "count", "down", "hidden", "line", "rows", "span", "tag")
+    __slots__ = ("blocks", "cells", "closed", "count", "down", "hidden", "line", "rows", "span", "tag", "unseen")
 
-    def __init__(self, tag: str, hidden: bool, of: dict[str, str] | None = None) -> None:
-        self.tag, self.hidden = tag, hidden
+    def __init__(self, tag: str, hidden: bool, of: dict[str, str] | None = None, unseen: bool = False) -> None:
+        #: ``hidden`` leaves out all that is inside; ``unseen`` hides texts, and elements inside can turn that off.
+        self.tag, self.hidden, self.unseen = tag, hidden, unseen
         self.blocks: list[tuple[bool, list[str]]] = []
         self.line: list[str] = []
         self.rows: list[list[Cell]] = []
@@ -151,8 +203,25 @@ class Box:
 class Page:
     """The stack of open elements of one page."""
 
-    def __init__(self) -> None:
-        self.stack, self.open = [Box("html", False)], Counter({"html": 1})
+    def __init__(self, rules: list[Rule] | None = None) -> None:
+        self.stack, self.open, self.rules = [Box("html", False)], Counter({"html": 1}), rules or []
+
+    def shown(self, tag: str, of: dict[str, str]) -> tuple[bool, str]:
+        """Whether an element is displayed, and its visibility if something declares it."""
+        ranked = []
+        if self.rules:
+            classes = frozenset(of.get("class", "").split())
+            ranked = [((r.rank[:3], r.rank[3]), r.values) for r in self.rules if r.fits(tag, of, classes)]
+        if "style" in of:
+            ranked.append((((9**9, 0, 0), 0), declared(of["style"])))
+        won = {}
+        for rank, values in ranked:
+            for name, (important, value) in values.items():
+                if name not in won or (important, rank) > won[name][0]:
+                    won[name] = (important, rank), value
+        display, visibility = (won.get(name, (None, ""))[1] for name in ("display", "visibility"))
+        # A display that a rule gives shows what the hidden attribute hides.
+        return display != "none" and not ("hidden" in of and not display), visibility
 
     def block(self) -> Box:
         return next(b for b in reversed(self.stack) if b.tag in BLOCK)
@@ -202,16 +271,18 @@ class Page:
             self.close()
 
     def push(self, tag: str, rest: str = "") -> None:
-        of = attributes(rest) if rest else {}
+        of = attributes(rest, bool(self.rules)) if rest else {}
         top = self.stack[-1]
+        displayed, visibility = self.shown(tag, of) if of or self.rules else (True, "")
         first = tag == "summary" and not top.count
-        hidden = top.hidden or tag in HIDDEN or top.tag == "details" and top.closed and not first or tag in UNDRAWN and self.foreign() or "hidden" in of or "style" in of and unshown(of["style"]) or tag == "dialog" and "open" not in of
+        hidden = top.hidden or tag in HIDDEN or top.tag == "details" and top.closed and not first or tag in UNDRAWN and self.foreign() or not displayed or tag == "dialog" and "open" not in of
         if top.tag == "details" and tag == "summary":
             top.count += 1
         if tag in BLOCK:
             parent = self.block()
             parent.flush(keep=parent.tag == "pre")
-        self.stack.append(Box(tag, hidden, of))
+        unseen = visibility in ("hidden", "collapse") if visibility in ("hidden", "collapse", "visible") else top.unseen
+        self.stack.append(Box(tag, hidden, of, unseen))
         if tag == "svg" or top.closed and top.tag != "details" and tag not in ("text", "foreignobject"):
             self.stack[-1].closed = True
         self.open[tag] += 1
@@ -242,6 +313,19 @@ class Page:
             self.block().flush()
         if tag not in VOID:
             self.push(tag, rest)
+        elif tag == "input":
+            self.button(attributes(rest, bool(self.rules)))
+
+    def button(self, of: dict[str, str]) -> None:
+        """The value of a button, which is its text."""
+        if of.get("type", "").strip().lower() not in BUTTONS or "value" not in of:
+            return
+        displayed, visibility = self.shown("input", of)
+        if displayed and not (visibility in ("hidden", "collapse") or self.stack[-1].unseen and visibility != "visible"):
+            top, unseen = self.stack[-1], self.stack[-1].unseen
+            top.unseen = False
+            self.text(" " + re.sub(r"\s", " ", of["value"]) + " ", raw=True)
+            top.unseen = unseen
 
     def end(self, tag: str) -> None:
         if tag == "br":
@@ -257,7 +341,8 @@ class Page:
             block = self.block()
             text = html.unescape(text)
             text = text if block.tag == "pre" else text.replace("\r", " ")
-        if not self.stack[-1].hidden and not self.stack[-1].closed:
+        top = self.stack[-1]
+        if not top.hidden and not top.closed and not top.unseen:
             self.block().line.append(text)
 
 
@@ -300,7 +385,7 @@ def aligned(rows: list[list[Cell]]) -> list[str]:
 
 def visible_text(source: str) -> str:
     """All visible text of a page."""
-    page, at, n = Page(), 0, len(source)
+    page, at, n = Page(style_rules(source)), 0, len(source)
     while at < n:
         lt = source.find("<", at)
         if lt < 0:

@@ -1,7 +1,8 @@
 """Licence scan: TF-IDF cosine to templates, then inheritance down the directories.
 
-Units are the lines of each whole text, blocks of up to BLOCK consecutive lines
-(notices are wrapped), and the whole text: of any file against the texts of
+Units are the lines of each whole text, blocks of up to LINES consecutive lines
+with a term (notices are wrapped, at the worst to a term a line), and the whole
+text: of any file against the texts of
 whole licence files, and of files that are named like a licence against every
 template. A line with an SPDX tag says its licence itself. A unit's sparse TF-IDF vector is compared with every
 template; document frequencies are counted over all documents. Before that,
@@ -35,8 +36,6 @@ FILE_NAME = r"(?i)^(?:un)?(?:licen[cs]e|copying|copyright|notice)(?:[-_.].*)?$"
 ROWS = 128
 BLANK = r"\x20\x09-\x0D"
 
-#: Lines of the longest block; the sentences of the templates take fewer at usual widths.
-BLOCK = 8
 #: An SPDX tag; what it says of later versions is left out of the name, as in the templates.
 SPDX = r"(?i)SPDX-License-Identifier:[\x20\t(]*([A-Za-z0-9][A-Za-z0-9.-]*?)(?:-only|-or-later)?\+?(?![A-Za-z0-9.+-])"
 
@@ -99,6 +98,8 @@ TEMPLATES = (
 #: The last templates are whole licence files; before them are the first lines of such files.
 WHOLE = len(TEMPLATES) - 5
 TITLES = WHOLE - 10
+#: Lines with a term of the longest block: as many as the longest notice has terms.
+LINES = max(len(re.findall(TERM, text.lower())) for _, text in TEMPLATES[:WHOLE])
 
 
 def _terms(text: Column) -> Column:
@@ -129,13 +130,25 @@ def _anchors(vectors: list[dict[str, float]], threshold: float) -> list[str]:
     return sorted(found)
 
 
-def _scored(idf: dict[str, float], rare: float, vectors: list[dict[str, float]], threshold: float):
+def _stretches(marks: np.ndarray, reach: int) -> list[tuple[int, int]]:
+    """Ranges of the places that lie less than ``reach`` from a marked one."""
+    at = np.flatnonzero(marks)
+    if not len(at):
+        return []
+    breaks = np.flatnonzero(np.diff(at) >= 2 * reach - 1)
+    first, last = at[np.r_[0, breaks + 1]], at[np.r_[breaks, len(at) - 1]]
+    return [(max(0, a - reach + 1), min(len(marks), b + reach)) for a, b in zip(map(int, first), map(int, last), strict=True)]
+
+
+def _scored(idf: dict[str, float], rare: float, vectors: list[dict[str, float]], threshold: float, anchors: list[str]):
     """Per row ``(path, h, named, all_words, head, text)``: its units that reach the threshold, with the best template of each.
 
     The product of a block with a template is the sum of those of its lines, and
     its squared norm is at least the sum of theirs: only blocks that this bound
-    lets through are scored, without loss.
+    lets through are scored, without loss. A unit that reaches the threshold has
+    an anchor, so only lines near one are looked at.
     """
+    heavy = frozenset(anchors)
     axes = {t: np.array([v.get(t, 0.0) for v in vectors]) for t in idf}
     term, word = re.compile(TERM), re.compile(f"[^{BLANK}]+")
 
@@ -145,30 +158,37 @@ def _scored(idf: dict[str, float], rare: float, vectors: list[dict[str, float]],
         scores = np.round(sum((w * axes[t] for t, w in weights.items() if t in axes), np.zeros(len(vectors))) / norm, 9)
         return float(scores.max()), int(scores.argmax())
 
-    def units(text: str, named: bool) -> Iterator[tuple[int, int, int, float, int]]:
-        lines = text.split("\n")
-        counts = [Counter(term.findall(x)) for x in lines]
-        dots, norms = np.zeros((len(lines) + 1, len(vectors))), np.zeros(len(lines) + 1)
-        for at, each in enumerate(counts, 1):
+    def blocks(lines: list[str], held: list[tuple[int, Counter]]) -> Iterator[tuple[int, int, int, float, int]]:
+        """Blocks of neighbouring lines ``(number, counts)`` with terms: first line, lines, words, score, template."""
+        dots, norms, marks = np.zeros((len(held) + 1, len(vectors))), np.zeros(len(held) + 1), np.zeros(len(held) + 1, int)
+        for at, (_, each) in enumerate(held, 1):
+            marks[at] = not heavy.isdisjoint(each)
             for t, n in each.items():
                 w = n * idf.get(t, rare)
                 norms[at] += w * w
                 if t in axes:
                     dots[at] += w * axes[t]
-        dots, norms = dots.cumsum(axis=0), norms.cumsum()
-        for n in range(1, min(BLOCK, len(lines)) + 1):
-            low = norms[n:] - norms[:-n]
-            near = (dots[n:] - dots[:-n]).max(axis=1) >= threshold * np.sqrt(np.maximum(low, 0)) - 1e-6
-            for line in map(int, np.flatnonzero(near & (low > 0))):
-                # A block begins and ends with a line that has terms: others are the same unit.
-                if counts[line] and counts[line + n - 1]:
-                    score, k = best(sum(counts[line : line + n], Counter()))
-                    if score >= threshold:
-                        yield line, n, sum(len(word.findall(x)) for x in lines[line : line + n]), score, -k
-        if norms[-1] > 0:
-            score, k = best(Counter(term.findall(text)))
-            if score >= threshold and (named or k >= WHOLE):
-                yield -1, 0, len(word.findall(text)), score, -k
+        dots, norms, marks = dots.cumsum(axis=0), norms.cumsum(), marks.cumsum()
+        for n in range(1, min(LINES, len(held)) + 1):
+            some = np.flatnonzero(marks[n:] > marks[:-n])
+            near = (dots[some + n] - dots[some]).max(axis=1, initial=0) >= threshold * np.sqrt(norms[some + n] - norms[some]) - 1e-6
+            for at in map(int, some[near]):
+                score, k = best(sum((c for _, c in held[at : at + n]), Counter()))
+                if score >= threshold:
+                    line, end = held[at][0], held[at + n - 1][0] + 1
+                    yield line, end - line, sum(len(word.findall(x)) for x in lines[line:end]), score, -k
+
+    def units(text: str, named: bool) -> Iterator[tuple[int, int, int, float, int]]:
+        lines = text.split("\n")
+        every = [term.findall(x) for x in lines]
+        held = [k for k, found in enumerate(every) if found]  # a block begins and ends with a line that has terms
+        if not held:
+            return
+        for first, end in _stretches(np.array([not heavy.isdisjoint(every[k]) for k in held]), LINES):
+            yield from blocks(lines, [(k, Counter(every[k])) for k in held[first:end]])
+        score, k = best(sum((Counter(found) for found in every if found), Counter()))
+        if score >= threshold and (named or k >= WHOLE):
+            yield -1, 0, len(word.findall(text)), score, -k
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -209,7 +229,7 @@ def own_licences(docs: DataFrame, path_col: str = "path", text_col: str = "text"
     head = F.size(F.split(F.regexp_extract("t", "^[^A-Za-z0-9]*+", 0), "\n")) - 1  # the first line with a term
     some = slim.filter(near(F.col("t"))).select("path", F.xxhash64("t").alias("h"), named.alias("named"), words(F.col("t")).alias("all_words"), head.alias("head"), "t")
     kinds = f"path {slim.schema['path'].dataType.simpleString()}, h bigint, named boolean, all_words int, head int, line int, n int, words int, score double, k int"
-    units = some.withColumn("t", F.lower("t")).mapInArrow(_scored(idf, rare, vectors, threshold), kinds).distinct()
+    units = some.withColumn("t", F.lower("t")).mapInArrow(_scored(idf, rare, vectors, threshold, anchors), kinds).distinct()
     names = F.array(*(F.lit(n) for n, _ in TEMPLATES))
     units = units.withColumn("licence", F.element_at(names, 1 - F.col("k")))
     tags = slim.filter(F.col("t").rlike(SPDX)).select("path", F.xxhash64("t").alias("h"), named.alias("named"), words(F.col("t")).alias("all_words"), head.alias("head"), F.posexplode(F.split("t", "\n")).alias("line", "unit")).filter(F.col("unit").rlike(SPDX))

@@ -43,8 +43,8 @@ TOKEN = rf"(?<![^{BREAK}])(?:{GROUP}(?:\x20{GROUP})++(?![^{BREAK}:.!?])|(?=[^{BR
 #: What names a secret, and how random a secret looks, in lower case.
 NAMED = r"(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?[\x20\t]*[=:][\x20\t]*[\"']?$"
 RANDOM = r"^(?=[^0-9]*[0-9])(?=[^a-z]*[a-z])[a-z0-9+/_-]{16,}$"
-#: Characters of context on each side; values longer than LONGEST are known by their hash; rounds.
-CONTEXT, LONGEST, ROUNDS = 80, 64, 3
+#: Characters of context on each side; values longer than LONGEST are known by their hash; rounds at most, after which something is wrong.
+CONTEXT, LONGEST, ROUNDS = 80, 64, 100
 #: Known instances and their share of all that a pattern needs, and the score that an instance needs.
 LEAST_KNOWN, LEAST_SHARE, LEAST_SCORE = 3, 0.4, 2.0
 
@@ -180,9 +180,12 @@ def spots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return slim.select("doc_id", "h", spots_of(F.col("t")).alias("spots"))
 
 
-def discovered(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def discovered(found: DataFrame) -> DataFrame:
     """``(value, kind)`` of the instances of unknown kind that the rounds accept, and of the seeds.
 
+    Rounds go on until one accepts no value of a kind that the round before did
+    not: what is known only grows, and so do all scores, so there is an end.
+
     A value that is a seed at one place is known wherever else it stands.
 
     Scores are over distinct pairs of pattern and value, so copies of a text
@@ -196,14 +199,19 @@ def discovered(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     often = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("picked")).filter(F.col("picked") >= LEAST_KNOWN)
     edges = shared_checkpoint(salted_join(edges, often, "pattern", F.col("value")))
     seeds = pairs.filter(F.col("kind") < OTHER).select("value", "kind", F.lit(1.0).alias("known")).distinct()
-    known = seeds
-    for _ in range(rounds):
+    known, accepted = seeds, -1
+    for _ in range(ROUNDS):
         worth = salted_join(edges, known, "value", F.col("pattern")).groupBy("pattern", "kind").agg(F.round(F.sum("known"), 6).alias("mass"), F.max("picked").alias("picked"))
         worth = worth.filter((F.col("mass") >= LEAST_KNOWN) & (F.col("mass") >= LEAST_SHARE * F.col("picked")))
         worth = worth.select("pattern", "kind", (F.col("mass") / F.col("picked") * F.log2("mass")).alias("worth"))
         likely = salted_join(edges.select("pattern", "value"), worth, "pattern", F.col("value")).groupBy("value", "kind").agg(F.round(F.sum("worth"), 6).alias("score"))
         likely = shared_checkpoint(likely.filter(F.col("score") >= LEAST_SCORE).join(seeds.select("value").distinct(), "value", "left_anti"))
         known = seeds.unionByName(likely.select("value", "kind", (1 - F.exp(-F.col("score"))).alias("known")))
+        before, accepted = accepted, likely.count()
+        if accepted <= max(before, 0):
+            break
+    else:
+        raise RuntimeError(f"values are still accepted after {ROUNDS} rounds")
     best = likely.groupBy("value").agg(F.max(F.struct("score", -F.col("kind"), "kind")).alias("b"))
     return best.select("value", F.col("b.kind").alias("kind")).unionByName(seeds.groupBy("value").agg(F.min("kind").alias("kind")))
 

@@ -1,3 +1,4 @@
+import random
 import re
 from html.parser import HTMLParser
 
@@ -117,3 +118,54 @@ def test_drawn_text_and_closed_details():
     page = "<details{}><summary>S</summary>body <b>bold</b><summary>second</summary><p>more</details><p>after"
     assert visible_text(page.format("")) == "S\n\nafter"
     assert visible_text(page.format(" open")) == "S\nbody bold\nsecond\n\nmore\n\nafter"
+
+
+def test_visibility_can_be_turned_on_again():
+    assert visible_text('<div style="visibility:hidden">no<span style="visibility:visible">yes</span></div>') == "yes"
+    assert visible_text('<div style="display:none">no<span style="display:inline;visibility:visible">no</span></div>') == ""
+    assert visible_text("<div style=visibility:collapse>a<p>b<p style='visibility: VISIBLE'>c</div>d") == "c\nd"
+
+
+def test_style_sheets():
+    page = "<style>.x, p#one{display:none} /* .y{display:none} */ .v{visibility:hidden} @media print{.z{display:none}} div > .w{display:none}</style>"
+    assert visible_text(page + "<p class=x>a</p><p class='y x'>b</p><p id=one>c</p><div id=one>d</div><p class=y>e</p><p class=v>f <b style=visibility:visible>g</b></p><p class=z>h</p><p class=w>i</p>").split() == list("deghi")
+    assert visible_text("<style>p{display:none}.on{display:block}#no{display:none}</style><p>a<p class=on>b<p class=on id=no>c<p style='display:block'>d").split() == ["b", "d"]
+    assert visible_text("<style>p{display:none !important}</style><p style='display:block'>a</p>b").split() == ["b"]
+    assert visible_text("<script>'<style>p{display:none}</style>'</script><!--<style>p{display:none}</style>--><p>a").split() == ["a"]
+
+
+def test_buttons_show_their_value():
+    assert visible_text("<form>Name <input name=q value=no> <input type=submit value='Go on'><input type=hidden value=no><input type=RESET value=x&amp;y></form>") == "Name Go on x&y"
+    assert visible_text("<input type=button value=a hidden><p style=visibility:hidden><input type=button value=b><input type=button value=c style=visibility:visible>") == "c"
+
+
+def test_against_a_walk_of_the_tree():
+    """Words of random trees that a plain walk sees, whatever the elements, rules and attributes."""
+    rng = random.Random(11)
+    rules = {"gone": ("display", "none"), "unseen": ("visibility", "hidden"), "seen": ("visibility", "visible")}
+    sheet = "<style>" + "".join(f".{c}{{{k}:{v}}}" for c, (k, v) in rules.items()) + "</style>"
+    for _ in range(300):
+        n, want = [0], []
+
+        def tree(depth, hidden, unseen):
+            out = []
+            for _ in range(rng.randint(1, 4)):
+                n[0] += 1
+                if depth == 4 or rng.random() < 0.4:
+                    out.append(f" w{n[0]} ")
+                    if not hidden and not unseen:
+                        want.append(f"w{n[0]}")
+                    continue
+                tag, kind = rng.choice(["div", "span", "b", "section", "ul"]), rng.choice(["", "", "", "hidden", "style", *rules])
+                attribute, gone, dim = "", hidden, unseen
+                if kind == "hidden":
+                    attribute, gone = " hidden", True
+                elif kind:
+                    name, value = rng.choice(list(rules.values())) if kind == "style" else rules[kind]
+                    attribute = f' style="color:red;{name}: {value}"' if kind == "style" else f" class='a {kind}'"
+                    gone, dim = hidden or value == "none", {"hidden": True, "visible": False}.get(value, unseen)
+                out.append(f"<{tag}{attribute}>{tree(depth + 1, gone, dim)}</{tag}>")
+            return "".join(out)
+
+        source = tree(0, False, False)
+        assert visible_text(sheet + source).replace("- ", "").split() == want, source

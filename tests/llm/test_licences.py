@@ -145,3 +145,26 @@ def test_headers_tags_and_whole_files(spark):
     assert {got[k].how for k in range(len(texts))} == {"own"}
     speaks = {path[0] for k, (_, path, _) in enumerate(texts) if got[100 + k].how == "inherited"}
     assert speaks >= set("ghijlm") and not speaks & set("ck") and all(got[1000 + k].licence is None for k in range(200))
+
+
+def test_headers_wrapped_to_a_word_a_line(spark):
+    """A notice is found at any wrapping, down to a word a line, and in the middle of a long file."""
+    notice = next(t for n, t in licences.TEMPLATES if n == "AGPL-3.0" and "redistribute" in t)
+    filler = [f"value_{k} = compute(alpha_{k}, beta_{k})" for k in range(400)]
+    rows = []
+    for k, width in enumerate((1, 2, 3, 5, 8, 40)):
+        words = notice.split()
+        wrapped = ["# " + " ".join(words[i : i + width]) for i in range(0, len(words), width)]
+        if width == 2:
+            wrapped = [x for line in wrapped for x in (line, "#", "")]
+        rows.append((k, f"src/f{k}.py", "\n".join([*filler[:200], *wrapped, *filler[200:]])))
+    got = {r.doc_id: r for r in licences.scanned(spark.createDataFrame(rows, "doc_id int, path string, text string")).collect()}
+    assert {k: (r.licence, r.how) for k, r in got.items()} == dict.fromkeys(range(6), ("AGPL-3.0", "own"))
+
+
+def test_stretches_are_those_near_a_mark():
+    import numpy as np
+
+    for marks in ("", "0", "1", "0100000001", "1000000001", "00010000000000010000", "11111"):
+        got = {k for a, b in licences._stretches(np.array([m == "1" for m in marks], bool), 4) for k in range(a, b)}
+        assert got == {k for k in range(len(marks)) if any(m == "1" and abs(j - k) < 4 for j, m in enumerate(marks))}, marks

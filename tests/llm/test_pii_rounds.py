@@ -78,7 +78,9 @@ def replayed(texts):
         if s[3]:
             seeds[value(s)].add(s[3])
     known, accepted = {(v, k): 1.0 for v, kinds in seeds.items() for k in kinds}, {}
-    for _ in range(pii.ROUNDS):
+    before = -1
+    while len(accepted) > before:  # until a round adds nothing
+        before = len(accepted)
         score = defaultdict(float)
         for values in picks.values():
             for k in pii.KINDS:
