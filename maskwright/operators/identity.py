@@ -4,16 +4,20 @@ People are known by signature, the set of their name's words. When names are
 registered largest first, a short form belongs to a longer name exactly if one
 registered signature contains it; that is a self-join, without iteration. What
 comes later (addresses, names that were not registered) depends on the order
-of reading, so it is a fold over the distinct values of one scope.
+of reading: a signature follows the only one of those registered before it
+that contains it, or else that it contains. Which ones these are is a join over
+subsets and a comparison of places, and whom they follow in turn is found by
+doubling, so a scope can be a whole corpus and no task has all of it.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions.checks import seed, signature
+from maskwright.operators.gazetteer import null_safe
+from maskwright.operators.shared import shared_checkpoint
 
 # Substitutes for names, chosen by the seed of a person.
 FIRST = (
@@ -67,7 +71,7 @@ def how_many(linked_values: DataFrame) -> DataFrame:
 
 
 class Links:
-    """The registry of one scope: signatures and what each stands for."""
+    """The registry of one scope as a program over values in order; ``linked`` gives its results for any number of values."""
 
     def __init__(self) -> None:
         self.root: dict[frozenset[str], str] = {}
@@ -86,32 +90,73 @@ class Links:
         return self.root[words]
 
 
-def _linked(values: pd.DataFrame) -> pd.DataFrame:
-    links = Links()
-    sets = [frozenset(s) for s in values["signature"]]
-    rows = sorted(zip(values["known"], sets, values["text"], values["block_idx"], values["start"], values["label"], strict=True), key=lambda r: (not r[0], -len(r[1]), r[2]) if r[0] else (True, r[3], r[4], r[5], r[2]))
-    out = []
-    for known, words, text, _, _, label in rows:
-        root = links.resolve(words, text)
-        if not known:
-            out.append((text, label, root))
-    found = pd.DataFrame(out, columns=["text", "label", "root"])
-    found.insert(0, "scope", values["scope"].iloc[0])
-    return found
+#: Words of a name up to which all its subsets are looked up (at most 62); longer names are met by the rarest word of shorter ones.
+SUBSETS = 6
+#: Columns that say where a value first stands, in order of reading.
+PLACE = ("doc", "block_idx", "start")
+
+
+def place_of(rows: DataFrame) -> list[str]:
+    return [c for c in PLACE if c in rows.columns]
+
+
+def _related(nodes: DataFrame) -> DataFrame:
+    """``(scope, small, large, t_small, t_large)``: pairs of signatures of a scope, one of which contains the other."""
+    k = F.size("signature")
+    chosen = "transform(sequence(1, shiftleft(1, size(signature)) - 2), m -> array_join(filter(signature, (w, i) -> (m & shiftleft(1, i)) <> 0), ' '))"
+    large = nodes.select("scope", "signature", F.col("key").alias("large"), F.col("t").alias("t_large"))
+    few = large.filter(k.between(2, SUBSETS)).select("scope", "large", "t_large", F.explode(F.expr(chosen)).alias("key"))
+    small = nodes.select("scope", "key", F.col("t").alias("t_small"))
+    met = null_safe(few, small, ["scope", "key"]).select("scope", F.col("key").alias("small"), "large", "t_small", "t_large")
+    many = large.filter(k > SUBSETS)
+    words = many.select("scope", F.explode("signature").alias("word")).groupBy("scope", "word").agg(F.count(F.lit(1)).alias("n"))
+    # Each shorter name under the rarest of its words among the long names; a word that no long name has rules it out.
+    each = nodes.select("scope", "signature", "key", "t", F.explode("signature").alias("word"))
+    rare = null_safe(each, words, ["scope", "word"], "left").groupBy("scope", "key").agg(F.min_by(F.struct("word", "signature", "t"), F.struct(F.coalesce("n", F.lit(0)), "word")).alias("r"), F.count_if(F.col("n").isNull()).alias("strange"))
+    rare = rare.filter("strange = 0").select("scope", F.col("key").alias("small"), F.col("r.word").alias("word"), F.col("r.signature").alias("inner"), F.col("r.t").alias("t_small"))
+    pairs = null_safe(rare, many.select("scope", "large", "t_large", F.col("signature").alias("outer"), F.explode("signature").alias("word")), ["scope", "word"])
+    pairs = pairs.filter((F.size("outer") > F.size("inner")) & (F.size(F.array_except("inner", "outer")) == 0))
+    return met.unionByName(pairs.select("scope", "small", "large", "t_small", "t_large"))
+
+
+def _followed(nodes: DataFrame) -> DataFrame:
+    """``(scope, key, root)`` of the signatures that follow another, at the end of the chain."""
+    pairs = _related(nodes)
+    above = pairs.filter("t_large < t_small").select("scope", F.col("small").alias("key"), F.lit(True).alias("up"), F.col("large").alias("other"))
+    below = pairs.filter("t_small < t_large").select("scope", F.col("large").alias("key"), F.lit(False).alias("up"), F.col("small").alias("other"))
+    of = lambda up: (F.count_if(F.col("up") == up), F.max(F.when(F.col("up") == up, F.col("other"))))
+    (n_up, up), (n_down, down) = of(True), of(False)
+    first = above.unionByName(below).groupBy("scope", "key").agg(n_up.alias("n_up"), up.alias("above"), n_down.alias("n_down"), down.alias("below"))
+    follows = F.when(F.col("n_up") == 1, F.col("above")).when((F.col("n_up") == 0) & (F.col("n_down") == 1), F.col("below"))
+    links = shared_checkpoint(first.select("scope", "key", follows.alias("root")).filter("root is not null"))
+    # Each follows an earlier one, so there is no circle, and chains halve from round to round.
+    while True:
+        ahead = links.select("scope", F.col("key").alias("root"), F.col("root").alias("further"))
+        met = null_safe(links, ahead, ["scope", "root"], "left")
+        links = shared_checkpoint(met.select("scope", "key", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")))
+        if links.filter("moved").isEmpty():
+            return links.drop("moved")
 
 
 def linked(values: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """``(scope, text, label, root)`` of distinct PERSON and EMAIL values.
 
-    ``values`` has ``scope, label, text, block_idx, start`` with the place where
-    a value first stands; ``known(scope, name)`` is registered before. The fold
-    is over the distinct values of a scope, in the order of reading.
+    ``values`` has ``scope, label, text`` and the place where a value first
+    stands: ``block_idx, start``, in a scope of many documents ``doc`` before
+    them. ``known(scope, name)`` is registered before, largest first. Values
+    are registered in the order of reading. A value without a word stands
+    alone; a null scope is one scope; an empty table gives no row.
     """
     source = F.when(F.col("label") == "EMAIL", F.substring_index("text", "@", 1)).otherwise(F.col("text"))
-    rows = values.filter(F.col("label").isin("PERSON", "EMAIL")).select("scope", "label", "text", "block_idx", "start", signature(source).alias("signature"), F.lit(False).alias("known"))
+    place = place_of(values)
+    order = lambda later, size, at, label, text: F.struct(F.lit(later).alias("later"), size.alias("size"), *(c.alias(n) for n, c in zip(place, at)), label.alias("label"), text.alias("text"))
+    key = F.array_join("signature", " ").alias("key")
+    own = values.filter(F.col("label").isin("PERSON", "EMAIL")).select("scope", "label", "text", signature(source).alias("signature"), order(True, F.lit(0), [F.col(c) for c in place], F.col("label"), F.col("text")).alias("t")).select("*", key)
+    rows = own.select("scope", "signature", "key", "t")
     if known is not None:
-        first = known.select("scope", F.lit("PERSON").alias("label"), F.col("name").alias("text")).distinct()
-        first = first.select("scope", "label", "text", F.lit(-1).alias("block_idx"), F.lit(-1).alias("start"), signature(F.col("text")).alias("signature"), F.lit(True).alias("known"))
-        rows = rows.unionByName(first)
-    scope = values.schema["scope"].dataType.simpleString()
-    return rows.groupBy("scope").applyInPandas(_linked, f"scope {scope}, text string, label string, root string")
+        named = known.select("scope", F.col("name").alias("text"), signature(F.col("name")).alias("signature"))
+        nowhere = [F.lit(None).cast(values.schema[c].dataType) for c in place]
+        rows = rows.unionByName(named.select("scope", "signature", key, order(False, -F.size("signature"), nowhere, F.lit(""), F.col("text")).alias("t")))
+    nodes = shared_checkpoint(rows.filter("key != ''").groupBy("scope", "key").agg(F.first("signature").alias("signature"), F.min("t").alias("t")))
+    met = null_safe(own.select("scope", "text", "label", "key"), _followed(nodes), ["scope", "key"], "left")
+    return met.select("scope", "text", "label", F.when(F.col("key") == "", F.col("text")).otherwise(F.coalesce("root", "key")).alias("root"))

@@ -13,15 +13,16 @@ from pyspark.sql import functions as F
 
 from maskwright.functions.checks import match_case
 from maskwright.functions.surrogates import substitutes
-from maskwright.operators import identity
+from maskwright.operators import identity, ranking
 
 Policy = Callable[[DataFrame, DataFrame | None], DataFrame]
 
 
 def distinct_values(detections: DataFrame) -> DataFrame:
-    """``(scope, label, text, block_idx, start)``: each value with the place where it first stands."""
-    first = detections.groupBy("scope", "label", "text").agg(F.min(F.struct("block_idx", "start")).alias("f"))
-    return first.select("scope", "label", "text", "f.block_idx", "f.start")
+    """``(scope, label, text, block_idx, start)``: each value with the place where it first stands; in a scope of many documents ``doc`` too."""
+    place = identity.place_of(detections)
+    first = detections.groupBy("scope", "label", "text").agg(F.min(F.struct(*place)).alias("f"))
+    return first.select("scope", "label", "text", *(f"f.{c}" for c in place))
 
 
 def marker(label: Column, template: str = "[{label}]") -> Column:
@@ -39,12 +40,19 @@ def placeholder(template: str = "[{label}]") -> Policy:
 
 
 def numbered() -> Policy:
-    """``[LABEL_n]``, n by first appearance in the scope."""
+    """``[LABEL_n]``, n by first appearance in the scope.
+
+    A document's values are few and a window numbers them; in a scope of many
+    documents they are numbered over ranges, as a label may have most of them.
+    """
 
     def of(values: DataFrame, known: DataFrame | None = None) -> DataFrame:
-        order = Window.partitionBy("scope", "label").orderBy("block_idx", "start", "text")
-        n = F.row_number().over(order)
-        return values.select("scope", "label", F.col("text").alias("original"), F.concat(F.lit("["), "label", F.lit("_"), n.cast("string"), F.lit("]")).alias("replacement"))
+        place = [*identity.place_of(values), "text"]
+        if "doc" in values.columns:
+            rows = ranking.numbered(values, ["scope", "label"], place)
+        else:
+            rows = values.withColumn("n", F.row_number().over(Window.partitionBy("scope", "label").orderBy(*place)))
+        return rows.select("scope", "label", F.col("text").alias("original"), F.concat(F.lit("["), "label", F.lit("_"), F.col("n").cast("string"), F.lit("]")).alias("replacement"))
 
     return of
 

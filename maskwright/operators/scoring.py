@@ -3,14 +3,26 @@
 ``expected`` and ``predicted`` are rows ``(set, block_idx, ord, start, end,
 label)``. One span may cover several and be covered by several; ``strict``
 pairs them greedily, one to one, in order.
+
+Spans meet over bins of BIN code points of their block: each is filed under all
+bins that it reaches into, so a block with many spans is many small keys and
+not one that all of them share.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskwright.functions import arrays
+
 KEY = ["set", "block_idx"]
+#: Code points of a bin.
+BIN = 64
 
 
 def occurrences(text: Column, value: Column) -> Column:
@@ -21,54 +33,74 @@ def occurrences(text: Column, value: Column) -> Column:
 def expected_spans(annotations: DataFrame, blocks: DataFrame) -> DataFrame:
     """Annotations ``(set, block_idx, ord, label, text)`` with their places in the blocks.
 
-    The n-th mention of a value is its n-th occurrence; when these run out the
-    search starts over; a value that the block lacks starts at -1.
+    The n-th mention of a value is its n-th occurrence (from left to right,
+    without overlap); when these run out they start over; a value that the
+    block lacks starts at -1, and the empty value at 0. The places of a value
+    are found once for all its mentions.
     """
     texts = blocks.select("set", "block_idx", F.col("text").alias("block"))
-    listed = annotations.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("ord", "label", "text"))).alias("items")).join(texts, KEY)
+    listed = annotations.groupBy(*KEY, "text").agg(F.array_sort(F.collect_list(F.struct("ord", "label"))).alias("items")).join(texts, KEY)
+    literal = F.concat(F.lit(r"\Q"), F.replace("text", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    places = F.when((F.col("text") != "") & F.contains("block", "text"), F.transform(arrays.matches(F.col("block"), literal), lambda m: m["start"]))
+    each = listed.select(*KEY, "text", F.coalesce(places, F.array(F.when(F.col("text") == "", 0).otherwise(-1))).alias("places"), F.posexplode("items").alias("n", "item"))
+    start = F.get("places", F.pmod(F.col("n"), F.size("places"))).cast("int")
+    return each.select(*KEY, "item.ord", "item.label", "text", start.alias("start"), (start + F.length("text")).alias("end"))
+
+
+def _filed(rows: DataFrame) -> DataFrame:
+    """``rows`` under each bin that a span reaches into; an empty span is filed where it stands."""
+    bin_of = lambda at: F.floor(at / BIN).cast("int")
+    return rows.withColumn("bin", F.explode(F.sequence(bin_of(F.col("start")), bin_of(F.greatest(F.col("end") - 1, "start")))))
 
-    def step(acc: Column, item: Column) -> Column:
-        last = F.coalesce(F.try_element_at(acc["at"], item["text"]), F.lit(0))
-        after = F.call_function("locate", item["text"], F.col("block"), F.greatest(last, F.lit(0)) + 1) - 1
-        start = F.when(after >= 0, after).otherwise(F.call_function("locate", item["text"], F.col("block")) - 1).cast("int")
-        end = start + F.length(item["text"])
-        span = F.struct(item["ord"].alias("ord"), item["label"].alias("label"), item["text"].alias("text"), start.alias("start"), end.alias("end"))
-        at = F.map_concat(F.map_filter(acc["at"], lambda k, _: k != item["text"]), F.create_map(item["text"], end))
-        return F.struct(at.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
-    kind = annotations.schema["ord"].dataType.simpleString()
-    zero = F.struct(F.expr("cast(map() as map<string, int>)").alias("at"), F.expr(f"cast(array() as array<struct<ord: {kind}, label: string, text: string, start: int, end: int>>)").alias("spans"))
-    return listed.select(*KEY, F.inline(F.aggregate("items", zero, step, lambda acc: acc["spans"])))
+def _met(a: DataFrame, b: DataFrame, typed: bool) -> tuple[DataFrame, DataFrame, Column]:
+    a, b = _filed(a).alias("a"), _filed(b).alias("b")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*KEY, "bin", *(["label"] if typed else []))]
+    return a, b, reduce(lambda x, y: x & y, same, (F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end")))
 
 
-def _touching(a: DataFrame, b: DataFrame, typed: bool) -> tuple[DataFrame, DataFrame, Column]:
-    a, b = a.alias("a"), b.alias("b")
-    on = (F.col("a.set") == F.col("b.set")) & (F.col("a.block_idx") == F.col("b.block_idx")) & (F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end"))
-    return a, b, on & (F.col("a.label") == F.col("b.label")) if typed else on
+def _of(a: DataFrame, b: DataFrame, typed: bool, how: str) -> DataFrame:
+    """Rows of ``a`` that are, or are not, among those that overlap a row of ``b``: equal rows have the same answer."""
+    left, right, on = _met(a, b, typed)
+    hits = left.join(right, on, "left_semi").select(*(F.col(f"a.`{c}`").alias(f"__{c}") for c in a.columns)).distinct()
+    return a.join(hits, reduce(lambda x, y: x & y, (F.col(f"`{c}`").eqNullSafe(F.col(f"`__{c}`")) for c in a.columns)), how)
 
 
 def touched(a: DataFrame, b: DataFrame, typed: bool) -> DataFrame:
     """Rows of ``a`` that overlap a row of ``b`` (of the same label)."""
-    a, b, on = _touching(a, b, typed)
-    return a.join(b, on, "left_semi")
+    return _of(a, b, typed, "left_semi")
 
 
 def untouched(a: DataFrame, b: DataFrame, typed: bool) -> DataFrame:
-    a, b, on = _touching(a, b, typed)
-    return a.join(b, on, "left_anti")
+    return _of(a, b, typed, "left_anti")
+
+
+def _taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of each block, in order, whose two spans are free when their turn comes."""
+    block, used_e, used_p = None, set(), set()
+    for batch in batches:
+        keep = []
+        for k, (s, i, e, p) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
+            if (s, i) != block:
+                block, used_e, used_p = (s, i), set(), set()
+            if e not in used_e and p not in used_p:
+                used_e.add(e)
+                used_p.add(p)
+                keep.append(k)
+        yield batch.take(pa.array(keep, pa.int64()))
 
 
 def paired(expected: DataFrame, predicted: DataFrame, typed: bool) -> DataFrame:
-    """Greedy one-to-one pairs ``(set, block_idx, e_ord, p_ord, label)``: each expected span, in order, takes the first free one that it overlaps."""
-    a, b, on = _touching(expected, predicted, typed)
-    pairs = a.join(b, on).select(F.col("a.set").alias("set"), F.col("a.block_idx").alias("block_idx"), F.col("a.ord").alias("e"), F.col("b.ord").alias("p"), F.col("a.label").alias("label"))
-    listed = pairs.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("e", "p", "label"))).alias("pairs"))
-    taken = F.aggregate(
-        F.slice("pairs", 2, F.size("pairs")),
-        F.slice("pairs", 1, 1),
-        lambda kept, x: F.when(F.exists(kept, lambda k: (k["e"] == x["e"]) | (k["p"] == x["p"])), kept).otherwise(F.concat(kept, F.array(x))),
-    )
-    return listed.select(*KEY, F.inline(taken)).withColumnsRenamed({"e": "e_ord", "p": "p_ord"})
+    """Greedy one-to-one pairs ``(set, block_idx, e_ord, p_ord, label)``: each expected span, in order, takes the first free one that it overlaps.
+
+    The pairs of a block are walked in order as a stream, with what is taken in
+    sets: linear in the pairs, however many a block has.
+    """
+    a, b, on = _met(expected, predicted, typed)
+    # A pair is met in the bin of its later start, and in no other.
+    once = F.col("a.bin") == F.floor(F.greatest("a.start", "b.start") / BIN)
+    pairs = a.join(b, on & once).select(F.col("a.set").alias("set"), F.col("a.block_idx").alias("block_idx"), F.col("a.ord").alias("e_ord"), F.col("b.ord").alias("p_ord"), F.col("a.label").alias("label"))
+    return pairs.repartition(*KEY).sortWithinPartitions(*KEY, "e_ord", "p_ord", "label").mapInArrow(_taken, pairs.schema)
 
 
 def _ratio(top: Column, below: Column) -> Column:

@@ -11,6 +11,7 @@ from maskwright.functions import words
 from maskwright.operators import entities as entity_rules
 from maskwright.operators import gazetteer, recognizers, spans
 from maskwright.operators.policies import distinct_values, marker, policy
+from maskwright.operators.shared import shared_checkpoint
 
 #: Labels and the names under which a summary shows them.
 CATEGORIES = {
@@ -27,18 +28,26 @@ CATEGORIES = {
 }
 
 
-def blocks_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_line: bool = True) -> DataFrame:
+def blocks_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_line: bool = True, scope: str = "document") -> DataFrame:
     """``(scope, row, block_idx, location, text)``: a block for each line of a text, or for each text.
 
-    ``row`` is the hash of the whole text, which tells apart documents that
-    share an id, null ids among them. A null text is one block without a text.
+    ``scope`` is ``document``, where each id has names and identities of its
+    own, or ``corpus``, where all documents share them: there the scope is one
+    constant and the id is in ``doc``, which comes first in the order of
+    reading. ``row`` is the hash of the whole text, which tells apart documents
+    that share an id, null ids among them. A null text is one block without a
+    text.
     """
-    text = F.col(f"`{text_col}`")
-    rows = docs.select(F.col(f"`{id_col}`").alias("scope"), F.xxhash64(text).alias("row"), text.alias("text"))
+    if scope not in ("document", "corpus"):
+        raise ValueError(f"no scope {scope!r}: document or corpus")
+    text, of = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
+    own = [of.alias("scope")] if scope == "document" else [F.lit("corpus").alias("scope"), of.alias("doc")]
+    names = ["scope", "row"] if scope == "document" else ["scope", "doc", "row"]
+    rows = docs.select(*own, F.xxhash64(text).alias("row"), text.alias("text"))
     if not by_line:
-        return rows.select("scope", "row", F.lit(0).alias("block_idx"), F.lit("body").alias("location"), "text")
-    lines = rows.select("scope", "row", F.posexplode_outer(F.split("text", "\n")).alias("block_idx", "text"))
-    return lines.select("scope", "row", F.coalesce("block_idx", F.lit(0)).alias("block_idx"), F.lit("body").alias("location"), "text")
+        return rows.select(*names, F.lit(0).alias("block_idx"), F.lit("body").alias("location"), "text")
+    lines = rows.select(*names, F.posexplode_outer(F.split("text", "\n")).alias("block_idx", "text"))
+    return lines.select(*names, F.coalesce("block_idx", F.lit(0)).alias("block_idx"), F.lit("body").alias("location"), "text")
 
 
 def without_headers(blocks: DataFrame) -> DataFrame:
@@ -118,7 +127,7 @@ def passed_through(blocks: DataFrame) -> DataFrame:
 
 
 def joined_up(blocks: DataFrame) -> DataFrame:
-    """``(scope, redacted_text, n_replacements)``: a row for each document from redacted blocks, lines in order.
+    """``(scope, redacted_text, n_replacements)``, in a scope of many documents ``doc`` for ``scope``: a row for each document from redacted blocks, lines in order.
 
     Documents that share an id are told apart by their text, and those that
     share both are written once and repeated. A null text stays null.
@@ -128,7 +137,7 @@ def joined_up(blocks: DataFrame) -> DataFrame:
     grouped = blocks.groupBy(*keys).agg(lines.alias("lines"), F.count_if(F.col("block_idx") == 0).alias("copies"))
     text = F.when(F.element_at("lines", 1)["redacted"].isNotNull(), F.array_join(F.transform("lines", lambda x: x["redacted"]), "\n"))
     each = F.explode(F.array_repeat(F.aggregate("lines", F.lit(0).cast("bigint"), lambda a, x: a + x["n"]), F.greatest(F.col("copies").cast("int"), F.lit(1))))
-    return grouped.select("scope", text.alias("redacted_text"), each.alias("n_replacements"))
+    return grouped.select("doc" if "doc" in keys else "scope", text.alias("redacted_text"), each.alias("n_replacements"))
 
 
 def statistics(blocks: DataFrame) -> DataFrame:
@@ -159,17 +168,26 @@ def transform(name: str, blocks: DataFrame, **options) -> tuple[DataFrame, DataF
 
 
 def redacted_blocks(blocks: DataFrame, policy_name: str = "fake", passes: int = 2, only: Iterable[str] | None = None, exclude: Iterable[str] = (), entities: str | bool = True) -> tuple[DataFrame, DataFrame]:
-    """Blocks, redacted, and the mapping. Pass 2 looks again for the names that pass 1 found."""
-    found, names = detected(blocks, only, exclude, entities=entities), None
+    """Blocks, redacted, and the mapping. Pass 2 looks again for the names that pass 1 found.
+
+    What a pass finds is read by names, mapping and writing, so it is written
+    once to the shared folder and not found anew by each of them.
+    """
+    found, names = shared_checkpoint(detected(blocks, only, exclude, entities=entities)), None
     if passes > 1:
-        found, names = two_pass(found)
-    mapping = mapping_of(found, policy_name, names)
+        names = shared_checkpoint(names_in(found))
+        found = shared_checkpoint(gazetteer.with_names(found, names))
+    mapping = shared_checkpoint(mapping_of(found, policy_name, names))
     return replaced(found, mapping), mapping
 
 
-def redact(docs: DataFrame, policy_name: str = "fake", id_col: str = "doc_id", text_col: str = "text", by_line: bool = True, passes: int = 2, only: Iterable[str] | None = None, exclude: Iterable[str] = (), entities: str | bool = True) -> tuple[DataFrame, DataFrame]:
-    """Redacted blocks and the mapping. The mapping undoes the redaction: keep it apart."""
-    return redacted_blocks(blocks_of(docs, id_col, text_col, by_line), policy_name, passes, only, exclude, entities)
+def redact(docs: DataFrame, policy_name: str = "fake", id_col: str = "doc_id", text_col: str = "text", by_line: bool = True, passes: int = 2, only: Iterable[str] | None = None, exclude: Iterable[str] = (), entities: str | bool = True, scope: str = "document") -> tuple[DataFrame, DataFrame]:
+    """Redacted blocks and the mapping. The mapping undoes the redaction: keep it apart.
+
+    ``scope`` is ``document`` or ``corpus``, see ``blocks_of``: in a corpus one
+    person has one identity, and a number counts over all documents.
+    """
+    return redacted_blocks(blocks_of(docs, id_col, text_col, by_line, scope), policy_name, passes, only, exclude, entities)
 
 
 def searched(mapping: DataFrame, label: str = "ALL", query: str = "") -> DataFrame:
