@@ -1,8 +1,8 @@
 """Best-fit packing of token sequences, in bulk-synchronous rounds.
 
 Lengths fall into bands, and the bands are placed from the longest on. In a
-round, pieces and gaps are sorted by size together, over ranges of sizes, and a
-sweep from the largest on gives each piece its successor: the smallest gap that
+round, pieces and gaps are sorted by size together, over ranges of sizes (a few
+thousand of them are one range), and a sweep from the largest on gives each piece its successor: the smallest gap that
 holds it and that no piece before it has. Read as brackets, a gap opens and a
 piece closes: running sums give each its depth, and a piece takes the last gap
 of its depth, so conflicts for a gap are settled by rank. Then the gaps are
@@ -20,7 +20,7 @@ from functools import lru_cache, reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from maskwright.llm.common import batches, shared_checkpoint
@@ -28,6 +28,8 @@ from maskwright.llm.common import batches, shared_checkpoint
 CAPACITY = 2048
 #: Bands of lengths end at these parts of the capacity; rounds of a band.
 BANDS, ROUNDS = (1, 2, 3, 4, 6, 8, 12, 24, 72), 2
+#: Pieces and gaps up to which a sweep is one range.
+FEW = 50_000
 #: Words whose ids a Python worker remembers.
 REMEMBERED = 250_000
 #: Words, contractions, digits and runs of other signs of texts in Latin-1, whose superscripts and fractions are numbers.
@@ -166,15 +168,19 @@ def _scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, s, low, sizes = at + n, int(depth[-1]), min(int(least[-1]), int(depth[-1])), int(total[-1] + size[-1])
 
 
-def _swept(rows: DataFrame) -> DataFrame:
+def _swept(rows: DataFrame, few: bool) -> DataFrame:
     """``rows(open, size, id)`` from the largest on, gaps before pieces, with what ``_scan`` gives over the whole table.
 
     Rows are dealt by ranges of their order, in which the hash of the id splits
     a size that many share; each partition is scanned on its own, and then
-    shifted by the sums of those before it, of which there is one row each.
+    shifted by the sums of those before it, of which there is one row each. At
+    most FEW rows are one range, which needs no shift.
     """
     order = [F.col("size").desc(), F.col("open").desc(), F.xxhash64("id"), F.col("id")]
-    local = shared_checkpoint(rows.select("open", "size", "id").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_scan, SWEPT))
+    rows = rows.select("open", "size", "id")
+    if few:
+        return rows.repartition(1).sortWithinPartitions(*order).mapInArrow(_scan, SWEPT)
+    local = shared_checkpoint(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_scan, SWEPT))
     step = F.when(F.col("open"), 1).otherwise(-1)
     each = local.groupBy("part").agg(F.sum(step).alias("step"), F.min(F.least("low", F.col("s") + step)).alias("least"), F.sum("size").alias("sizes"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -185,7 +191,14 @@ def _swept(rows: DataFrame) -> DataFrame:
     return met.select("part", "at", depth.alias("s"), F.least(F.col("low") + F.col("step_before"), "least_before").alias("low"), (F.col("sum") + F.col("sizes_before")).alias("sum"), "open", "size", "id")
 
 
-def _matched(pieces: DataFrame, gaps: DataFrame, longest: int) -> DataFrame:
+def _noted(df: DataFrame, **of: Column) -> tuple[DataFrame, dict]:
+    """A checkpoint of ``df``, and numbers about its rows that the same job gives."""
+    seen = Observation()
+    kept = shared_checkpoint(df.observe(seen, *(c.alias(k) for k, c in of.items())))
+    return kept, seen.get
+
+
+def _matched(pieces: DataFrame, gaps: DataFrame, longest: int, few: bool = False) -> DataFrame:
     """``(id, size, sequence, rank)``: the pieces, each with the gap that it takes, or null and how many before it took none.
 
     A gap that holds several of the longest pieces offers a part to each. Of
@@ -194,16 +207,15 @@ def _matched(pieces: DataFrame, gaps: DataFrame, longest: int) -> DataFrame:
     """
     many = F.greatest(F.floor(F.col("gap") / longest), F.lit(1)).cast("int")
     offers = gaps.select(F.lit(True).alias("open"), F.floor(F.col("gap") / many).alias("size"), F.explode(F.array_repeat("sequence", many)).alias("id"))
-    rows = _swept(offers.unionByName(pieces.select(F.lit(False).alias("open"), "size", "id")))
+    rows = _swept(offers.unionByName(pieces.select(F.lit(False).alias("open"), "size", "id")), few)
     lone = ~F.col("open") & (F.col("s") <= F.col("low"))
     level = rows.select("part", "at", "open", "size", "id", F.when(F.col("open"), F.col("s") + 1).otherwise(F.col("s")).alias("level"), lone.alias("lone"), (-F.col("low")).alias("rank"))
+    # A piece that takes none stands alone at the start of its depth, and before no piece of it.
     last = F.lag(F.col("id")).over(Window.partitionBy("level").orderBy("part", "at"))
-    taken = level.filter(~F.col("lone")).withColumn("sequence", last).filter(~F.col("open"))
-    left = level.filter("lone").withColumn("sequence", F.lit(None).cast("bigint"))
-    return shared_checkpoint(taken.unionByName(left.select(taken.columns)).select("id", "size", "sequence", "rank"))
+    return level.withColumn("sequence", F.when(~F.col("lone"), last)).filter(~F.col("open")).select("id", "size", "sequence", "rank")
 
 
-def _opened(pieces: DataFrame, longest: int, capacity: int) -> DataFrame:
+def _opened(pieces: DataFrame, longest: int, capacity: int, few: bool) -> DataFrame:
     """``(id, size, sequence)``: runs of pieces from the longest on, each run in a sequence of its own.
 
     Long pieces go as many to a sequence as fit of their length; of short ones
@@ -212,7 +224,7 @@ def _opened(pieces: DataFrame, longest: int, capacity: int) -> DataFrame:
     """
     long = 8 * longest > capacity
     if not long or "rank" not in pieces.columns:
-        pieces = _swept(pieces.select(F.lit(False).alias("open"), "size", "id")).withColumn("rank", -F.col("s"))
+        pieces = _swept(pieces.select(F.lit(False).alias("open"), "size", "id"), few).withColumn("rank", -F.col("s"))
     if long:
         rows = pieces.withColumn("fit", F.floor(F.lit(capacity) / F.col("size")))
         first = rows.groupBy("fit").agg(F.min("rank").alias("first"))  # a row for each count that fits, and these are at most twelve
@@ -220,39 +232,40 @@ def _opened(pieces: DataFrame, longest: int, capacity: int) -> DataFrame:
         rows = rows.join(F.broadcast(first), "fit")
     else:
         rows, run = pieces, F.floor(F.col("sum") / (capacity - longest + 1))
-    return shared_checkpoint(rows.select("id", "size", F.min("id").over(Window.partitionBy(run)).alias("sequence")))
+    return rows.select("id", "size", F.min("id").over(Window.partitionBy(run)).alias("sequence"))
 
 
 def placed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``(id, size, sequence)`` of ``pieces(id, size)``, whose ids are unique and sizes 1 to ``capacity``, in rounds of best fit."""
-    made, gaps = [], None
+    made: list[DataFrame] = []
     edges = sorted({0, *(capacity // b for b in BANDS)}, reverse=True)
     band = reduce(lambda c, low: F.when(F.col("size") > low, low).otherwise(c), reversed(edges), F.lit(0))
     # Two numbers for each band, whatever the corpus.
     held = {r["band"]: (r["many"], r["longest"]) for r in pieces.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("many"), F.max("size").alias("longest")).collect()}
+    sequences = filled = 0
+    none = F.col("sequence").isNull()
     for high, low in zip(edges, edges[1:], strict=False):
         left = pieces.filter(F.col("size").between(low + 1, high))
         many, longest = held.get(low, (0, 0))
         # Where the gaps that half a sequence leaves hold no two pieces of the band, another round finds nothing.
         rounds = ROUNDS if 2 * (low + 1) <= capacity // 2 else 1
         for turn in range(rounds + 1):
-            if turn:
-                many, longest = left.agg(F.count(F.lit(1)), F.max("size")).first()
             if not many:
                 break
-            if turn == rounds or gaps is None:
-                new = _opened(left, longest, capacity)
-                made.append(new)
-                room = new.groupBy("sequence").agg((capacity - F.sum("size")).alias("gap"))
-                gaps = room if gaps is None else gaps.unionByName(room)
-                gaps = shared_checkpoint(gaps.filter("gap > 0"))
-                break
-            found = _matched(left, gaps.filter(F.col("gap") > low), longest)
-            took, left = found.filter(F.col("sequence").isNotNull()).select("id", "size", "sequence"), found.filter(F.col("sequence").isNull()).select("id", "size", "rank")
-            made.append(took)
-            used = took.groupBy("sequence").agg(F.sum("size").alias("used"))
-            gaps = gaps.join(used, "sequence", "left").select("sequence", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap"))
-            gaps = shared_checkpoint(gaps.filter("gap > 0"))
+            if turn == rounds or not made:
+                rows, kept = _opened(left, longest, capacity, many <= FEW), ["id", "size", "sequence"]
+            else:
+                # Gaps are updated by what has been placed since: a sum over the tables of the rounds.
+                gaps = reduce(DataFrame.unionByName, made).groupBy("sequence").agg((capacity - F.sum("size")).alias("gap")).filter(F.col("gap") > low)
+                # A gap offers no more parts than the longest of the pieces fits into it.
+                few = many + sequences + (sequences * capacity - filled) // longest <= FEW
+                rows, kept = _matched(left, gaps, longest, few), ["id", "size", "sequence", "rank"]
+            # A sequence has the id of the piece that opened it.
+            counts = {"many": F.count_if(none), "longest": F.max(F.when(none, F.col("size"))), "opened": F.count_if(F.col("id") == F.col("sequence")), "filled": F.sum(F.when(~none, F.col("size")))}
+            rows, seen = _noted(rows.select(*kept), **counts)
+            made.append(rows.filter(~none).select("id", "size", "sequence"))
+            left, many, longest = rows.filter(none).drop("sequence"), seen["many"], seen["longest"]
+            sequences, filled = sequences + seen["opened"], filled + (seen["filled"] or 0)
     return reduce(DataFrame.unionByName, made) if made else pieces.select("id", "size", F.col("id").alias("sequence")).limit(0)
 
 
