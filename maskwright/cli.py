@@ -58,6 +58,9 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     try:
         stats = plans.statistics(done).first()
         print(f"{stats.blocks} blocks, {stats.non_empty_blocks} not blank, {stats.characters} characters, {stats.replacements} replacements")
+        if word:
+            for row in docx.scanned(files).filter("reason != 'kept'").groupBy("reason").agg(F.sum("runs").alias("n")).orderBy("reason").collect():  # a row for each reason
+                print(f"  not read, {row.reason}: {row.n} runs")
         for row in plans.by_label(done).orderBy(F.desc("n"), "label").collect():  # a row for each label
             print(f"  {row.label}: {row.n}")
         if a.mapping:
@@ -76,10 +79,18 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
                 changed = done.withColumn("new_runs", spans.splice_runs(F.col("runs"), F.col("landed")))
                 saved = docx.save(files, changed)
                 if out.endswith(".docx"):
-                    with open(out, "wb") as f:
-                        f.write(bytes(saved.first().content))  # the one file that was read
+                    (one,) = saved.collect()  # the one file that was read
+                    errors = [one] if one.error else []
+                    if not errors:
+                        with open(out, "wb") as f:
+                            f.write(bytes(one.content))
                 else:
                     saved.write.mode("overwrite").parquet(out)
+                    errors = spark.read.parquet(out).filter("error is not null").select("doc_id", "error").limit(20).collect()  # named, not counted
+                for row in errors:
+                    print(f"not written: {row.doc_id}: {row.error}", file=sys.stderr)
+                if errors:
+                    return 1
             else:
                 plans.joined_up(done).write.mode("overwrite").parquet(out)
     finally:

@@ -107,31 +107,56 @@ def _ratio(top: Column, below: Column) -> Column:
     return F.when(below > 0, top / below).otherwise(0.0)
 
 
-def counted(expected: DataFrame, predicted: DataFrame, typed: bool = True, strict: bool = False) -> DataFrame:
-    """``(label, covered, matched, false_positives, false_negatives)`` by label of the span that is counted."""
+def counted(expected: DataFrame, predicted: DataFrame, typed: bool = True, strict: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """``(label, covered, matched, false_positives, false_negatives)`` by label of the span that is counted, and by ``by`` (``set``)."""
+    keys = [*by, "label"]
+    n = lambda rows, name: rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
     if strict:
         pairs = paired(expected, predicted, typed)
-        covered = pairs.groupBy("label").agg(F.count(F.lit(1)).alias("covered"))
+        covered = n(pairs, "covered")
         hit = predicted.join(pairs.select(*KEY, F.col("p_ord").alias("ord")), [*KEY, "ord"], "left_semi")
     else:
-        covered = touched(expected, predicted, typed).groupBy("label").agg(F.count(F.lit(1)).alias("covered"))
+        covered = n(touched(expected, predicted, typed), "covered")
         hit = touched(predicted, expected, typed)
-    matched = hit.groupBy("label").agg(F.count(F.lit(1)).alias("matched"))
-    wanted = expected.groupBy("label").agg(F.count(F.lit(1)).alias("expected"))
-    given = predicted.groupBy("label").agg(F.count(F.lit(1)).alias("predicted"))
-    rows = wanted.join(given, "label", "full").join(covered, "label", "full").join(matched, "label", "full").na.fill(0)
-    return rows.select("label", "covered", "matched", (F.col("predicted") - F.col("matched")).alias("false_positives"), (F.col("expected") - F.col("covered")).alias("false_negatives"))
+    counts = ("expected", "predicted", "covered", "matched")
+    rows = reduce(lambda x, y: x.join(y, keys, "full"), (n(expected, "expected"), n(predicted, "predicted"), covered, n(hit, "matched"))).na.fill(0, list(counts))
+    return rows.select(*keys, "covered", "matched", (F.col("predicted") - F.col("matched")).alias("false_positives"), (F.col("expected") - F.col("covered")).alias("false_negatives"))
 
 
-def scored(counts: DataFrame) -> DataFrame:
+def scored(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Counts by label and in total (label ``ALL``), with precision, recall, F1 and accuracy; zero where undefined."""
     sums = [F.sum(c).alias(c) for c in ("covered", "matched", "false_positives", "false_negatives")]
-    rows = counts.rollup("label").agg(*sums).withColumn("label", F.coalesce("label", F.lit("ALL")))
+    if by:
+        rows = counts.unionByName(counts.groupBy(*by).agg(*sums).withColumn("label", F.lit("ALL")))
+    else:
+        rows = counts.rollup("label").agg(*sums).withColumn("label", F.coalesce("label", F.lit("ALL")))
     found, wanted = F.col("matched") + F.col("false_positives"), F.col("covered") + F.col("false_negatives")
     p, r = _ratio(F.col("matched"), found), _ratio(F.col("covered"), wanted)
     # Of all spans, annotated and predicted, those that something on the other side accounts for.
     measures = {"precision": p, "recall": r, "f1": _ratio(2 * p * r, p + r), "accuracy": _ratio(F.col("covered") + F.col("matched"), wanted + found)}
-    return rows.select("label", "covered", "matched", "false_positives", "false_negatives", *(F.round(m, 4).alias(k) for k, m in measures.items()))
+    return rows.select(*by, "label", "covered", "matched", "false_positives", "false_negatives", *(F.round(m, 4).alias(k) for k, m in measures.items()))
+
+
+def results(expected: DataFrame, predicted: DataFrame) -> DataFrame:
+    """``(set, json)``: one object for each set, with both scorings and what was missed or is spurious.
+
+    ``typed`` has counts and measures by label, ``overall`` and ``untyped`` the
+    measures over all labels, with labels that must agree and with any;
+    ``missed`` and ``false_positives`` list ``[block, label, text]`` of spans
+    with a column ``text``, in order. A set's errors meet in its row.
+    """
+    by = ("set",)
+    typed, untyped = (scored(counted(expected, predicted, t, by=by), by) for t in (True, False))
+    counts = F.struct("covered", "matched", F.col("false_positives").alias("fp"), F.col("false_negatives").alias("fn"), "precision", "recall", "f1")
+    measures = F.struct("precision", "recall", "f1", "accuracy")
+    named = typed.filter("label != 'ALL'").groupBy("set").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", counts.alias("counts"))))).alias("typed"))
+    whole = lambda rows, name: rows.filter("label = 'ALL'").select("set", measures.alias(name))
+    listed = lambda rows, name: rows.groupBy("set").agg(F.transform(F.array_sort(F.collect_list(F.struct("block_idx", "start", "label", "text"))), lambda x: F.array(x["block_idx"].cast("string"), x["label"], x["text"])).alias(name))
+    rows = named.join(whole(typed, "overall"), "set", "left").join(whole(untyped, "untyped"), "set", "left")
+    rows = rows.join(listed(untouched(expected, predicted, True), "missed"), "set", "left").join(listed(untouched(predicted, expected, True), "false_positives"), "set", "left")
+    none = F.expr("cast(array() as array<array<string>>)")
+    body = F.struct("typed", "overall", "untyped", F.coalesce("missed", none).alias("missed"), F.coalesce("false_positives", none).alias("false_positives"))
+    return rows.select("set", F.to_json(body).alias("json"))
 
 
 def invalid(annotations: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from maskwright.functions import checks, words
 from maskwright.functions.surrogates import CITIES, COMPANY_ENDS, COMPANY_NAMES, DOMAIN_ENDS, substitutes
 from maskwright.operators import entities, gazetteer, identity, policies, recognizers, scoring, spans
-from maskwright.plans import derived, redact
+from maskwright.plans import derived, redact, vocabulary
 from maskwright.plans.derived import dealt, read
-from maskwright.sources import docx
+from maskwright.sources import annotations, docx
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -581,3 +581,244 @@ def replacements_land(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(made).alias("made"))
     landed = each.select("id", F.inline_outer(spans.resolve_replacements(F.col("made"), F.lit(15)))).filter(F.col("start").isNotNull())
     return landed.select("id", "start", "end", F.col("text").alias("value"))
+
+
+@query(
+    f"""SELECT original, '[EMAIL_' || row_number() OVER (ORDER BY f) || ']' AS replacement
+    FROM (SELECT value AS original, min(CAST(id AS HUGEINT) * 100000000000000000 + CAST(block_idx AS HUGEINT) * 1000000000 + start) AS f FROM {MAILS} GROUP BY value)"""
+)
+def numbered_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers by first appearance over all documents: one group of any size."""
+    docs = dealt(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    blocks = redact.detected(redact.blocks_of(docs, scope="corpus"), ["email"])
+    return redact.mapping_of(blocks, "numbered").select("original", "replacement")
+
+
+#: People and addresses in an order of reading that mixes long and short names, with the words of each.
+READ = f"""(SELECT label, text, min(o) AS o, list_sort(list_distinct(string_split(replace(lower(CASE WHEN label = 'EMAIL' THEN split_part(text, '@', 1) ELSE text END), '.', ' '), ' '))) AS g
+    FROM (SELECT 'PERSON' AS label, name AS text, id * 7919 % 1000003 * 2 AS o FROM {derived.PEOPLE} UNION ALL SELECT 'EMAIL', mail, id * 7919 % 1000003 * 2 + 1 FROM {derived.PEOPLE}) GROUP BY label, text)"""
+
+
+@query(
+    f"""WITH RECURSIVE v AS (SELECT * FROM {READ}), s AS (SELECT g, min(o) AS t FROM v GROUP BY g),
+    up AS (SELECT a.g AS g, count(*) AS c, any_value(b.g) AS w FROM s a JOIN s b ON b.t < a.t AND len(b.g) > len(a.g) AND list_has_all(b.g, a.g) GROUP BY a.g),
+    down AS (SELECT a.g AS g, count(*) AS c, any_value(b.g) AS w FROM s a JOIN s b ON b.t < a.t AND len(b.g) < len(a.g) AND list_has_all(a.g, b.g) GROUP BY a.g),
+    p AS (SELECT s.g AS g, CASE WHEN up.c = 1 THEN up.w WHEN up.c IS NULL AND down.c = 1 THEN down.w END AS follows FROM s LEFT JOIN up ON up.g = s.g LEFT JOIN down ON down.g = s.g),
+    r AS (SELECT g, g AS root, follows FROM p UNION ALL SELECT r.g, p.g, p.follows FROM r JOIN p ON r.follows = p.g)
+    SELECT v.label AS label, v.text AS text, array_to_string(r.root, ' ') AS root FROM v JOIN r ON r.g = v.g WHERE r.follows IS NULL"""
+)
+def identities_in_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roots of people and addresses of the whole table as one scope, none of them known before."""
+    people = derived.people(spark, sf_dir)
+    place = (F.col("id") * 7919 % 1000003).alias("doc")
+    of = lambda label, text, start: people.select(F.lit("corpus").alias("scope"), F.lit(label).alias("label"), F.col(text).alias("text"), place, F.lit(0).alias("block_idx"), F.lit(start).alias("start"))
+    return identity.linked(policies.distinct_values(of("PERSON", "name", 0).unionByName(of("EMAIL", "mail", 1)))).select("label", "text", "root")
+
+
+@query(f"SELECT id AS doc, CAST(4 AS INT) AS start, upper(name) AS value FROM {derived.PEOPLE}")
+def gazetteer_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names of the whole table, looked for in all of its blocks by tries."""
+    people = derived.people(spark, sf_dir)
+    names = gazetteer.known_names(people.select(F.lit("corpus").alias("scope"), F.lit("PERSON").alias("label"), "name"))
+    text = F.concat(F.lit("met "), F.upper("name"), F.lit(" again, not "), F.substring_index("name", " ", 1))
+    blocks = people.select(F.lit("corpus").alias("scope"), F.col("id").alias("doc"), F.lit(0).alias("block_idx"), text.alias("text"))
+    return gazetteer.matched(blocks, names).select("doc", F.inline("found")).select("doc", "start", F.col("text").alias("value"))
+
+
+@query(
+    """WITH t AS (SELECT row_number() OVER () AS r, string_split_regex(text, '[ \n\t]+') AS l FROM documents WHERE text IS NOT NULL),
+    e AS (SELECT r, unnest(list_transform(l, lambda x, i: {'w': regexp_extract(x, '^([A-Za-z]{2,})[^A-Za-z]*$', 1), 'p': CASE WHEN i = 1 THEN '' ELSE l[i - 1] END})) AS k FROM t),
+    n AS (SELECT r, lower(k.w) AS word, bool_or(regexp_matches(k.w, '^[a-z]+$')) AS small, bool_or(regexp_matches(k.w, '^[A-Z][a-z]+$') AND regexp_matches(k.p, '[a-z,]$')) AS inside
+      FROM e WHERE k.w <> '' GROUP BY r, lower(k.w))
+    SELECT word, count(*) AS docs, count(*) FILTER (WHERE small) AS small, count(*) FILTER (WHERE inside) AS inside FROM n GROUP BY word"""
+)
+def word_case_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In how many documents each word stands, and how it is written: what jargon is learned from."""
+    return vocabulary.word_cases(dealt(read(spark, sf_dir, "documents").select("text")))
+
+
+@query()
+def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main job over whole documents: all recognizers, entities, two passes, believable substitutes."""
+    blocks, _ = redact.redact(dealt(read(spark, sf_dir, "documents").select("doc_id", "text")), "fake")
+    return redact.joined_up(blocks).withColumnRenamed("scope", "doc_id")
+
+
+#: Derived Word files with a run of each kind that the reader leaves out: how many of each, by the key.
+WORD_KINDS = (("kept", 1), ("content control", 2), ("insertion", 3), ("deletion", 2), ("text box", 3), ("smart tag", 2), ("field", 3))
+
+
+@query(
+    " UNION ALL ".join(f"SELECT CAST(s_suppkey AS VARCHAR) AS doc_id, '{kind}' AS reason, CAST(s_suppkey % {n} + 1 AS BIGINT) AS runs, CAST((s_suppkey % {n} + 1) * length(s_name) AS BIGINT) AS characters FROM supplier" for kind, n in WORD_KINDS)
+)
+def docx_skipped_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs that the reader of Word files leaves out, by reason, over files that have some of each kind."""
+    rows = dealt(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name")))
+    run = F.concat(F.lit("<w:r><w:t>"), "name", F.lit("</w:t></w:r>"))
+    some = lambda n: F.repeat(run, (F.col("k") % n + 1).cast("int"))
+    held = {"kept": "{}", "content control": "<w:sdt><w:sdtContent>{}</w:sdtContent></w:sdt>", "insertion": "<w:ins>{}</w:ins>", "deletion": "<w:del>{}</w:del>", "smart tag": "<w:smartTag>{}</w:smartTag>", "field": "<w:fldSimple>{}</w:fldSimple>"}
+    parts = []
+    for kind, n in WORD_KINDS:
+        if kind == "text box":
+            parts.append(F.concat(F.lit("<w:p><w:r><w:pict><w:txbxContent><w:p>"), some(n), F.lit("</w:p></w:txbxContent></w:pict></w:r></w:p>")))
+        else:
+            before, after = held[kind].split("{}")
+            parts.append(F.concat(F.lit(f"<w:p>{before}"), some(n), F.lit(f"{after}</w:p>")))
+    files = rows.select(F.col("k").cast("string").alias("doc_id"), F.concat(*parts).alias("body")).mapInArrow(docx.bodied, "doc_id string, content binary")
+    found = docx.scanned(files).groupBy("doc_id", "reason").agg(F.sum("runs").alias("runs"), F.sum("characters").alias("characters"))
+    # The run that holds a text box is one that is read.
+    return found.select("doc_id", "reason", (F.col("runs") - F.when(F.col("reason") == "kept", 1).otherwise(0)).alias("runs"), "characters")
+
+
+def _set_scores(typed: bool) -> str:
+    """Counts by set and label, as SQL."""
+    a, b = derived.sql_labelled(0), derived.sql_labelled(1)
+    same = "AND a.label = b.label" if typed else ""
+    touch = lambda x, y: f"SELECT grp, label, count(*) AS n FROM {x} a WHERE EXISTS (SELECT 1 FROM {y} b WHERE a.grp = b.grp AND a.block_idx = b.block_idx AND a.s < b.e AND b.s < a.e {same}) GROUP BY ALL"
+    return f"""(SELECT e.grp AS grp, e.label AS label, coalesce(c.n, 0) AS covered, coalesce(m.n, 0) AS matched, p.n - coalesce(m.n, 0) AS fp, e.n - coalesce(c.n, 0) AS fn
+      FROM (SELECT grp, label, count(*) AS n FROM {a} GROUP BY ALL) e JOIN (SELECT grp, label, count(*) AS n FROM {b} GROUP BY ALL) p USING (grp, label)
+      LEFT JOIN ({touch(a, b)}) c USING (grp, label) LEFT JOIN ({touch(b, a)}) m USING (grp, label))"""
+
+
+def _set_measures(counts: str, scoring_: str, label: str) -> str:
+    p, r = "sum(matched) / (sum(matched) + sum(fp))", "sum(covered) / (sum(covered) + sum(fn))"
+    return f"""SELECT grp AS "set", '{scoring_}' AS scoring, {label} AS label, round({p}, 4) AS "precision", round({r}, 4) AS recall, round(2 * ({p}) * ({r}) / (({p}) + ({r})), 4) AS f1 FROM {counts} GROUP BY ALL"""
+
+
+@query(f"{_set_measures(_set_scores(True), 'typed', 'label')} UNION ALL {_set_measures(_set_scores(True), 'overall', chr(39) * 2)} UNION ALL {_set_measures(_set_scores(False), 'untyped', chr(39) * 2)}")
+def nested_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result object of each set, read back from its JSON."""
+    spans_of = lambda shift: derived.labelled(spark, sf_dir, shift).withColumn("text", F.lit("x"))
+    measures = "precision: double, recall: double, f1: double"
+    kind = f"struct<typed: map<string, struct<{measures}>>, overall: struct<{measures}>, untyped: struct<{measures}>>"
+    rows = scoring.results(spans_of(0), spans_of(1)).select("set", F.from_json("json", kind).alias("j"))
+    typed = rows.select("set", F.lit("typed").alias("scoring"), F.explode("j.typed").alias("label", "m"))
+    whole = lambda name: rows.select("set", F.lit(name).alias("scoring"), F.lit("").alias("label"), F.col(f"j.{name}").alias("m"))
+    return typed.unionByName(whole("overall")).unionByName(whole("untyped")).select("set", "scoring", "label", "m.precision", "m.recall", "m.f1")
+
+
+@query(
+    f"""SELECT id, start, value, label FROM (SELECT id, CAST(length(text) - 10 AS INT) AS start, right(text, 10) AS value, 'DATE_OF_BIRTH' AS label, 0.9 AS score FROM {derived.DATES}
+      WHERE text LIKE 'Date of Birth%' OR text LIKE 'D.O.B.%' OR text LIKE 'was born on%') WHERE score >= 0.9"""
+)
+def minimum_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans that reach a score: dates of birth have 0.9, so that 0.9 keeps them and 0.95 would not."""
+    rows = derived.dates(spark, sf_dir)
+    blocks = rows.select(F.col("id").alias("scope"), F.lit(0).alias("block_idx"), "text")
+    kept = [redact.detections_of(redact.detected(blocks, ["dob", "email"], min_score=least)).withColumn("least", F.lit(least)) for least in (0.9, 0.95)]
+    return kept[0].unionByName(kept[1]).select(F.col("scope").alias("id"), "start", F.col("text").alias("value"), "label")
+
+
+@query("SELECT doc_id, CAST(i - 1 AS INT) AS block_idx FROM (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL) WHERE (i - 1) % 3 <> 0")
+def headers_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks without those of headers and footers; every third line stands in a header here."""
+    blocks = redact.blocks_of(read(spark, sf_dir, "documents").select("doc_id", "text").filter("text is not null"))
+    placed = blocks.withColumn("location", F.when(F.col("block_idx") % 3 == 0, "section[0]/header").otherwise("body"))
+    return redact.without_headers(placed).select(F.col("scope").alias("doc_id"), "block_idx")
+
+
+@query(f"SELECT id AS doc_id, block_idx, CAST(len(list_filter(regexp_extract_all(text, '{EMAIL}'), lambda m: length(m) % 2 = 0)) AS BIGINT) AS n_replacements FROM {LINES} WHERE regexp_matches(text, '{EMAIL}')")
+def no_op_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A substitute that equals its original replaces nothing: here those of addresses of odd length."""
+    blocks = mail_blocks(spark, sf_dir)
+    mapping = redact.mapping_of(blocks, "placeholder").withColumn("replacement", F.when(F.length("original") % 2 == 1, F.col("original")).otherwise(F.col("replacement")))
+    done = redact.replaced(blocks, mapping).filter(F.size("spans") > 0)
+    return done.select(F.col("scope").alias("doc_id"), "block_idx", F.size("landed").cast("bigint").alias("n_replacements"))
+
+
+NOTES = f"(SELECT CAST(scope AS VARCHAR) AS s, id, name FROM {derived.PEOPLE})"
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row like that of an annotation file for each scope: its people as blocks, with one item or two."""
+    people = derived.people(spark, sf_dir).select(F.col("scope").cast("string").alias("set"), F.col("id").cast("int").alias("block"), "name")
+    items = F.when(F.col("block") % 2 == 0, F.array(F.array(F.lit("PERSON"), "name"))).otherwise(F.array(F.array(F.lit("PERSON"), "name"), F.array(F.lit("LOCATION"), F.lit("Pune"))))
+    scope = F.struct((F.min("block") + 3).alias("first_block"), (F.max("block") - 3).alias("last_block"))
+    return people.groupBy("set").agg(scope.alias("scope"), F.collect_list(F.struct("block", items.alias("items"))).alias("annotations"))
+
+
+@query(
+    f"""SELECT s AS "set", CAST(id AS INT) AS block_idx, CAST(0 AS INT) AS ord, 'PERSON' AS label, name AS text FROM {NOTES}
+    UNION ALL SELECT s, CAST(id AS INT), CAST(1 AS INT), 'LOCATION', 'Pune' FROM {NOTES} WHERE id % 2 = 1"""
+)
+def annotation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values that annotation files list, one row each."""
+    return annotations.annotations(_files(spark, sf_dir))
+
+
+@query(
+    f"""SELECT s AS "set", CAST(id AS INT) AS block_idx FROM (SELECT *, min(id) OVER (PARTITION BY s) + 3 AS low, max(id) OVER (PARTITION BY s) - 3 AS high FROM {NOTES})
+    WHERE id BETWEEN low AND high AND id % 5 <> 0"""
+)
+def annotation_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks between the first and the last annotated one of their set, without the blank ones."""
+    people = derived.people(spark, sf_dir).select(F.col("scope").cast("string").alias("set"), F.col("id").cast("int").alias("block_idx"), "name")
+    blocks = people.select("set", "block_idx", F.when(F.col("block_idx") % 5 == 0, " \t").otherwise(F.col("name")).alias("text"))
+    return annotations.in_scope(blocks, _files(spark, sf_dir)).select("set", "block_idx")
+
+
+@query(f"SELECT DISTINCT '{{\"type\":\"EMAIL\",\"original\":\"' || value || '\",\"replacement\":\"[EMAIL]\"}}' AS value FROM {MAILS}")
+def mapping_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the mapping file."""
+    return annotations.mapping_json(redact.mapping_of(mail_blocks(spark, sf_dir), "placeholder").dropDuplicates(["label", "original"]))
+
+
+def _sql_full(root: str) -> tuple[str, str]:
+    return _sql_pick(root, "first", identity.FIRST), _sql_pick(root, "last", identity.LAST)
+
+
+@query(
+    f"""SELECT scope, signature, {_sql_full('signature')[0]} || ' ' || {_sql_full('signature')[1]} AS full, lower({_sql_full('signature')[0]} || '.' || {_sql_full('signature')[1]} || '@example.org') AS email
+    FROM (SELECT scope, array_to_string(g, ' ') AS signature FROM {SIGNATURES})"""
+)
+def identity_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The name and address of each identity, chosen by the seed of its words."""
+    known = identity.primed(derived.people(spark, sf_dir).select("scope", "name")).select("scope", F.array_join("signature", " ").alias("root"))
+    return identity.identities(known, "example.org").select("scope", F.col("root").alias("signature"), "full", "email")
+
+
+@query(f"SELECT scope, count(DISTINCT root) AS identities FROM {ROOTS} GROUP BY scope")
+def identity_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = derived.people(spark, sf_dir)
+    named = people.select("scope", F.lit("PERSON").alias("label"), F.col("name").alias("text"), F.lit(0).alias("block_idx"), F.col("id").cast("int").alias("start"))
+    return identity.how_many(identity.linked(policies.distinct_values(named), people.select("scope", "name")))
+
+
+@query(
+    f"""SELECT DISTINCT p.scope AS scope, 'PERSON' AS label, p.name AS original, {_sql_full("array_to_string(r.root, ' ')")[0]} || ' ' || {_sql_full("array_to_string(r.root, ' ')")[1]} AS replacement
+    FROM {derived.PEOPLE} p JOIN {ROOTS} r ON r.scope = p.scope AND r.g = list_sort(string_split(lower(p.name), ' '))
+    UNION ALL SELECT DISTINCT scope, 'PERSON', upper(name), upper({_sql_full("array_to_string(root, ' ')")[0]} || ' ' || {_sql_full("array_to_string(root, ' ')")[1]})
+      FROM (SELECT p.scope AS scope, p.name AS name, r.root AS root FROM {derived.PEOPLE} p JOIN {ROOTS} r ON r.scope = p.scope AND r.g = list_sort(string_split(lower(p.name), ' ')))
+    UNION ALL SELECT DISTINCT scope, 'ORGANIZATION', text, {_sql_cased('text', _sql_pick('text', 'company', COMPANY_NAMES) + " || ' ' || " + _sql_pick('text', 'end', COMPANY_ENDS))}
+      FROM (SELECT id // 40 AS scope, text FROM {FIRMS})"""
+)
+def fake_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole policy over people, in two spellings, and companies: one identity for both spellings, each in its own case."""
+    people = derived.people(spark, sf_dir)
+    named = lambda label, rows, text: rows.select("scope", F.lit(label).alias("label"), text.alias("text"), F.col("id").cast("int").alias("block_idx"), F.lit(0).alias("start"))
+    firms = _firms(spark, sf_dir).withColumn("scope", F.floor(F.col("id") / 40))
+    rows = named("PERSON", people, F.col("name")).unionByName(named("PERSON", people, F.upper("name"))).unionByName(named("ORGANIZATION", firms, F.col("text")))
+    return policies.fake()(policies.distinct_values(rows), people.select("scope", "name"))
+
+
+@query("SELECT o_orderkey AS id, CAST(6 AS INT) AS start, 'PO-' || lpad(CAST(o_orderkey % 1000000 AS VARCHAR), 6, '0') AS value, 'ORDER' AS label FROM orders WHERE o_orderkey % 2 = 0")
+def custom_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A kind of data of one's own, beside the built-in ones: order numbers whose last digit is even."""
+    registry = recognizers.Registry(recognizers.defaults())
+    registry.register(recognizers.Recognizer("order", "ORDER", 50, r"\bPO-\d{6}\b", guard="PO-", validate=lambda text, s: F.substring(s["text"], -1, 1).isin("0", "2", "4", "6", "8")))
+    text = F.concat(F.lit("order PO-"), F.lpad((F.col("o_orderkey") % 1000000).cast("string"), 6, "0"), F.lit(", sent"))
+    rows = dealt(read(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("id"), text.alias("text"))
+    found = recognizers.detect(F.col("text"), registry.build(["order", "email", "phone"]))
+    return rows.select("id", F.inline(found)).select("id", "start", F.col("text").alias("value"), "label")
+
+
+@query(f"SELECT id, 'mail |[EMAIL]|| end' AS runs, '[EMAIL], then ' || upper(name) AS tail FROM {derived.PEOPLE}")
+def runs_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A paragraph of several runs: new text goes to the first run that an address touches, the next keeps its tail."""
+    people = derived.people(spark, sf_dir)
+    runs = F.array(F.lit("mail "), F.substring("mail", 1, 4), F.expr("substring(mail, 5)"), F.lit(" end"))
+    rows = people.select("id", "name", F.array_join(runs, "").alias("text"), runs.alias("runs"), F.array(F.col("mail"), F.concat(F.lit(", then "), F.upper("name"))).alias("more"))
+    done = redact.with_placeholders(redact.detected(rows.withColumn("scope", F.col("id")).withColumn("block_idx", F.lit(0)), ["email"]))
+    again = redact.with_placeholders(redact.detected(rows.select("id", "more", F.array_join("more", "").alias("text"), F.col("id").alias("scope"), F.lit(0).alias("block_idx")), ["email"]))
+    tails = again.select("id", F.array_join(spans.splice_runs(F.col("more"), F.col("landed")), "").alias("tail"))
+    return done.select("id", F.array_join(spans.splice_runs(F.col("runs"), F.col("landed")), "|").alias("runs")).join(tails, "id")

@@ -10,6 +10,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
@@ -86,14 +87,121 @@ def walk(content: bytes) -> Iterator[tuple[str, str, int, list[str]]]:
                     yield where, part, number[id(p)], [run_text(r) for r in found]
 
 
+#: Bytes of a batch that goes back to Spark, about; a batch has a row at least.
+BATCH = 4 << 20
+#: What a file that is no Word file, or a broken one, raises.
+BROKEN = (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, NotImplementedError, EOFError, zlib.error)
+
+
+def batched(rows: Iterator[tuple[int, tuple]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches of rows ``(bytes, values)``, each bounded by BATCH."""
+    held, size = [], 0
+    for n, row in rows:
+        if held and size + n > BATCH:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held, size = [], 0
+        held.append(row)
+        size += n
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of batches, one at a time."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield tuple(c[k].as_py() for c in batch.columns)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [f.split()[0] for f in BLOCKS.split(", ")]
     kinds = [pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.string(), pa.int32()]
-    for batch in batches:
-        for doc, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            rows = [(doc, k, where, runs, part, p) for k, (where, part, p, runs) in enumerate(walk(content))]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    def rows() -> Iterator[tuple[int, tuple]]:
+        for doc, content in _cells(batches):
+            try:
+                # A file counts whole or not at all.
+                found = list(walk(content))
+            except BROKEN:
+                continue  # ``scanned`` and ``save`` name it
+            for k, (where, part, p, runs) in enumerate(found):
+                yield sum(map(len, runs)) + 100, (doc, k, where, runs, part, p)
+
+    yield from batched(rows(), pa.schema(list(zip(names, kinds, strict=True))))
+
+
+#: Where the reader does not look, by the element that holds a run, and how the report names it.
+SKIPPED = {
+    "sdt": "content control", "ins": "insertion", "moveTo": "insertion", "del": "deletion", "moveFrom": "deletion", "txbxContent": "text box",
+    "smartTag": "smart tag", "customXml": "custom xml", "fldSimple": "field", "ruby": "ruby", "object": "object",
+}
+#: Parts with text beside body, headers and footers.
+NOTES = {"word/footnotes.xml": "footnote", "word/endnotes.xml": "endnote", "word/comments.xml": "comment"}
+SCAN = "doc_id string, reason string, runs bigint, characters bigint, error string"
+INSIDE = frozenset(W + t for t in ("document", "body", "hdr", "ftr", "tbl", "tr", "tc", "p", "hyperlink"))
+
+
+def scan(content: bytes) -> dict[str, list[int]]:
+    """Runs and their characters by what becomes of them: ``kept``, or the reason why the reader leaves them out.
+
+    Parts are parsed as a stream of events with the path of open elements as
+    the only state, so a large part is never a tree.
+    """
+    found: dict[str, list[int]] = {}
+    kept = {part for _, part, _, _ in walk(content)} | {BODY}
+    with zipfile.ZipFile(io.BytesIO(content)) as package:
+        for name in package.namelist():
+            if not re.fullmatch(r"word/[^/]+\.xml", name) or not (name in kept or name in NOTES or re.match(r"word/(?:header|footer)", name)):
+                continue
+            path: list[str] = []
+            merged: list[bool] = []  # of each open cell whether it goes on from the row above
+            for event, element in ElementTree.iterparse(package.open(name), ("start", "end")):
+                tag = element.tag
+                if event == "start":
+                    path.append(tag)
+                    if tag == W + "tc":
+                        merged.append(False)
+                    continue
+                path.pop()
+                if tag == W + "vMerge" and merged and element.get(W + "val") != "restart":
+                    merged[-1] = True
+                elif tag == W + "r":
+                    holders = [t.removeprefix(W) for t in path if t not in INSIDE]
+                    reason = NOTES.get(name) or next((SKIPPED[t] for t in reversed(holders) if t in SKIPPED), None)
+                    reason = reason or ("merged cell" if any(merged) else "unused part" if name not in kept else "other" if holders else "kept")
+                    count = found.setdefault(reason, [0, 0])
+                    count[0] += 1
+                    count[1] += len(run_text(element)) or sum(len(t.text or "") for t in element.iter(W + "delText"))
+                if tag == W + "tc":
+                    merged.pop()
+                if tag == W + "p" and W + "p" not in path:
+                    element.clear()
+    return found
+
+
+def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("doc_id", pa.string()), ("reason", pa.string()), ("runs", pa.int64()), ("characters", pa.int64()), ("error", pa.string())])
+
+    def rows() -> Iterator[tuple[int, tuple]]:
+        for doc, content in _cells(batches):
+            try:
+                counts = scan(content)
+            except BROKEN as wrong:
+                yield 100, (doc, None, 0, 0, f"{type(wrong).__name__}: {wrong}")
+                continue
+            for reason, (n, characters) in sorted(counts.items()):
+                yield 100, (doc, reason, n, characters, None)
+
+    yield from batched(rows(), schema)
+
+
+def scanned(files: DataFrame) -> DataFrame:
+    """``(doc_id, reason, runs, characters, error)``: for each file the runs that ``blocks`` reads (``kept``) and those that it leaves out, by reason.
+
+    A file that cannot be read has one row with its error; one without a run
+    has none.
+    """
+    return files.select("doc_id", "content").mapInArrow(_scanned, SCAN)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
@@ -173,27 +281,50 @@ def written(content: bytes, edits: dict[str, dict[int, list[str]]]) -> bytes:
 
 
 def _saved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
+    def rows() -> Iterator[tuple[int, tuple]]:
+        for doc, content, listed in _cells(batches):
             edits: dict[str, dict[int, list[str]]] = {}
-            for e in row["edits"] or []:
+            for e in listed or []:
                 edits.setdefault(e["part"], {})[e["paragraph"]] = e["runs"]
-            yield pa.RecordBatch.from_arrays([pa.array([row["doc_id"]]), pa.array([written(row["content"], edits)], pa.binary())], ["doc_id", "content"])
+            try:
+                made, error = written(content, edits), None
+            except BROKEN as wrong:
+                made, error = None, f"{type(wrong).__name__}: {wrong}"
+            yield len(made or b""), (doc, made, error)
 
+    yield from batched(rows(), pa.schema([("doc_id", pa.string()), ("content", pa.binary()), ("error", pa.string())]))
 
-def packaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``(doc_id, text)`` as small Word files with a paragraph for each line."""
+
+def _packed(rows: Iterator[tuple[str, str]]) -> Iterator[pa.RecordBatch]:
+    """Small Word files of ``(doc_id, body)``."""
     head = f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="{W[1:-1]}"><w:body>'
-    for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+
+    def files() -> Iterator[tuple[int, tuple]]:
+        for doc, body in rows:
             made = io.BytesIO()
             with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as new:
-                lines = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(line)}</w:t></w:r></w:p>' for line in text.split("\n"))
-                new.writestr(BODY, f"{head}{lines}</w:body></w:document>")
-            yield pa.RecordBatch.from_arrays([pa.array([doc]), pa.array([made.getvalue()], pa.binary())], ["doc_id", "content"])
+                new.writestr(BODY, f"{head}{body}</w:body></w:document>")
+            yield made.tell(), (doc, made.getvalue())
+
+    yield from batched(files(), pa.schema([("doc_id", pa.string()), ("content", pa.binary())]))
+
+
+def packaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``(doc_id, text)`` as small Word files with a paragraph for each line."""
+    lines = lambda text: "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(line)}</w:t></w:r></w:p>' for line in text.split("\n"))
+    yield from _packed((doc, lines(text)) for doc, text in _cells(batches))
+
+
+def bodied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``(doc_id, body)``, the markup of a body, as small Word files."""
+    yield from _packed(_cells(batches))
 
 
 def save(files: DataFrame, redacted: DataFrame) -> DataFrame:
-    """``(doc_id, content)`` with the blocks' ``new_runs`` written in; blocks without a replacement are left alone."""
+    """``(doc_id, content, error)`` with the blocks' ``new_runs`` written in; blocks without a replacement are left alone.
+
+    A file that cannot be written, or in which an edit finds no place, has no
+    content but an error: the others go on, and nothing unredacted comes out.
+    """
     changed = redacted.filter(F.size("landed") > 0).groupBy(F.col("scope").alias("doc_id")).agg(F.collect_list(F.struct("part", "paragraph", F.col("new_runs").alias("runs"))).alias("edits"))
-    return files.join(changed, "doc_id", "left").select("doc_id", "content", "edits").mapInArrow(_saved, "doc_id string, content binary")
+    return files.join(changed, "doc_id", "left").select("doc_id", "content", "edits").mapInArrow(_saved, "doc_id string, content binary, error string")

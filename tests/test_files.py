@@ -208,3 +208,30 @@ def test_scores(spark, typed, strict):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-4) for k in want)
     text = annotations.as_json(scoring.scored(scoring.counted(a, b, typed, strict))).first().json
     assert {r["label"] for r in json.loads(text)} == got.keys()
+
+
+def test_runs_that_are_not_read_are_counted(spark):
+    body = BODY + paragraph("kept") + "<w:p><w:del><w:r><w:delText>gone</w:delText></w:r></w:del><w:ins><w:r><w:t>new</w:t></w:r></w:ins></w:p>"
+    notes = {**HEADER, "word/footnotes.xml": f"<w:footnotes {NS}><w:footnote>{paragraph('note')}</w:footnote></w:footnotes>", "word/header7.xml": f"<w:hdr {NS}>{paragraph('unlinked')}</w:hdr>"}
+    files = spark.createDataFrame([("a", bytearray(package(body, notes, RELS))), ("b", bytearray(b"no archive")), ("c", bytearray(package("<w:p>")))], "doc_id string, content binary")
+    rows = docx.scanned(files).collect()
+    counts = {r.reason: (r.runs, r.characters) for r in rows if r.doc_id == "a"}
+    read = docx.blocks(files).collect()
+    assert {r.scope for r in read} == {"a"} and counts["kept"] == (sum(len(r.runs) for r in read), sum(len(r.text) for r in read))
+    assert {k: v for k, v in counts.items() if k != "kept"} == {"content control": (1, 6), "deletion": (1, 4), "insertion": (1, 3), "merged cell": (1, 10), "footnote": (1, 4), "unused part": (1, 8)}
+    assert all(r.error and r.reason is None for r in rows if r.doc_id != "a") and {r.doc_id for r in rows} == {"a", "b", "c"}
+
+
+def test_a_file_that_cannot_be_written_is_an_error_row(spark):
+    files = spark.createDataFrame([("good", bytearray(package(paragraph("mail a@b.co")))), ("bad", bytearray(b"no archive"))], "doc_id string, content binary")
+    done = redact.with_placeholders(redact.detected(docx.blocks(files), ["email"])).withColumn("new_runs", spans.splice_runs(F.col("runs"), F.col("landed")))
+    got = {r.doc_id: r for r in docx.save(files, done).collect()}
+    assert got["bad"].content is None and "BadZipFile" in got["bad"].error and got["good"].error is None
+    assert b"[EMAIL]" in zipfile.ZipFile(io.BytesIO(bytes(got["good"].content))).read(docx.BODY)
+
+
+def test_batches_are_bounded_by_bytes():
+    import pyarrow as pa
+
+    sizes = [b.num_rows for b in docx.batched(((docx.BATCH // 3, (k,)) for k in range(10)), pa.schema([("k", pa.int64())]))]
+    assert sizes == [3, 3, 3, 1] and [b.num_rows for b in docx.batched(iter([(docx.BATCH * 2, (1,)), (1, (2,))]), pa.schema([("k", pa.int64())]))] == [1, 1]
