@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import checks, words
 from maskwright.functions.surrogates import CITIES, COMPANY_ENDS, COMPANY_NAMES, DOMAIN_ENDS, substitutes
-from maskwright.operators import entities, gazetteer, identity, policies, recognizers, scoring, spans
+from maskwright.operators import entities, gazetteer, identity, policies, recognizers, scoring, spans, tagger
 from maskwright.plans import derived, redact, vocabulary
 from maskwright.plans.derived import dealt, read
 from maskwright.sources import annotations, docx
@@ -822,3 +822,32 @@ def runs_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
     again = redact.with_placeholders(redact.detected(rows.select("id", "more", F.array_join("more", "").alias("text"), F.col("id").alias("scope"), F.lit(0).alias("block_idx")), ["email"]))
     tails = again.select("id", F.array_join(spans.splice_runs(F.col("more"), F.col("landed")), "").alias("tail"))
     return done.select("id", F.array_join(spans.splice_runs(F.col("runs"), F.col("landed")), "|").alias("runs")).join(tails, "id")
+
+
+TOWNS = ("Pune", "Nagpur", "Thane", "Surat", "Kochi")
+
+
+@query(
+    f"""SELECT label, count(*) AS expected, true AS complete, true AS precise FROM {derived.PEOPLE}, (SELECT unnest(['PERSON', 'ORGANIZATION', 'LOCATION']) AS label)
+    WHERE {LAST_NAME} = 'Shah' AND id % 4 <> 3 GROUP BY label"""
+)
+def tagger_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tagger that learns from people of other last names finds nine tenths of the people, companies and towns of this one, and three of four that it finds are right."""
+    people, k = derived.people(spark, sf_dir), F.col("id") % 4
+    firm, town = F.concat(F.substring_index("name", " ", -1), F.lit(" Works LLP")), derived.chosen(TOWNS, F.floor(F.col("id") / 4))
+    rows = people.select("id", "name", firm.alias("firm"), town.alias("town"))
+    text = (
+        F.when(k == 0, F.concat(F.lit("Signed by "), "name", F.lit(" of "), "firm", F.lit(" in "), "town", F.lit(".")))
+        .when(k == 1, F.concat("firm", F.lit(" paid "), "name", F.lit(", who lives in "), "town", F.lit(", on time.")))
+        .when(k == 2, F.concat(F.lit("Send it to "), "town", F.lit(" for "), "name", F.lit(" and "), "firm", F.lit(".")))
+        .otherwise(F.lit("Nothing was found in the Market Report."))
+    )
+    blocks = rows.select(F.lit("s").alias("set"), F.col("id").alias("block_idx"), text.alias("text"), F.endswith("name", F.lit(" Shah")).alias("unseen"))
+    each = F.array(*(F.struct(F.lit(n).alias("ord"), F.lit(label).alias("label"), F.col(c).alias("text")) for n, (label, c) in enumerate((("PERSON", "name"), ("ORGANIZATION", "firm"), ("LOCATION", "town")))))
+    noted = rows.filter(k != 3).select(F.lit("s").alias("set"), F.col("id").alias("block_idx"), F.endswith("name", F.lit(" Shah")).alias("unseen"), F.inline(each))
+    weights = tagger.trained(tagger.sentences(noted.filter("not unseen").drop("unseen"), blocks.filter("not unseen").drop("unseen")), epochs=12)
+    tests = blocks.filter("unseen").drop("unseen")
+    found = tests.select("set", "block_idx", F.posexplode(tagger.tagged(F.col("text"), spark.sparkContext.broadcast(weights))).alias("ord", "e")).select("set", "block_idx", "ord", "e.start", "e.end", "e.label")
+    expected = scoring.expected_spans(noted.filter("unseen").drop("unseen"), tests).select("set", "block_idx", "ord", "start", "end", "label")
+    scores = scoring.scored(scoring.counted(expected, found)).filter("label != 'ALL'")
+    return scores.select("label", (F.col("covered") + F.col("false_negatives")).alias("expected"), (F.col("recall") >= 0.9).alias("complete"), (F.col("precision") >= 0.75).alias("precise"))
