@@ -25,7 +25,8 @@ def word_cases(docs: DataFrame, text_col: str = "text") -> DataFrame:
     of = lambda test: F.array_distinct(F.transform(F.filter("found", test), lambda w: w["word"]))
     lists = docs.select(words.alias("found")).select(of(lambda w: F.lit(True)).alias("docs"), of(lambda w: w["small"]).alias("small"), of(lambda w: w["inside"]).alias("inside"))
     kinds = ("docs", "small", "inside")
-    each = F.concat(*(F.transform(F.coalesce(k, F.expr("cast(array() as array<string>)")), lambda w, k=k: F.struct(w.alias("word"), F.lit(k).alias("kind"))) for k in kinds))
+    marked = lambda kind: applied(f"transform(coalesce(a.ws, array()), w -> named_struct('word', w, 'kind', '{kind}'))", ws=F.col(kind))
+    each = F.concat(*map(marked, kinds))
     rows = lists.select(F.explode(each).alias("w")).select("w.word", "w.kind")
     return rows.groupBy("word").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in kinds))
 
