@@ -97,7 +97,7 @@ def _compared(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     made = lambda: pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], NAMES)
     for part in parts:
         for doc, text, guest in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
-            own = digest(text)
+            own = before[2] if before and before[1] == text else digest(text)
             if before:
                 (last, told, print_), cut = before, len(before[1]) // 4
                 edited = told[: len(told) - cut] + text[:cut]
@@ -111,37 +111,75 @@ def _compared(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield made()
 
 
+def _parts(placed: DataFrame, stats: list, share: int) -> DataFrame:
+    """Sections of one id with far more than their share of rows, cut into parts by the hash of the text.
+
+    Parts are even ranges of the hash; a hash with more rows than a share has
+    a part of its own, dealt by the partition that its rows come from: these
+    rows repeat id and text, so any of them may follow any other.
+    """
+    spark = placed.sparkSession
+    hot = {r["section"]: r["n"] for r in stats if r["low"] == r["high"] and r["n"] > 2 * share}
+    if not hot:
+        return placed.withColumns({"part": F.lit(0), "deal": F.lit(0)})
+    # More rows than a share each: no more hashes than there are shares.
+    repeated = placed.filter(F.col("section").isin(*hot)).groupBy("section", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > share).collect()
+    rows = []
+    for section, n in hot.items():
+        own = {r["h"]: -(-r["n"] // share) for r in repeated if r["section"] == section}
+        even = -(-n // share)
+        cuts = {(k << 64) // even - (1 << 63) for k in range(1, even)} | {h + d for h in own for d in (0, 1) if h + d < 1 << 63}
+        rows.append((section, sorted(cuts), own))
+    known = spark.createDataFrame(rows, "section int, cuts array<bigint>, own map<bigint, bigint>")
+    met = placed.join(F.broadcast(known), "section", "left")
+    part = F.when(F.col("cuts").isNull(), 0).otherwise(F.size(F.filter("cuts", lambda c: c <= F.col("h"))))
+    deal = F.pmod(F.spark_partition_id(), F.try_element_at("own", F.col("h"))).cast("int")
+    return met.withColumns({"part": part, "deal": F.coalesce(deal, F.lit(0))}).drop("cuts", "own")
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Digest of each text and of its edited text, whose end is the start of the next document.
 
-    The columns are those of ``RESULT``. The order is by id, nulls last, then by
-    text; the last row is followed by the first. A null text is empty. Repeated
-    rows follow one another. A table of one row compares it with itself; an
-    empty table gives an empty table. Texts under three bytes have no triplet.
-
-    Documents are dealt to sections of the id range, bounded by quantiles; each
-    section also gets, as a guest, the first document of the section after it,
-    so a single shuffle puts every text beside its successor.
+    The columns are those of ``RESULT``. Ids are cast to bigint; the order is by
+    id, nulls last, then by the XXH64 of the text; the last row is followed by
+    the first. A null text is empty. Repeated rows follow one another. A table
+    of one row compares it with itself; an empty table gives an empty table.
+    Texts under three bytes have no triplet. Other columns are not read.
+
+    Documents are dealt to sections of the id range, bounded by quantiles, and
+    an id with more than its share of rows to parts by the hash of the text;
+    each also gets, as a guest, the first document of the one after it, so a
+    single shuffle of the texts puts every text beside its successor. Ids beyond
+    53 bits that no double tells apart share a section.
     """
     spark = docs.sparkSession
-    slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
     many = 4 * spread(spark)
     ids = slim.select(F.col("doc_id").cast("double").alias("at"))
     cuts = ids.approxQuantile("at", [k / many for k in range(1, many)], 0.1 / many)
-    splits = [-math.inf, *sorted(set(cuts)), math.inf]
+    # An id that is a quantile twice has more than a share: it is a section of its own.
+    alone = {a + 1 for a, b in zip(cuts, cuts[1:], strict=False) if a == b}
+    splits = [-math.inf, *sorted({*cuts, *alone}), math.inf]
     splits = splits if len(splits) > 2 else [-math.inf, 0.0, math.inf]
     cutter = Bucketizer(splits=splits, inputCol="at", outputCol="section", handleInvalid="keep")
     placed = cutter.transform(slim.withColumn("at", F.col("doc_id").cast("double"))).drop("at").withColumn("section", F.coalesce(F.col("section").cast("int"), F.lit(len(splits))))
-    # One id for each section: as many as there are sections, whatever the corpus.
-    first = placed.groupBy("section").agg(F.min("doc_id").alias("low")).collect()
-    first = sorted(((r["section"], r["low"]) for r in first), key=lambda x: x[0])
-    if not first:
+    # One row for each section: as many as there are sections, whatever the corpus.
+    stats = placed.groupBy("section").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).collect()
+    if not stats:
         return spark.createDataFrame([], RESULT)
-    after = [(low, first[k - 1][0], section) for k, (section, low) in enumerate(first)]
-    heads = spark.createDataFrame(after, "low bigint, goes int, section int")
-    guests = placed.alias("p").join(F.broadcast(heads).alias("h"), (F.col("p.section") == F.col("h.section")) & F.col("p.doc_id").eqNullSafe(F.col("h.low")))
-    guests = guests.groupBy("goes").agg(F.min(F.struct("p.doc_id", "text")).alias("row"))
-    guests = guests.select("row.doc_id", "row.text", F.lit(True).alias("guest"), F.col("goes").alias("section"))
-    rows = placed.select("doc_id", "text", F.lit(False).alias("guest"), "section").unionAll(guests)
-    sections = rows.repartition(spread(spark), "section").sortWithinPartitions("section", "guest", F.asc_nulls_last("doc_id"), "text")
+    placed = _parts(placed, stats, max(1, sum(r["n"] for r in stats) // many))
+    hot = {r["section"] for r in stats if r["low"] == r["high"]}
+    first = [(r["section"], 0, 0, r["low"], None) for r in stats if r["section"] not in hot]
+    # Of sections of one id, one row for each of their parts.
+    first += [tuple(r) for r in placed.filter(F.col("section").isin(*hot)).groupBy("section", "part", "deal").agg(F.min("doc_id"), F.min("h")).collect()]
+    first.sort(key=lambda x: x[:3])
+    after = [(*own, k, (k - 1) % len(first)) for k, own in enumerate(first)]
+    heads = F.broadcast(spark.createDataFrame(after, "section int, part int, deal int, low bigint, low_h bigint, place int, goes int"))
+    met = placed.join(heads, ["section", "part", "deal"])
+    guests = met.filter(F.col("doc_id").eqNullSafe(F.col("low")) & (F.col("low_h").isNull() | (F.col("h") == F.col("low_h"))))
+    guests = guests.groupBy("goes").agg(F.min(F.struct("h", "text", "doc_id")).alias("row"))
+    guests = guests.select("row.doc_id", "row.text", "row.h", F.lit(True).alias("guest"), F.col("goes").alias("place"))
+    rows = met.select("doc_id", "text", "h", F.lit(False).alias("guest"), "place").unionAll(guests)
+    sections = rows.repartition(spread(spark), "place").sortWithinPartitions("place", "guest", F.asc_nulls_last("doc_id"), "h", "text")
     return sections.select("doc_id", "text", "guest").mapInArrow(_compared, RESULT)

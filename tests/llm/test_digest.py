@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from maskwright.llm import digest
 from tests.llm.cases import ROWS, awkward, empty
@@ -16,7 +17,10 @@ def plain_counts(data):
 
 
 def plain(rows):
-    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1].encode()))
+    return in_order(sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1].encode())))
+
+
+def in_order(rows):
     out = []
     for (i, t), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True):
         cut = len(t) // 4
@@ -55,3 +59,16 @@ def test_awkward_rows(spark):
     assert digest.fingerprints(empty(spark)).count() == 0
     one = digest.fingerprints(awkward(spark).filter("doc_id = 6")).collect()
     assert [tuple(r) for r in one] == plain([(6, "word")])
+
+
+@pytest.mark.parametrize("hot", [5, None])
+def test_an_id_with_most_rows_is_dealt_over_parts(spark, hot):
+    """Half of the rows have one id, and half of those one text; ties follow the hash of the text."""
+    rows = [(n, f"text {n} of many") for n in range(200)] + [(hot, f"another text {n} of many") for n in range(200)] + [(hot, "the same text again")] * 200
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(9)
+    hashes = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, hashes[r[1]]))
+    got = digest.fingerprints(docs)
+    assert sorted(map(tuple, got.collect()), key=str) == in_order(order)
+    tasks = got.filter("doc_id is null" if hot is None else f"doc_id = {hot}").groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 1 and max(r["count"] for r in tasks) < 350
