@@ -274,15 +274,13 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def only_first(docs: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``docs`` that ``first(first.doc_id, first.h)`` names by id and text hash; of exact repeats one.
 
-    Texts are shuffled once: the rows meet the named ones by a hash of both,
-    and repeats are numbered in the same partitioning.
+    Texts are shuffled once, by both, and met there. Before that, each task of
+    the scan leaves one of its repeats (a limit of the window), so a row that
+    makes up a third of the table is sent once by each task.
     """
-    key, hashed, of_id, of_hash, number = unused(docs.columns, 5)
-    id_ = F.col(f"`{id_col}`")
-    first = first.select(F.xxhash64("first.doc_id", "first.h").alias(key), F.col("first.doc_id").alias(of_id), F.col("first.h").alias(of_hash)).distinct()
-    marked = docs.withColumn(hashed, F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
-    marked = marked.withColumn(key, F.xxhash64(id_, F.col(hashed)))
-    kept = marked.join(first, key).filter(id_.eqNullSafe(F.col(of_id)) & (F.col(hashed) == F.col(of_hash)))
-    same = Window.partitionBy(key, of_id, of_hash).orderBy(key)
-    kept = kept.withColumn(number, F.row_number().over(same)).filter(F.col(number) == 1)
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+    key, number = unused(docs.columns, 2)
+    hashed = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    marked = docs.withColumn(key, F.struct(F.col(f"`{id_col}`").alias("doc_id"), hashed.alias("h")))
+    once = marked.withColumn(number, F.row_number().over(Window.partitionBy(key).orderBy(key))).filter(F.col(number) == 1)
+    named = first.select(F.struct(F.col("first.doc_id").alias("doc_id"), F.col("first.h").alias("h")).alias(key)).distinct()
+    return once.join(named, key, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
