@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -149,9 +150,23 @@ def _roots(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return root
 
 
+MEMBERS = "array<struct<key: bigint, fp: bigint>>"
 TREES = ("values", "keys", "roots", "edge", "kid")
 
 
+def _sharing(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``(shard, hot, members)`` with sorted members ``(key, fp)``: those whose key another one has; all of a part of a hot key."""
+    for part in parts:
+        for at in range(part.num_rows):
+            members = part.column(2)[at].values
+            keys = members.field("key").to_numpy()
+            same = keys[1:] == keys[:-1]
+            keep = np.r_[False, same] | np.r_[same, False] | part.column(1)[at].as_py()
+            if keep.any():
+                some = members.filter(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(at, 1), part.column(1).slice(at, 1), pa.ListArray.from_arrays([0, len(some)], some)], ["shard", "hot", "members"])
+
+
 def _planted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows ``(shard, members)`` with sorted members ``(key, fp)`` as rows of the table of trees."""
     for part in parts:
@@ -208,23 +223,32 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD, br
     They are a spanning forest of what meets in a shard, not all pairs of it: a
     group of m near copies gives at most m - 1 links a key and shard, and its
     components are exact. A key with more members than a shard has parts; a
-    member of part s searches the trees of its own and each later part.
+    member of part s searches the trees of its own and each later part. All
+    filed rows go to the shards, so what moves is in proportion to the count of
+    fingerprints; there, those that are alone with their key drop out.
     """
     if not 0 <= radius < 16:
         raise ValueError("radius must be from 0 to 15")
-    filed = distinct.select("fp", F.explode(_filed(radius, blocks_for(distinct.count(), radius))).alias("key"))
-    shared = filed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    parts = F.ceil(F.col("n") / F.lit(shard)).cast("int")
-    members = shared_checkpoint(salted_join(filed, shared.select("key", parts.alias("parts")), "key", F.col("fp")))
-    many = members.count()
-    # Keys below the size of a shard lie together in one of so many shards.
-    of = lambda part: F.when(F.col("parts") == 1, F.xxhash64(F.pmod(F.xxhash64("key", F.lit(2)), F.lit(many // shard + 1)))).otherwise(F.xxhash64("key", part, F.lit(3)))
+    count = distinct.count()
+    blocks = blocks_for(count, radius)
+    filed = distinct.select("fp", F.explode(_filed(radius, blocks)).alias("key"))
+    crowded = filed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shard)
+    hot = shared_checkpoint(crowded.select("key", F.ceil(F.col("n") / F.lit(shard)).cast("int").alias("parts")))
+    # A hot key has more than a shard of the filed rows, so there are few; only they are met, and all filed rows go on.
+    dealt = filed.join(F.broadcast(hot), "key", "left") if hot.count() <= broadcast else salted_join(filed, hot, "key", F.col("fp"), "left")
+    # The other keys lie together in one of so many shards.
+    shards = count * comb(blocks, radius) // shard + 1
+    of = lambda part: F.when(F.col("parts") == 1, F.xxhash64(F.pmod(F.xxhash64("key", F.lit(2)), F.lit(shards)))).otherwise(F.xxhash64("key", part, F.lit(3)))
     own = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")).cast("int")
-    placed = members.withColumn("own", own)
+    placed = dealt.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", own)
     each = F.sort_array(F.collect_list(F.struct("key", "fp")))
-    trees = placed.groupBy(of(F.col("own")).alias("shard")).agg(each.alias("members")).mapInArrow(_planted, ", ".join(["shard bigint", *(f"{x} binary" for x in TREES)]))
-    later = placed.select("key", "fp", "parts", "own", F.explode(F.sequence("own", F.col("parts") - 1)).alias("part"))
-    asked = later.groupBy(of(F.col("part")).alias("shard"), F.when(F.col("parts") > 1, F.col("own")).alias("from")).agg(each.alias("asked")).select("shard", "asked")
+    gathered = placed.groupBy(of(F.col("own")).alias("shard"), (F.col("parts") > 1).alias("hot")).agg(each.alias("members"))
+    gathered = shared_checkpoint(gathered.mapInArrow(_sharing, f"shard bigint, hot boolean, members {MEMBERS}"))
+    trees = gathered.select("shard", "members").mapInArrow(_planted, ", ".join(["shard bigint", *(f"{x} binary" for x in TREES)]))
+    later = placed.filter("parts > 1").select("key", "fp", "own", "parts", F.explode(F.sequence("own", F.col("parts") - 1)).alias("part"))
+    asked = later.groupBy(of(F.col("part")).alias("shard"), "own").agg(each.alias("asked")).select("shard", "asked")
+    asked = gathered.filter("not hot").select("shard", F.col("members").alias("asked")).unionAll(asked)
+    many = gathered.agg(F.sum(F.size("members"))).first()[0] or 0
     met = asked.join(F.broadcast(trees) if many <= broadcast else trees, "shard")
     return met.select("asked", *TREES).mapInArrow(_search(radius), "a bigint, b bigint").distinct()
 

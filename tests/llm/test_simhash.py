@@ -82,6 +82,20 @@ def test_links_of_dense_groups(spark, shard, broadcast):
     assert {frozenset(g) for g in got.values()} == {frozenset(g) for g in group.values()}
 
 
+def test_only_hot_keys_are_repeated(spark, monkeypatch):
+    """Two fingerprints that share a key by chance make no row of a join: what is met are keys with more members than a shard."""
+    rng, met = random.Random(13), []
+    values = [rng.getrandbits(63) for _ in range(100)]
+    values += [v ^ 0b1011111 for v in values] + [k << 20 for k in range(1, 40)]
+    prints = spark.createDataFrame([(v,) for v in values], "fp bigint")
+    join = simhash.salted_join
+    monkeypatch.setattr(simhash, "salted_join", lambda rows, few, *a, **b: met.append((rows.count(), few.count())) or join(rows, few, *a, **b))
+    root = {r.vertex: r.root for r in components(simhash.near_links(prints, shard=16, broadcast=0)).collect()}
+    ((filed, keys),) = met
+    assert filed == 15 * len(values) and 0 < keys <= filed / 16
+    assert len({root.get(v, v) for v in values}) == len(plain_classes(values, 4))
+
+
 def plain_classes(values, radius):
     groups = []
     for v in values:
