@@ -34,7 +34,7 @@ def sound(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, Jaccard 0.8): that with the smallest id, a null id last."""
+    """One document of each group of near duplicates (SimHash groups and MinHash bands of five-word shingles, exact Jaccard 0.8): that with the smallest id, a null id last."""
     return jaccard.keep_distinct(docs)
 
 

@@ -1,11 +1,15 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles, for the pipeline.
+"""Near-duplicates by SimHash and exact Jaccard similarity of word shingles, for the pipeline.
 
-MinHash bands only propose: each distinct set of shingles is filed under BANDS
+Each distinct set of shingles has a SimHash, and BK-trees over shards of bit
+blocks join the fingerprints within RADIUS bits to groups (``simhash``). Most
+pairs at the threshold are further apart than any radius that such trees can
+search at size, so MinHash bands propose the rest: a set is filed under BANDS
 keys of WIDTH minima, and a pair at the threshold misses every band once in
-10,000 times ((1 - 0.8 ** 5) ** 24). Sets that share a key are then compared
-shingle by shingle, and only a similarity that reaches the threshold links
-them. Keys with the same members ask once; a key that too many share is dealt
-over pairs of sub-shards, so no link is lost and no task holds a whole hot key.
+10,000 times ((1 - 0.8 ** 5) ** 24); bands whose members are all in one SimHash
+group have nothing to add. Sets of a group or a band are then compared shingle
+by shingle, and only a similarity that reaches the threshold links them. Keys
+with the same members ask once; a key that too many share is dealt over pairs
+of sub-shards, so no link is lost and no task holds a whole hot key.
 """
 
 from __future__ import annotations
@@ -18,11 +22,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import salted_join, shared_checkpoint, spread, texts
+from maskwright.llm.common import group_join, salted_join, shared_checkpoint, spread, texts
 from maskwright.llm.components import components
-from maskwright.llm.simhash import _roots, only_first
+from maskwright.llm.simhash import _roots, classes, folded, only_first
 
 SHINGLE, LEAST = 5, 0.8
+#: Bits that two fingerprints of a SimHash link may differ in.
+RADIUS = 5
 BANDS, WIDTH = 24, 5
 SHARD = 256
 #: Rows of a batch, and shingles whose minima are taken at a time.
@@ -62,7 +68,7 @@ def _filed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = part.slice(at, ROWS)
             sets = [shingles(t) for t in texts(rows.column(2))]
             sids = pa.array([_signed(xxhash.xxh64_intdigest(s.tobytes())) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), sids, pa.array(map(_bands, sets), pa.list_(pa.int64()))], ["doc_id", "h", "sid", "keys"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), sids, pa.array([_signed(folded(s)) for s in sets], pa.int64()), pa.array(map(_bands, sets), pa.list_(pa.int64()))], ["doc_id", "h", "sid", "fp", "keys"])
 
 
 def _sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,10 +125,28 @@ def _compare(least: float):
     return run
 
 
+def _grouped(sets: DataFrame, radius: int) -> DataFrame:
+    """``(sid, keys, group)``: the sets that have shingles, by SimHash groups; the last key of a set is that of its group."""
+    prints = sets.filter(F.size("keys") > 0).select(F.col("sid").alias("doc_id"), "fp")
+    named = group_join(prints, classes(prints, radius), "fp", "size").select(F.col("doc_id").alias("sid"), F.col("component_id").alias("group"))
+    return sets.select("sid", "keys").join(named, "sid").select("sid", F.concat("keys", F.array(_group_key("group"))).alias("keys"), "group")
+
+
+def _group_key(group: str) -> Column:
+    return F.xxhash64(group, F.lit("simhash"))
+
+
 def _members(slim: DataFrame, size: int) -> DataFrame:
-    """``(key, sid, hub, parts, own)``: the sets that share a key, its hub, its sub-shards and the one each set is in."""
-    filed = slim.select("sid", F.explode("keys").alias("key")).distinct()
-    shared = filed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("members"), F.min("sid").alias("hub")).filter("n > 1")
+    """``(key, sid, hub, parts, own)``: the sets that share a key, its hub, its sub-shards and the one each set is in.
+
+    A key whose sets are all in one SimHash group (column ``group``, if there
+    is one) is left out, unless it is the key of that group: all its pairs meet there.
+    """
+    group = F.col("group" if "group" in slim.columns else "sid")
+    filed = slim.select("sid", group.alias("group"), F.explode("keys").alias("key")).distinct()
+    each = F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("members"), F.min("sid").alias("hub"), F.min("group").alias("low"), F.max("group").alias("high")
+    shared = filed.groupBy("key").agg(*each).filter((F.col("n") > 1) & ((F.col("low") != F.col("high")) | (F.col("key") == _group_key("low"))))
+    filed = filed.drop("group")
     shared = shared.groupBy("n", "members", "hub").agg(F.min("key").alias("key"))
     parts = F.ceil(F.col("n") / F.lit(size)).cast("int").alias("parts")
     return salted_join(filed, shared.select("key", "hub", parts), "key", F.col("sid")).withColumn("own", _dealt("sid", "parts"))
@@ -169,11 +193,12 @@ def _links(rows: DataFrame, first: DataFrame, members: DataFrame, least: float,
     return links.unionAll(compared(_other_shards(with_sets(shared_checkpoint(some)))).select("a", "b")).distinct()
 
 
-def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, shard: int = SHARD) -> DataFrame:
+def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, shard: int = SHARD, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs``, all columns, with one row left of each group of near duplicates.
 
     Groups are the components over pairs whose sets of five-word shingles have
-    a Jaccard similarity of at least ``least``. The row with the smallest id
+    a Jaccard similarity of at least ``least``, proposed by SimHash groups
+    (links of at most ``radius`` bits) and by MinHash bands. The row with the smallest id
     stays, a null id last. Texts without words, nulls among them, are copies of
     each other. Of rows that repeat id and text one stays; an empty table stays
     empty; columns of any name, and nulls in them, are carried along.
@@ -181,10 +206,10 @@ def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("t"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    slim = shared_checkpoint(rows.mapInArrow(_filed, f"doc_id {kind}, h bigint, sid bigint, keys array<bigint>"))
-    first = slim.groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "h")).alias("first"))
-    first = shared_checkpoint(first)
-    members = shared_checkpoint(_members(slim, shard))
+    slim = rows.mapInArrow(_filed, f"doc_id {kind}, h bigint, sid bigint, fp bigint, keys array<bigint>")
+    smallest = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "h")).alias("first")
+    first = shared_checkpoint(slim.groupBy("sid").agg(smallest, F.min("fp").alias("fp"), F.min("keys").alias("keys")))
+    members = shared_checkpoint(_members(_grouped(first, radius), shard))
     roots = components(_links(rows, first, members, least, shard))
     named = first.join(roots, F.col("sid") == F.col("vertex"), "left").groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min("first").alias("first"))
     return only_first(docs, named.select("first"), id_col, text_col)

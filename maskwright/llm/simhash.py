@@ -48,8 +48,21 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
     for at in range(0, many, CHUNK):
         part = words[at : at + CHUNK + size - 1]
         hashed = map(xxhash.xxh64_intdigest, map(b" ".join, zip(*(part[k:] for k in range(size)), strict=False)), _seeds())
-        grid = np.fromiter(hashed, dtype="<u8", count=len(part) - size + 1).view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(grid, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += _ones(np.fromiter(hashed, dtype="<u8", count=len(part) - size + 1))
+    return _majority(ones, many)
+
+
+def folded(hashes: np.ndarray) -> int:
+    """64-bit SimHash of the hashes of shingles; 0 of none."""
+    return _majority(sum((_ones(hashes[at : at + CHUNK]) for at in range(0, len(hashes), CHUNK)), np.zeros(64, np.int64)), len(hashes))
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    grid = hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)
+    return np.unpackbits(grid, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _majority(ones: np.ndarray, many: int) -> int:
     return int(np.packbits(2 * ones > many, bitorder="little").view("<u8")[0])
 
 

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from maskwright.llm import jaccard
@@ -68,6 +69,58 @@ def test_the_stage_drops_near_copies_that_simhash_keeps(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.distinct(spark, docs, "").collect()) == [2 * k for k in range(20)]
 
 
+def components_of(n, near):
+    """The sets of indexes that all pairs for which ``near`` holds connect."""
+    groups = []
+    for k in range(n):
+        met = [g for g in groups if any(near(k, j) for j in g)]
+        groups = [g for g in groups if g not in met] + [set().union({k}, *met)]
+    return groups
+
+
+def plain_print(words):
+    hashes = [xxhash.xxh64_intdigest(" ".join(g)) for g in grams(words)]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+@pytest.mark.parametrize("shard", [3, 256])
+def test_simhash_groups_propose_and_jaccard_decides(spark, monkeypatch, shard):
+    """Without any band, sets of one group of fingerprints within five bits are linked if they are similar, and no others."""
+    rows, seen = edited(random.Random(3)), []
+    words = [f"w{k}" for k in range(20)]
+    rows += [(1000, " ".join(words)), (1001, " ".join(words[:16] + ["a8", "b8", "c8"]))]
+    texts = [t for _, t in rows]
+    prints, sets, members = [plain_print(t) for t in texts], [grams(t) for t in texts], jaccard._members
+
+    def similar(a, b):
+        return len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+
+    def without_bands(slim, size):
+        seen.extend(slim.select("sid", "group").collect())
+        return members(slim.withColumn("keys", F.slice("keys", -1, 1)), size)
+
+    monkeypatch.setattr(jaccard, "_members", without_bands)
+    kept = sorted(r.doc_id for r in jaccard.keep_distinct(spark.createDataFrame(rows, "doc_id bigint, text string"), shard=shard).collect())
+    groups = components_of(len(rows), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 5)
+    sizes = {}
+    for r in seen:
+        sizes[r.group] = sizes.get(r.group, 0) + 1
+    assert sorted(sizes.values()) == sorted(len({frozenset(sets[k]) for k in g}) for g in groups)
+    same = {k: n for n, g in enumerate(groups) for k in g}
+    assert kept == sorted(min(rows[k][0] for k in g) for g in components_of(len(rows), lambda a, b: same[a] == same[b] and similar(a, b)))
+    assert len(kept) < len(rows) and any(not similar(a, b) for g in groups for a in g for b in g)
+
+
+def test_a_band_within_one_simhash_group_asks_nothing(spark):
+    sets = [(1, [10, 11, jaccard_key(spark, 1)], 1), (2, [10, 11, jaccard_key(spark, 1)], 1), (3, [11, jaccard_key(spark, 3)], 3)]
+    got = jaccard._members(spark.createDataFrame(sets, "sid bigint, keys array<bigint>, group bigint"), 256).collect()
+    assert sorted((r.key, r.sid) for r in got) == sorted([(11, 1), (11, 2), (11, 3), (sets[0][1][2], 1), (sets[0][1][2], 2)])
+
+
+def jaccard_key(spark, group):
+    return spark.createDataFrame([(group,)], "g bigint").select(jaccard._group_key("g")).first()[0]
+
+
 def test_near_copies_cost_in_proportion_to_their_number(spark, monkeypatch):
     """Members of a group that all resemble their hub are in one sub-shard each; none goes on."""
     rng, sent = random.Random(7), []
