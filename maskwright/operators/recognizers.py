@@ -43,7 +43,10 @@ class Recognizer:
     ``context``, if there is one, must match in the ``window`` characters before
     a match. ``guard`` is a cheap test that any text with a match passes. A
     span that a validator gets has the last character before it that is no
-    white space in ``before``, if ``looks_back`` asks for it.
+    white space in ``before``, if ``looks_back`` asks for it. ``void`` names
+    groups of the pattern that are empty in a match that is kept: a group that
+    holds a neighbour rejects a match, which stays consumed, where a pattern
+    that looks around would try another length or place.
     """
 
     name: str
@@ -57,11 +60,15 @@ class Recognizer:
     context: str | None = None
     window: int = 50
     looks_back: bool = False
+    void: tuple[int, ...] = ()
 
     def find(self, text: Column, position: int = 0) -> Column:
         """Array of spans of one recognizer."""
         found = F.when(text.rlike(self.guard or self.pattern), arrays.matches(text, self.pattern, before="before" if self.looks_back else None))
         order = arrays.applied("transform(a.found, (s, k) -> named_struct('start', s.start, 'end', s.end, 'text', s.text, 'n', k%s))" % (", 'before', s.before" if self.looks_back else ""), found=found)
+        if self.void:
+            groups = {f"g{g}": F.when(text.rlike(self.guard or self.pattern), F.regexp_extract_all(text, F.lit(self.pattern), F.lit(g))) for g in self.void}
+            order = arrays.applied(f"filter(a.found, s -> {' and '.join(f"a.{g}[s.n] = ''" for g in groups)})", found=order, **groups)
         if self.context:
             unjudged = order
             order = F.when(F.size(unjudged) > 0, arrays.let(arrays.stretches(text), lambda parts: F.filter(unjudged, lambda s: self._cued(parts, s))))
