@@ -138,12 +138,14 @@ def scored(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def results(expected: DataFrame, predicted: DataFrame) -> DataFrame:
-    """``(set, json)``: one object for each set, with both scorings and what was missed or is spurious.
-
-    ``typed`` has counts and measures by label, ``overall`` and ``untyped`` the
-    measures over all labels, with labels that must agree and with any;
-    ``missed`` and ``false_positives`` list ``[block, label, text]`` of spans
-    with a column ``text``, in order. A set's errors meet in its row.
+    """``(set, part, block_idx, start, json)``: the result object of each set, its measures in one row and each error in a row of its own.
+
+    The row of part ``measures`` has ``typed``, counts and measures by label,
+    and ``overall`` and ``untyped``, the measures over all labels, with labels
+    that must agree and with any; its place is null. The rows of ``missed`` and
+    ``false_positives`` are the items ``[block, label, text]`` of these lists,
+    from spans with a column ``text``; place, then label and text order them. A
+    set can have most spans of a corpus as errors, so they never meet in a row.
     """
     by = ("set",)
     typed, untyped = (scored(counted(expected, predicted, t, by=by), by) for t in (True, False))
@@ -151,12 +153,13 @@ def results(expected: DataFrame, predicted: DataFrame) -> DataFrame:
     measures = F.struct("precision", "recall", "f1", "accuracy")
     named = typed.filter("label != 'ALL'").groupBy("set").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", counts.alias("counts"))))).alias("typed"))
     whole = lambda rows, name: rows.filter("label = 'ALL'").select("set", measures.alias(name))
-    listed = lambda rows, name: rows.groupBy("set").agg(F.transform(F.array_sort(F.collect_list(F.struct("block_idx", "start", "label", "text"))), lambda x: F.array(x["block_idx"].cast("string"), x["label"], x["text"])).alias(name))
     rows = named.join(whole(typed, "overall"), "set", "left").join(whole(untyped, "untyped"), "set", "left")
-    rows = rows.join(listed(untouched(expected, predicted, True), "missed"), "set", "left").join(listed(untouched(predicted, expected, True), "false_positives"), "set", "left")
-    none = F.expr("cast(array() as array<array<string>>)")
-    body = F.struct("typed", "overall", "untyped", F.coalesce("missed", none).alias("missed"), F.coalesce("false_positives", none).alias("false_positives"))
-    return rows.select("set", F.to_json(body).alias("json"))
+    item = F.array(F.col("block_idx").cast("string"), "label", "text")
+    errors = lambda a, b, name: untouched(a, b, True).select("set", F.lit(name).alias("part"), "block_idx", "start", F.to_json(item).alias("json"))
+    missed, spurious = errors(expected, predicted, "missed"), errors(predicted, expected, "false_positives")
+    place = [F.lit(None).cast(missed.schema[c].dataType).alias(c) for c in ("block_idx", "start")]
+    heads = rows.select("set", F.lit("measures").alias("part"), *place, F.to_json(F.struct("typed", "overall", "untyped")).alias("json"))
+    return heads.unionByName(missed).unionByName(spurious)
 
 
 def invalid(annotations: DataFrame, blocks: DataFrame) -> DataFrame:
