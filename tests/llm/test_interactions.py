@@ -87,3 +87,14 @@ def test_small_tables(spark, n):
     docs = spark.createDataFrame([(1, "x", "s", "p", 1)][:n], DOCS)
     rows = interactions.audited(docs, spark.createDataFrame([], LABELS)).collect()
     assert len(rows) == 600 * n
+
+
+def test_labels_are_not_broadcast(spark, tmp_path):
+    """Not even where their file is small: they are repeated for the join."""
+    docs = spark.createDataFrame([(k, "word " * 60, "web") for k in range(20)], "doc_id bigint, text string, source string")
+    spark.createDataFrame([(k, 1, k % 2) for k in range(20)], LABELS).write.parquet(f"{tmp_path}/labels")
+    counted = interactions.cells(docs, spark.read.parquet(f"{tmp_path}/labels"))
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    (joined,) = [line for line in plan.splitlines() if "LeftOuter" in line]
+    assert "SortMergeJoin" in joined
+    assert tuple(counted.selectExpr("sum(n)", "sum(good)", "sum(toxic)").first()) == (20, 20, 10)
