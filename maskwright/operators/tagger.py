@@ -107,28 +107,37 @@ def gold(sentence: list[tuple[int, int]], entities: list[dict]) -> list[int]:
 
 
 def _learned(batches: Iterator[pa.RecordBatch], start: Broadcast) -> Iterator[pa.RecordBatch]:
-    """One pass over a partition: what its weights, and their mean over its steps, differ by from those it began with."""
+    """One pass over a partition: what its weights, and their mean over its steps, differ by from those it began with.
+
+    The copies of a text follow one another; once one of them changes nothing,
+    nor do the others, and they only count as steps.
+    """
     begun: Weights = start.value
     now, total, n = Weights(begun.of.copy(), begun.after.copy()), Weights.none(), 1
     for batch in batches:
         for row in batch.to_pylist():
-            text = row["text"] or ""
-            for sentence in tokens(text):
-                rows, want = features(text, sentence), gold(sentence, row["entities"] or [])
-                got = best(now, rows)
-                if got != want:
-                    before_w, before_g = len(TAGS), len(TAGS)
-                    for k, (w, g) in enumerate(zip(want, got, strict=True)):
-                        if w != g:
-                            for of, c in ((now, 1), (total, n)):
-                                np.add.at(of.of, (rows[k], w), c)
-                                np.add.at(of.of, (rows[k], g), -c)
-                        if (before_w, w) != (before_g, g):
-                            for of, c in ((now, 1), (total, n)):
-                                of.after[before_w, w] += c
-                                of.after[before_g, g] -= c
-                        before_w, before_g = w, g
-                n += 1
+            text, left = row["text"] or "", row["copies"]
+            while left:
+                left, first, same = left - 1, n, True
+                for sentence in tokens(text):
+                    rows, want = features(text, sentence), gold(sentence, row["entities"] or [])
+                    got = best(now, rows)
+                    if got != want:
+                        same = False
+                        before_w, before_g = len(TAGS), len(TAGS)
+                        for k, (w, g) in enumerate(zip(want, got, strict=True)):
+                            if w != g:
+                                for of, c in ((now, 1), (total, n)):
+                                    np.add.at(of.of, (rows[k], w), c)
+                                    np.add.at(of.of, (rows[k], g), -c)
+                            if (before_w, w) != (before_g, g):
+                                for of, c in ((now, 1), (total, n)):
+                                    of.after[before_w, w] += c
+                                    of.after[before_g, g] -= c
+                            before_w, before_g = w, g
+                    n += 1
+                if same:
+                    left, n = 0, n + left * (n - first)
     # The mean over all steps is the last state less what each change came too late by.
     for kind, last, late, first in (("of", now.of, total.of, begun.of), ("after", now.after, total.after, begun.after)):
         moved = np.flatnonzero((last != first) | (late != 0))
@@ -149,16 +158,17 @@ def trained(examples: DataFrame, epochs: int = EPOCHS) -> Weights:
 
     Texts are dealt to partitions and ordered within them by their hash, anew
     in each epoch, so the weights depend on the texts and the number of
-    partitions alone. A partition's changes are a row for each weight that it
+    partitions alone. Equal examples would follow one another in a partition
+    and are one row with their number. A partition's changes are a row for each weight that it
     moved, FEATURES times the number of tags at most, and their sums are as
     many. Null texts teach nothing.
     """
     spark, parts = examples.sparkSession, spread(examples.sparkSession)
-    rows = shared_checkpoint(examples.select("text", "entities").filter("text is not null"))
+    rows = shared_checkpoint(examples.filter("text is not null").groupBy("text", "entities").agg(F.count(F.lit(1)).alias("copies")))
     weights, means = Weights.none(), []
     for epoch in range(epochs):
         order = F.xxhash64(F.lit(epoch), "text")
-        dealt = rows.repartition(parts, order).sortWithinPartitions(order, "text")
+        dealt = rows.repartition(parts, order).sortWithinPartitions(order, "text", "entities")
         start = spark.sparkContext.broadcast(weights)
         moved = dealt.mapInArrow(lambda batches, start=start: _learned(batches, start), "kind string, at bigint, change double, mean double")
         mixed = moved.groupBy("kind", "at").agg((F.sum("change") / parts).alias("change"), (F.sum("mean") / parts).alias("mean")).toArrow()
@@ -198,6 +208,8 @@ def tagged(text: Column, weights: Broadcast) -> Column:
     @F.arrow_udf(ENTITIES)
     def of(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in column:
-            yield pa.array([entities_of(t or "", weights.value) for t in part.to_pylist()], kind)
+            listed = part.to_pylist()
+            each = {t: entities_of(t or "", weights.value) for t in set(listed)}
+            yield pa.array([each[t] for t in listed], kind)
 
     return of(text)

@@ -4,6 +4,7 @@ import random
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 
 from maskwright.operators import tagger
 from maskwright.plans import redact
@@ -70,3 +71,19 @@ def test_sentences_from_annotations(spark):
     blocks = spark.createDataFrame([("s", 1, "By Ann Lee, a@b.co"), ("s", 2, "Nothing")], "set string, block_idx int, text string")
     got = {r.text: [tuple(e) for e in r.entities] for r in tagger.sentences(notes, blocks).collect()}
     assert got == {"By Ann Lee, a@b.co": [(3, 10, "PERSON")], "Nothing": []}
+
+
+class Given:
+    value = tagger.Weights.none()
+
+
+def test_copies_of_a_text_teach_as_often_as_they_stand_and_cost_little(monkeypatch):
+    rng, calls, best = random.Random(4), [], tagger.best
+    examples = [{"text": t, "entities": e} for t, e in (written(rng, SEEN, TOWNS[0]) for _ in range(30))]
+    examples.append({"text": "Ann Lee left. Bob Rao, of Pune, did not.", "entities": [{"start": 0, "end": 7, "label": "PERSON"}]})
+    monkeypatch.setattr(tagger, "best", lambda *a: (calls.append(1), best(*a))[1])
+    learned = lambda rows: pa.Table.from_batches(tagger._learned([pa.RecordBatch.from_pylist(rows)], Given)).sort_by([("kind", "ascending"), ("at", "ascending")])
+    one_by_one = learned([e | {"copies": 1} for e in examples for _ in range(200)])
+    alone = len(calls)
+    together = learned([e | {"copies": 200} for e in examples])
+    assert together.equals(one_by_one) and len(calls) - alone < alone / 20
